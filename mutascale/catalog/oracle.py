@@ -395,7 +395,7 @@ def oracle() -> dict[str, str]:
         "anova_type3": anova_sql(True),
         "ols_coefficients": with_(V, ONE_FACTOR) + """,
             k AS (
-              SELECT w.xy / w.xx AS slope, w.xx AS wxx, full_rss / (n - levels - 1) AS s2, f.my AS fy, f.mx AS fx, f.n AS fn
+              SELECT w.xy / w.xx AS slope, w.xx AS wxx, full_rss / (rss.n - levels - 1) AS s2, f.my AS fy, f.mx AS fx, f.n AS fn
               FROM w, rss, (SELECT * FROM lv WHERE first) f),
             e AS (
               SELECT 't_depth' AS coefficient, slope AS estimate, sqrt(s2 / wxx) AS std_error FROM k
