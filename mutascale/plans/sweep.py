@@ -8,8 +8,8 @@ Nothing here runs once per scenario:
 
 1. ``sample_counts`` reduces the overlapped variants to one row per panel and sample, with one counter per class group,
    cut-off and hotspot flag. Every filter of the grid is a sum of a few of these counters.
-2. ``count_table`` expands those rows to the filters by projection (no shuffle) and aggregates them at once to the
-   number of samples per (panel, filter, count, exome burden).
+2. ``count_table`` expands those rows to the filters by projection (no shuffle) and aggregates them at once per
+   (panel, filter, count); only test samples are also told apart by their exome burden.
 3. From there all fits and scores depend only on how many samples share a count, so the recall/precision pairs are
    expanded on a table that holds one row per (panel, filter, count) and no longer grows with the samples.
 """
@@ -147,10 +147,7 @@ def sample_counts(overlaps: DataFrame, grid: Grid) -> DataFrame:
             for group in used:
                 names.append(f"c{len(counters)}")
                 counters.append(F.count_if(group & passes).alias(names[-1]))
-            filters.append(F.struct(
-                F.lit(hotspot).alias("hotspot"), F.lit(cutoff).alias("vaf_cutoff"),
-                *[F.col(name).alias(f"g{i}") for i, name in enumerate(names)],
-            ))
+            filters.append(F.struct(*[F.col(name).cast("int").alias(f"g{i}") for i, name in enumerate(names)]))
     constants = [F.max("wesTMB").alias("y"), F.bool_or("rate").alias("rate")]
     return (
         overlaps.groupBy("panel", "sample", "is_test")
@@ -160,29 +157,50 @@ def sample_counts(overlaps: DataFrame, grid: Grid) -> DataFrame:
 
 
 def count_table(counts: DataFrame, grid: Grid) -> DataFrame:
-    """Samples per (panel, filter, count n, exome burden y), split into training and high/low test samples."""
+    """Samples per panel, filter, count n and, for test samples, exome burden y.
+
+    ``filter`` packs the class mask and the place in ``sample_counts``' filters into one number. Training samples are
+    only ever summed per count, so they share the key with y = null: that keeps the aggregate's groups few.
+    """
+    n = F.col("place.g0")
+    if grid.gene_content:
+        for i in range(len(OPTIONAL_CLASSES)):
+            n = n + F.when(class_in_mask(i), F.col(f"place.g{i + 1}")).otherwise(F.lit(0))
     expanded = (
-        counts.withColumn("filter", F.explode("filters"))
+        counts.select("panel", "is_test", "y", "rate", F.posexplode("filters").alias("at", "place"))
         .withColumn("mask", F.explode(grid.class_masks()))
-        .select("panel", "is_test", "y", "rate", "mask", "filter.*")
+        .select(
+            "panel", (F.col("at") * MASKS + F.col("mask")).alias("filter"), n.alias("n"),
+            F.when(F.col("is_test"), F.col("y")).alias("y"),
+            F.when(~F.col("is_test"), F.col("y")).alias("train_y"),
+            "is_test", "rate",
+        )
     )
-    n = F.col("g0")
-    if grid.gene_content:
-        for i in range(len(OPTIONAL_CLASSES)):
-            n = n + F.when(class_in_mask(i), F.col(f"g{i + 1}")).otherwise(F.lit(0))
     return (
-        expanded.withColumn("n", n)
-        .where(F.col("n") > 0)
-        .groupBy("panel", "mask", "hotspot", "vaf_cutoff", "n", "y")
+        expanded.where(F.col("n") > 0)
+        .groupBy(*FILTER, "n", "y")
         .agg(
             F.count_if(~F.col("is_test")).alias("train"),
+            F.coalesce(F.sum("train_y"), F.lit(0.0)).alias("train_y"),
             F.count_if(F.col("is_test") & F.col("rate")).alias("high"),
             F.count_if(F.col("is_test") & ~F.col("rate")).alias("low"),
         )
     )
 
 
-FILTER = ["panel", "mask", "hotspot", "vaf_cutoff"]
+MASKS = 2 ** len(OPTIONAL_CLASSES)
+FILTER = ["panel", "filter"]
+
+
+def unpack_filter(grid: Grid) -> dict[str, Column]:
+    """Class mask, hotspot flag and VAF cut-off of a packed filter."""
+    kinds = [(h, v) for h in grid.hotspot_values() for v in grid.cutoff_values()]
+    at = F.floor(F.col("filter") / MASKS).cast("int") + 1
+    return {
+        "mask": F.col("filter").bitwiseAND(F.lit(MASKS - 1)),
+        "hotspot": F.element_at(F.array(*[F.lit(h) for h, _ in kinds]), at),
+        "vaf_cutoff": F.element_at(F.array(*[F.lit(v) for _, v in kinds]), at),
+    }
 
 
 def per_count_moments(table: DataFrame) -> DataFrame:
@@ -209,13 +227,13 @@ def per_count_moments(table: DataFrame) -> DataFrame:
 
     return spread.groupBy(*FILTER, "n").agg(
         F.sum("train").alias("train"),
-        F.sum(F.col("train") * y).alias("train_y"),
+        F.sum("train_y").alias("train_y"),
         F.sum("high").alias("high"),
         F.sum("low").alias("low"),
-        F.sum(test * y).alias("test_y"),
-        F.sum(test * y * y).alias("test_yy"),
-        F.sum(test * log_y).alias("test_l"),
-        F.sum(test * log_y * log_y).alias("test_ll"),
+        F.sum(F.when(test > 0, test * y).otherwise(0.0)).alias("test_y"),
+        F.sum(F.when(test > 0, test * y * y).otherwise(0.0)).alias("test_yy"),
+        F.sum(F.when(test > 0, test * log_y).otherwise(0.0)).alias("test_l"),
+        F.sum(F.when(test > 0, test * log_y * log_y).otherwise(0.0)).alias("test_ll"),
         F.min(F.when(test > 0, y)).alias("min_y"),
         F.max(F.when(test > 0, y)).alias("max_y"),
         *points("here", test > 0),
@@ -309,8 +327,8 @@ def score(fitted: DataFrame, grid: Grid) -> DataFrame:
     cov = F.col("kfy") / kk - F.col("kf") / kk * F.col("ky") / kk
     shift = F.col("ky") / kk - F.col("kf") / kk
     cells = F.col("whfh") + F.col("wlfl") + F.col("whfl") + F.col("wlfh")
-    return sums.select(
-        *FILTER, "recall", "precision", "multiplicity", "panel_mb", "coef", "intercept",
+    return sums.withColumns(unpack_filter(grid)).select(
+        "panel", "mask", "hotspot", "vaf_cutoff", "recall", "precision", "multiplicity", "panel_mb", "coef", "intercept",
         "whfh", "wlfl", "whfl", "wlfh",
         F.when(y_varies, F.lit(1.0) - F.col("ss_res") / total).alias("r2"),
         F.sqrt(F.greatest(F.col("ss_log"), F.lit(0.0)) / m).alias("rmsle"),
