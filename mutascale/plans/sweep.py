@@ -6,9 +6,9 @@ panel are filtered and counted per sample, a line from panel burden to exome bur
 
 Nothing here runs once per scenario:
 
-1. ``sample_counts`` reduces the overlapped variants to one row per panel and sample, with one counter per class group,
-   cut-off and hotspot flag. Every filter of the grid is a sum of a few of these counters.
-2. ``count_table`` expands those rows to the filters by projection (no shuffle) and aggregates them at once per
+1. ``sample_counts`` reduces the overlapped variants to cells and these to one counter per class group for each panel,
+   sample, cut-off and hotspot flag. The count under any class list is a sum of a few of these counters.
+2. ``count_table`` expands those rows to the class lists by projection (no shuffle) and aggregates them at once per
    (panel, filter, count); only test samples are also told apart by their exome burden.
 3. From there all fits and scores depend only on how many samples share a count, so the recall/precision pairs are
    expanded on a table that holds one row per (panel, filter, count) and no longer grows with the samples.
@@ -83,6 +83,10 @@ class Grid:
     def hotspot_values(self) -> list[bool]:
         return [True, False] if self.hotspot_filter else [False]
 
+    def filter_kinds(self) -> list[tuple[bool, float]]:
+        """The (hotspot, VAF cut-off) combinations; a filter's place is its index here."""
+        return list(product(self.hotspot_values(), self.cutoff_values()))
+
     def class_masks(self) -> Column:
         """Array of bit masks over the optional classes: all non-empty subsets, or only the empty one."""
         if not self.gene_content:
@@ -105,8 +109,7 @@ def _pairs_array(grid: Grid) -> Column:
 def with_scenarios(df: DataFrame, grid: Grid) -> DataFrame:
     """Every row (a panel, say) with every distinct scenario of the grid; ``multiplicity`` counts the repeats."""
     filters = F.array(*[
-        F.struct(F.lit(h).alias("hotspot"), F.lit(v).alias("vaf_cutoff"))
-        for h in grid.hotspot_values() for v in grid.cutoff_values()
+        F.struct(F.lit(h).alias("hotspot"), F.lit(v).alias("vaf_cutoff")) for h, v in grid.filter_kinds()
     ])
     wide = (
         df.withColumn("__pair", F.explode(_pairs_array(grid)))
@@ -133,42 +136,60 @@ def is_hot() -> Column:
 
 
 def sample_counts(overlaps: DataFrame, grid: Grid) -> DataFrame:
-    """One row per panel and sample: ``filters``, an array with the class-group counters of each cut-off and flag.
+    """Counters g0 (base classes), g1, ... (optional classes) per panel, sample and place in the grid's filters.
 
-    ``overlaps`` has panel, sample, is_test, type, vaf, hot, wesTMB, rate; the last three of a sample are constant.
+    ``overlaps`` has panel, sample, is_test, type, vaf, hot, wesTMB, rate; the last two of a sample are constant. The
+    rows are first reduced to cells by class group, number of cut-offs reached and hotspot flag, of which a sample has
+    a few dozen at most; only the cells are expanded to the filters they pass.
     """
-    groups = [F.col("type").isin(BASE_CLASSES), *[F.col("type") == name for name in OPTIONAL_CLASSES.values()]]
-    used = groups if grid.gene_content else groups[:1]
-    counters, filters = [], []
-    for hotspot in grid.hotspot_values():
-        for cutoff in grid.cutoff_values():
-            passes = (F.col("vaf") >= cutoff) & ~F.col("hot") if hotspot else F.col("vaf") >= cutoff
-            names = []
-            for group in used:
-                names.append(f"c{len(counters)}")
-                counters.append(F.count_if(group & passes).alias(names[-1]))
-            filters.append(F.struct(*[F.col(name).cast("int").alias(f"g{i}") for i, name in enumerate(names)]))
-    constants = [F.max("wesTMB").alias("y"), F.bool_or("rate").alias("rate")]
+    groups = [F.col("type").isin(BASE_CLASSES)]
+    if grid.gene_content:
+        groups += [F.col("type") == name for name in OPTIONAL_CLASSES.values()]
+    group = F.coalesce(*[F.when(member, F.lit(i)) for i, member in enumerate(groups)])
+    cutoffs = sorted(grid.cutoff_values())
+    level = sum((F.when(F.col("vaf") >= c, F.lit(1)).otherwise(F.lit(0)) for c in cutoffs), F.lit(0))
+    constants = [F.max("y").alias("y"), F.bool_or("rate").alias("rate")]
+    cells = (
+        overlaps.select(
+            "panel", "sample", "is_test", F.col("wesTMB").alias("y"), "rate", "hot",
+            group.alias("group"), level.alias("level"),
+        )
+        .where(F.col("group").isNotNull() & (F.col("level") > 0))
+        .groupBy("panel", "sample", "is_test", "group", "level", "hot")
+        .agg(F.count(F.lit(1)).alias("m"), *constants)
+    )
+    # For each (level, hot) the places of the filters that let it pass.
+    kinds = grid.filter_kinds()
+    places = F.array(*[
+        F.array(*[F.lit(at) for at, (hotspot, cutoff) in enumerate(kinds)
+                  if cutoff <= cutoffs[reached] and not (hotspot and hot)]).cast("array<int>")
+        for reached in range(len(cutoffs)) for hot in (False, True)
+    ])
+    passed = F.element_at(places, (F.col("level") - 1) * 2 + F.col("hot").cast("int") + 1)
+    counters = [
+        F.sum(F.when(F.col("group") == i, F.col("m")).otherwise(F.lit(0))).cast("int").alias(f"g{i}")
+        for i in range(len(groups))
+    ]
     return (
-        overlaps.groupBy("panel", "sample", "is_test")
+        cells.withColumn("at", F.explode(passed))
+        .groupBy("panel", "sample", "is_test", "at")
         .agg(*constants, *counters)
-        .select("panel", "is_test", "y", "rate", F.array(*filters).alias("filters"))
+        .drop("sample")
     )
 
 
 def count_table(counts: DataFrame, grid: Grid) -> DataFrame:
     """Samples per panel, filter, count n and, for test samples, exome burden y.
 
-    ``filter`` packs the class mask and the place in ``sample_counts``' filters into one number. Training samples are
+    ``filter`` packs the class mask and the place in the grid's filters into one number. Training samples are
     only ever summed per count, so they share the key with y = null: that keeps the aggregate's groups few.
     """
-    n = F.col("place.g0")
+    n = F.col("g0")
     if grid.gene_content:
         for i in range(len(OPTIONAL_CLASSES)):
-            n = n + F.when(class_in_mask(i), F.col(f"place.g{i + 1}")).otherwise(F.lit(0))
+            n = n + F.when(class_in_mask(i), F.col(f"g{i + 1}")).otherwise(F.lit(0))
     expanded = (
-        counts.select("panel", "is_test", "y", "rate", F.posexplode("filters").alias("at", "place"))
-        .withColumn("mask", F.explode(grid.class_masks()))
+        counts.withColumn("mask", F.explode(grid.class_masks()))
         .select(
             "panel", (F.col("at") * MASKS + F.col("mask")).alias("filter"), n.alias("n"),
             F.when(F.col("is_test"), F.col("y")).alias("y"),
@@ -194,7 +215,7 @@ FILTER = ["panel", "filter"]
 
 def unpack_filter(grid: Grid) -> dict[str, Column]:
     """Class mask, hotspot flag and VAF cut-off of a packed filter."""
-    kinds = [(h, v) for h in grid.hotspot_values() for v in grid.cutoff_values()]
+    kinds = grid.filter_kinds()
     at = F.floor(F.col("filter") / MASKS).cast("int") + 1
     return {
         "mask": F.col("filter").bitwiseAND(F.lit(MASKS - 1)),
