@@ -28,7 +28,8 @@ def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
 def variance_inflation(df: DataFrame, features: list[str]) -> DataFrame:
     """Variance inflation factor of each feature against the others, without an intercept column.
 
-    Only the k x k matrix of cross products leaves the executors. A feature that the others determine gives infinity.
+    Only the k x k matrix of cross products leaves the executors. A feature that the others determine gives infinity, one that
+    is zero throughout null.
     """
     values = {name: _number(df, name) for name in features}
     pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
@@ -38,10 +39,13 @@ def variance_inflation(df: DataFrame, features: list[str]) -> DataFrame:
     gram = np.zeros((len(features), len(features)))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"]
-    scale = np.sqrt(np.diag(gram))
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
     scaled = gram / np.outer(scale, scale)
     rows = []
     for i, name in enumerate(features):
+        if gram[i, i] == 0:
+            rows.append((name, None))
+            continue
         others = [j for j in range(len(features)) if j != i]
         block, cross = scaled[np.ix_(others, others)], scaled[others, i]
         left = 1.0 - cross @ np.linalg.pinv(block, rcond=1e-10, hermitian=True) @ cross

@@ -30,7 +30,8 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType, columns: li
 
     A sheet is a single small file. ``multiLine`` keeps it unsplit, so the row id is the line number.
     """
-    raw = _existing(path, lambda: spark.read.option("header", False).option("multiLine", True).csv(path))
+    layout = ", ".join(f"_c{i} string" for i in range(max(columns) + 1))
+    raw = _existing(path, lambda: spark.read.schema(layout).option("multiLine", True).csv(path))
     kept = raw.withColumn("__line", F.monotonically_increasing_id()).where(F.col("__line") >= skip_rows)
     return kept.select(*[
         quoted(f"_c{place}").cast(f.dataType).alias(f.name) for place, f in zip(columns, schema.fields, strict=True)
