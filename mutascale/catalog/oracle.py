@@ -92,7 +92,7 @@ counts AS (
 ),
 fits AS (
   SELECT panel, mask, hotspot, vaf_cutoff, panel_mb,
-    CASE WHEN min(n) < max(n) THEN
+    CASE WHEN min(n) < max(n) AND min(y) < max(y) THEN
       (sum(n * (n / panel_mb) * y) - sum(n * (n / panel_mb)) * sum(n * y) / sum(n))
       / (sum(n * (n / panel_mb) * (n / panel_mb)) - sum(n * (n / panel_mb)) * sum(n * (n / panel_mb)) / sum(n))
       ELSE 0 END AS coef,

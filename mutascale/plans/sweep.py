@@ -203,6 +203,8 @@ def count_table(counts: DataFrame, grid: Grid) -> DataFrame:
         .agg(
             F.count_if(~F.col("is_test")).alias("train"),
             F.coalesce(F.sum("train_y"), F.lit(0.0)).alias("train_y"),
+            F.min("train_y").alias("train_min"),
+            F.max("train_y").alias("train_max"),
             F.count_if(F.col("is_test") & F.col("rate")).alias("high"),
             F.count_if(F.col("is_test") & ~F.col("rate")).alias("low"),
         )
@@ -249,6 +251,8 @@ def per_count_moments(table: DataFrame) -> DataFrame:
     return spread.groupBy(*FILTER, "n").agg(
         F.sum("train").alias("train"),
         F.sum("train_y").alias("train_y"),
+        F.min("train_min").alias("train_min"),
+        F.max("train_max").alias("train_max"),
         F.sum("high").alias("high"),
         F.sum("low").alias("low"),
         F.sum(F.when(test > 0, test * y).otherwise(0.0)).alias("test_y"),
@@ -277,18 +281,21 @@ def with_fit(moments: DataFrame, lengths: DataFrame) -> DataFrame:
     totals = {
         "w": F.sum(w), "wx": F.sum(w * x), "wxx": F.sum(w * x * x), "wy": F.sum(wy), "wxy": F.sum(wy * x),
         "n_test": F.sum(F.col("high") + F.col("low")), "low_n": F.min(trained), "high_n": F.max(trained),
+        "low_y": F.min("train_min"), "high_y": F.max("train_max"),
     }
     mean = F.try_divide(F.col("wy"), F.col("w"))
     spread = F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w")
     slope = (F.col("wxy") - F.col("wx") * F.col("wy") / F.col("w")) / spread
+    # A constant side gives exactly 0; rounding in the sums must not invent a slope.
+    varies = (F.col("low_n") < F.col("high_n")) & (F.col("low_y") < F.col("high_y"))
     fitted = (
         moments.join(lengths, "panel")
         .withColumns({name: value.over(whole) for name, value in totals.items()})
         .where((F.col("w") > 0) & (F.col("n_test") > 0))
-        .withColumn("coef", F.when(F.col("low_n") < F.col("high_n"), slope).otherwise(F.lit(0.0)))
+        .withColumn("coef", F.when(varies, slope).otherwise(F.lit(0.0)))
         .withColumn("intercept", mean - F.col("coef") * F.col("wx") / F.col("w"))
     )
-    return fitted.where(F.col("high") + F.col("low") > 0).drop(*totals, "train", "train_y")
+    return fitted.where(F.col("high") + F.col("low") > 0).drop(*totals, "train", "train_y", "train_min", "train_max")
 
 
 def score(fitted: DataFrame, grid: Grid) -> DataFrame:

@@ -49,7 +49,7 @@ def naive(rows, recall, precision, classes, hotspot, cutoff, panel):
     n_train, n_test = count(train), count(test)
     x = np.array([n_train[r[1]] / mb for r in train])
     y = np.array([r[6] for r in train])
-    coef = 0.0 if x.min() == x.max() else float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+    coef = 0.0 if x.min() == x.max() or y.min() == y.max() else float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
     intercept = float(y.mean() - coef * x.mean())
     votes = {"whfh": 0, "wlfl": 0, "whfl": 0, "wlfh": 0}
     per_sample = {}
