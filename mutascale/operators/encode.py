@@ -16,7 +16,7 @@ def frequency_encode(df: DataFrame, column: str, name: str | None = None, hot_ro
     """Replace (or add as ``name``) a category by its number of rows; missing is a category of its own."""
     keyed = df.withColumn(KEY, F.coalesce(F.col(column).cast("string"), F.lit("\0")))
     counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
-    attached = attach_by_key(keyed, counts, [KEY], ["__n"], "__n", "left", hot_rows)
+    attached = attach_by_key(keyed, counts, [KEY], ["__n"], "__n", hot_rows)
     return attached.withColumn(name or column, F.col("__n")).drop(KEY, "__n")
 
 
@@ -75,5 +75,5 @@ def target_median_encode(
     counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
     medians = group_median(keyed, KEY, target, hot_rows).select(KEY, F.col("median").alias("__median"))
     profile = counts.join(medians, KEY, "left")
-    attached = attach_by_key(keyed, profile, [KEY], ["__median"], "__n", "left", hot_rows)
+    attached = attach_by_key(keyed, profile, [KEY], ["__median"], "__n", hot_rows)
     return attached.withColumn(name or column, F.col("__median")).drop(KEY, "__median")

@@ -17,43 +17,53 @@ def attach_by_key(
     keys: list[str],
     columns: list[str],
     count_column: str,
-    how: str = "left",
     hot_rows: int | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """Join a per-key aggregate of ``rows`` back onto them without piling a hot key into one task.
 
-    ``profile`` has one row per key and, in ``count_column``, how many rows the key has. At most
-    ``total / hot_rows`` keys can exceed ``hot_rows``, so that part of the profile has a proven small size and is
-    broadcast: its rows are finished in place. All other rows go through an ordinary equi-join in which every key
-    is bounded by ``hot_rows``. Without hot keys the broadcast is empty and adaptive execution removes its branch.
+    ``profile`` has one row for every key and, in ``count_column``, how many rows the key has. ``keep`` is a condition
+    on it: rows whose key does not satisfy it, or that have no key, are dropped. Without it the join is a left join.
+
+    At most ``total / hot_rows`` keys can exceed ``hot_rows``, so that part of the profile has a proven small size and
+    is broadcast. All other keys, each bounded by ``hot_rows``, meet their profile row in one shuffled equi-join, which
+    Spark turns into a broadcast where that side turns out small. Rows of a hot key, and rows without a key, pass
+    through that shuffle by the task that read them instead of by key: they match nothing there and spread evenly,
+    copies of a row included, and a repeated task sends them to the same place.
     """
-    if how not in ("left", "inner"):
-        raise ValueError("how is 'left' or 'inner'")
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    kept = rows.columns
-    hot_name = {c: f"__hot_{c}" for c in [count_column, *[c for c in columns if c != count_column]]}
-    marker = F.col(hot_name[count_column])
-    no_key = _any_null(keys)
-
-    hot = profile.where(F.col(count_column) > limit).select(
-        *keys, *[F.col(c).alias(alias) for c, alias in hot_name.items()]
-    )
-    cold = profile.where(F.col(count_column) <= limit).select(*keys, *columns)
-
-    flagged = rows.join(F.broadcast(hot), keys, "left")
-    in_place = marker.isNotNull() if how == "inner" else marker.isNotNull() | no_key
-    hot_part = flagged.where(in_place).select(
-        *[quoted(c) for c in kept], *[F.col(hot_name[c]).alias(c) for c in columns]
+    values = list(dict.fromkeys([count_column, *columns]))
+    if keep is not None:
+        profile = profile.withColumn("__keep", F.coalesce(keep, F.lit(False)))
+        rows = rows.where(~_any_null(keys))
+
+    def side(part: DataFrame, tag: str, extra: list[str]) -> DataFrame:
+        return part.select(*[F.col(c).alias(f"__{tag}_{c}") for c in [*keys, *values]], *extra)
+
+    hot = side(profile.where(F.col(count_column) > limit), "hot", ["__keep"] if keep is not None else [])
+    cold = profile.where(F.col(count_column) <= limit)
+    cold = side(cold if keep is None else cold.where("__keep"), "cold", [])
+    # Always -1, but not as a literal: a literal would be folded out of the join key and the rows would not spread.
+    no_task = F.least(F.col(f"__cold_{count_column}").cast("bigint"), F.lit(-1).cast("bigint"))
+    cold = cold.withColumn("__cold_task", no_task)
+
+    is_hot = F.col(f"__hot_{count_column}").isNotNull()
+    flagged = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left")
+    if keep is not None:
+        flagged = flagged.where(~is_hot | F.col("__keep"))
+    by_key = ~is_hot & ~_any_null(keys)
+    task = F.spark_partition_id().cast("bigint")
+    placed = flagged.withColumns(
+        {f"__join_{k}": F.when(by_key, F.col(k)) for k in keys}
+        | {"__join_task": F.when(by_key, F.lit(-1).cast("bigint")).otherwise(task)}
     )
-    cold_part = (
-        flagged.where(marker.isNull() & ~no_key)
-        .join(cold, keys, how)
-        .select(
-            *[quoted(c) for c in kept],
-            *[F.coalesce(F.col(hot_name[c]), F.col(c)).alias(c) for c in columns],
-        )
+    joined = placed.join(cold, [F.col(f"__join_{k}") == F.col(f"__cold_{k}") for k in [*keys, "task"]], "left")
+    if keep is not None:
+        joined = joined.where(is_hot | F.col(f"__cold_{count_column}").isNotNull())
+    return joined.select(
+        *[quoted(c) for c in rows.columns],
+        *[F.coalesce(F.col(f"__hot_{c}"), F.col(f"__cold_{c}")).alias(c) for c in columns],
     )
-    return hot_part.unionByName(cold_part)
 
 
 def keep_keys(
@@ -65,14 +75,13 @@ def keep_keys(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Semi-join: rows whose key's profile satisfies the condition. Rows without a key are dropped."""
-    passed = profile.where(condition)
-    return attach_by_key(rows, passed, keys, [], count_column, "inner", hot_rows)
+    return attach_by_key(rows, profile, keys, [], count_column, hot_rows, condition)
 
 
 def group_count(rows: DataFrame, keys: list[str], name: str = "n", hot_rows: int | None = None) -> DataFrame:
     """Number of rows of the key on every row; null for rows without a key."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return attach_by_key(rows, counts, keys, [name], name, "left", hot_rows)
+    return attach_by_key(rows, counts, keys, [name], name, hot_rows)
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def drop_tagged_samples(df: DataFrame, rules: QcRules) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(matches_any(F.col(rules.label), rules.sample_tags)).alias("n_tagged"),
     )
-    attached = attach_by_key(df, flagged, [rules.sample], ["n_tagged"], "n_rows", "left", rules.hot_rows)
+    attached = attach_by_key(df, flagged, [rules.sample], ["n_tagged"], "n_rows", rules.hot_rows)
     return attached.where(F.coalesce(F.col("n_tagged"), F.lit(0)) == 0).drop("n_tagged")
 
 
@@ -163,8 +163,9 @@ def clean_variants(df: DataFrame, rules: QcRules) -> DataFrame:
     """
     profile = sample_profile(df, rules).withColumn("wesTMB", exome_burden(rules))
     rows = df.where(rules.label_passes()).transform(lambda d: site_filter(d, rules))
-    passed = profile.where(rules.sample_passes())
-    return attach_by_key(rows, passed, [rules.sample], ["wesTMB"], "n_rows", "inner", rules.hot_rows)
+    return attach_by_key(
+        rows, profile, [rules.sample], ["wesTMB"], "n_rows", rules.hot_rows, keep=rules.sample_passes()
+    )
 
 
 def exome_burden(rules: QcRules) -> Column:

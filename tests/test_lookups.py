@@ -33,9 +33,27 @@ def test_keep_keys_with_hot_key(rows, hot_rows):
     assert "hot" in big and kept.count() == expected.count() and kept.exceptAll(expected).count() == 0
 
 
-def test_hot_rows_are_not_shuffled(rows, plan):
-    text = plan(lookups.group_count(rows, ["k"]))
-    assert "BroadcastHashJoin" in text and "NestedLoop" not in text
+def test_hot_rows_spread_over_tasks(spark, plan):
+    """Two thirds of the rows have one key, a tenth none; no task gets more than its share."""
+    ids = spark.range(0, 20000, 1, 16)
+    skewed = ids.select(
+        F.when(F.col("id") % 10 == 1, None).when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k")
+    )
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for name in settings:
+        spark.conf.set(name, -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        result = lookups.group_count(skewed, ["k"], hot_rows=1000)
+        text = plan(result)
+        assert "hashpartitioning(__join_k" in text and "__join_task" in text.split("hashpartitioning(__join_k")[1][:40]
+        assert "NestedLoop" not in text
+        sizes = [r["count"] for r in result.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20000 and max(sizes) < 20000 * 0.35
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_one_to_one(spark):
