@@ -77,7 +77,13 @@ def fit_boosted(
     scratch_root(train.sparkSession)
     assembler = VectorAssembler(inputCols=features, outputCol=VECTOR)
     stages = [assembler, _regressor(params or TreeParams(), rounds, seed, validation)]
-    return Pipeline(stages=stages).fit(as_model_input(train, features, target))
+    return Pipeline(stages=stages).fit(_balanced(as_model_input(train, features, target), features, validation))
+
+
+def _balanced(ready: DataFrame, features: list[str], validation: str | None) -> DataFrame:
+    """Only the training columns, spread evenly once: every boosting round passes over the cached rows again."""
+    columns = [*features, LABEL, *([validation] if validation else [])]
+    return ready.select(*[quoted(c) for c in columns]).repartition(ready.sparkSession.sparkContext.defaultParallelism)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -104,7 +110,8 @@ def search(
 ) -> DataFrame:
     """Root mean squared error of each trial on a held-out fifth of the training rows, best first."""
     scratch_root(train.sparkSession)
-    ready = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(as_model_input(train, features, target))
+    balanced = _balanced(as_model_input(train, features, target), features, validation)
+    ready = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(balanced)
     regressor = _regressor(TreeParams(), rounds, seed, validation)
     grid = [
         {

@@ -8,8 +8,8 @@ Nothing here runs once per scenario:
 
 1. ``sample_counts`` reduces the overlapped variants to cells and these to one counter per class group for each panel,
    sample, cut-off and hotspot flag. The count under any class list is a sum of a few of these counters.
-2. ``count_table`` expands those rows to the class lists by projection (no shuffle) and aggregates them at once per
-   (panel, filter, count); only test samples are also told apart by their exome burden.
+2. ``vector_table`` merges samples with equal counters, ``count_table`` expands the rest to the class lists by
+   projection and aggregates at once per (panel, filter, count); only test samples are told apart by their burden.
 3. From there all fits and scores depend only on how many samples share a count, so the recall/precision pairs are
    expanded on a table that holds one row per (panel, filter, count) and no longer grows with the samples.
 """
@@ -178,35 +178,48 @@ def sample_counts(overlaps: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def count_table(counts: DataFrame, grid: Grid) -> DataFrame:
+def vector_table(counts: DataFrame) -> DataFrame:
+    """Samples of a panel and filter with the same counters, and for test samples the same burden y, become one row.
+
+    Training samples are only ever summed, so they share y = null. From here on the work follows the number of
+    distinct count vectors, which grows far slower than the samples.
+    """
+    counters = [c for c in counts.columns if c.startswith("g")]
+    train = ~F.col("is_test")
+    train_y = F.when(train, F.col("y"))
+    return counts.groupBy("panel", "at", *counters, F.when(F.col("is_test"), F.col("y")).alias("test_y")).agg(
+        F.count_if(train).alias("train"),
+        F.coalesce(F.sum(train_y), F.lit(0.0)).alias("train_y"),
+        F.min(train_y).alias("train_min"),
+        F.max(train_y).alias("train_max"),
+        F.count_if(F.col("is_test") & F.col("rate")).alias("high"),
+        F.count_if(F.col("is_test") & ~F.col("rate")).alias("low"),
+    )
+
+
+def count_table(vectors: DataFrame, grid: Grid) -> DataFrame:
     """Samples per panel, filter, count n and, for test samples, exome burden y.
 
-    ``filter`` packs the class mask and the place in the grid's filters into one number. Training samples are
-    only ever summed per count, so they share the key with y = null: that keeps the aggregate's groups few.
+    ``filter`` packs the class mask and the place in the grid's filters into one number.
     """
     n = F.col("g0")
     if grid.gene_content:
         for i in range(len(OPTIONAL_CLASSES)):
             n = n + F.when(class_in_mask(i), F.col(f"g{i + 1}")).otherwise(F.lit(0))
-    expanded = (
-        counts.withColumn("mask", F.explode(grid.class_masks()))
-        .select(
-            "panel", (F.col("at") * MASKS + F.col("mask")).alias("filter"), n.alias("n"),
-            F.when(F.col("is_test"), F.col("y")).alias("y"),
-            F.when(~F.col("is_test"), F.col("y")).alias("train_y"),
-            "is_test", "rate",
-        )
+    expanded = vectors.withColumn("mask", F.explode(grid.class_masks())).select(
+        "panel", (F.col("at") * MASKS + F.col("mask")).alias("filter"), n.alias("n"), F.col("test_y").alias("y"),
+        "train", "train_y", "train_min", "train_max", "high", "low",
     )
     return (
         expanded.where(F.col("n") > 0)
         .groupBy(*FILTER, "n", "y")
         .agg(
-            F.count_if(~F.col("is_test")).alias("train"),
-            F.coalesce(F.sum("train_y"), F.lit(0.0)).alias("train_y"),
-            F.min("train_y").alias("train_min"),
-            F.max("train_y").alias("train_max"),
-            F.count_if(F.col("is_test") & F.col("rate")).alias("high"),
-            F.count_if(F.col("is_test") & ~F.col("rate")).alias("low"),
+            F.sum("train").alias("train"),
+            F.sum("train_y").alias("train_y"),
+            F.min("train_min").alias("train_min"),
+            F.max("train_max").alias("train_max"),
+            F.sum("high").alias("high"),
+            F.sum("low").alias("low"),
         )
     )
 
@@ -378,7 +391,7 @@ def sweep(overlaps: DataFrame, lengths: DataFrame, grid: Grid | None = None, exp
     grid = grid or Grid()
     admitted = overlaps.where(F.col("wesTMB") <= MAX_BURDEN)
     counts = sample_counts(admitted, grid)
-    moments = per_count_moments(count_table(counts, grid))
+    moments = per_count_moments(count_table(vector_table(counts), grid))
     scored = score(with_fit(moments, lengths), grid)
     flags = [class_in_mask(i).alias(name) for i, name in enumerate(OPTIONAL_CLASSES)]
     named = scored.select(
