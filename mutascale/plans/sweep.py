@@ -58,13 +58,17 @@ class Grid:
     pairing: str = "product"
     scale: list[float] = field(default_factory=lambda: list(ACCURACY_SCALE))
     cutoffs: list[float] = field(default_factory=lambda: list(VAF_CUTOFFS))
+    pairs: list[tuple[float, float]] | None = None
+    masks: list[int] | None = None
 
     def accuracy_pairs(self) -> dict[tuple[float, float], int]:
         """Distinct (recall, precision) pairs with their number of repeats.
 
         The admitted pairs have recall above precision, or are both 1. ``zip`` takes them as they are. ``product``
-        crosses the recalls of the admitted pairs with their precisions, so pairs repeat.
+        crosses the recalls of the admitted pairs with their precisions, so pairs repeat. Given ``pairs`` win.
         """
+        if self.pairs is not None:
+            return dict.fromkeys(self.pairs, 1)
         if self.pairing not in ("product", "zip"):
             raise ValueError("pairing is 'product' or 'zip'")
         if not self.somatic_accuracy:
@@ -88,7 +92,9 @@ class Grid:
         return list(product(self.hotspot_values(), self.cutoff_values()))
 
     def class_masks(self) -> Column:
-        """Array of bit masks over the optional classes: all non-empty subsets, or only the empty one."""
+        """Array of bit masks over the optional classes: all non-empty subsets, only the empty one, or those given."""
+        if self.masks is not None:
+            return F.array(*[F.lit(m) for m in self.masks])
         if not self.gene_content:
             return F.array(F.lit(0))
         return F.sequence(F.lit(1), F.lit(2 ** len(OPTIONAL_CLASSES) - 1))
@@ -405,3 +411,32 @@ def sweep(overlaps: DataFrame, lengths: DataFrame, grid: Grid | None = None, exp
         copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("multiplicity")))
         return named.withColumn("__copy", copies).select(*RESULT_COLUMNS)
     return named.select(*RESULT_COLUMNS, "multiplicity")
+
+
+def sweep_scenarios(overlaps: DataFrame, lengths: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Score every panel under a stored list of scenarios (recall, precision, classes, hotspot, vaf_cutoff).
+
+    The list is a parameter table. Its distinct values span a grid that is swept as one, then only the listed
+    combinations are kept. Every class list must hold the base classes and otherwise optional ones.
+    """
+    known = [*BASE_CLASSES, *OPTIONAL_CLASSES.values()]
+    odd = (F.size(F.array_except("classes", F.array(*[F.lit(c) for c in known]))) > 0) | (
+        F.size(F.array_except(F.array(*[F.lit(c) for c in BASE_CLASSES]), F.col("classes"))) > 0
+    )
+    if not scenarios.where(odd).isEmpty():
+        raise ValueError("a class list lacks a base class or names an unknown class")
+    flags = [F.array_contains("classes", name).alias(key) for key, name in OPTIONAL_CLASSES.items()]
+    listed = scenarios.select("recall", "precision", *flags, "hotspot", "vaf_cutoff").distinct()
+    mask = sum((F.col(key).cast("int") * (1 << i) for i, key in enumerate(OPTIONAL_CLASSES)), F.lit(0))
+
+    def values(*columns) -> list[tuple]:
+        return sorted(tuple(row) for row in listed.select(*columns).distinct().collect())
+
+    grid = Grid(
+        pairs=values("recall", "precision"),
+        masks=[m for (m,) in values(mask)],
+        cutoffs=[c for (c,) in values("vaf_cutoff")],
+    )
+    return sweep(overlaps, lengths, grid).drop("multiplicity").join(
+        listed, ["recall", "precision", *OPTIONAL_CLASSES, "hotspot", "vaf_cutoff"], "left_semi"
+    ).select(*RESULT_COLUMNS)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutascale.plans import sweep
+from mutascale.sources import readers, schemas
 
 BASE, OPTIONAL = sweep.BASE_CLASSES, list(sweep.OPTIONAL_CLASSES.values())
 
@@ -141,6 +142,26 @@ def test_repeats_can_be_expanded(spark):
     assert expanded.count() == 2 * 256
 
 
+def test_stored_scenarios(spark, tmp_path):
+    rows = dataset(9)
+    lengths = spark.createDataFrame(list(LENGTHS.items()), "panel string, panel_mb double")
+    listed = [
+        (1, 0.75, 0.95, BASE, False, 0.04), (2, 1.0, 1.0, [*BASE, "Silent"], True, 0.02),
+        (3, 1.0, 1.0, [*BASE, "Silent"], True, 0.02), (4, 0.6, 0.6, [*BASE, "Nonsense_Mutation", "Silent"], False, 0.02),
+    ]
+    spark.createDataFrame(listed, schemas.SCENARIOS).write.parquet(str(tmp_path / "scenarios"))
+    scenarios = readers.read_parquet(spark, str(tmp_path / "scenarios"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    result = sweep.sweep_scenarios(df, lengths, scenarios)
+    assert result.columns == sweep.RESULT_COLUMNS and result.count() == 2 * 3
+    for _, recall, precision, classes, hotspot, cutoff in listed:
+        got = result.where((F.col("recall") == recall) & (F.col("vaf_cutoff") == cutoff) & (F.col("panel_id") == "p2")).first()
+        want = naive(rows, recall, precision, classes, hotspot, cutoff, "p2")
+        assert got.rmsle == pytest.approx(want["rmsle"], rel=1e-6) and got.whfh == want["whfh"]
+    with pytest.raises(ValueError, match="class list"):
+        sweep.sweep_scenarios(df, lengths, spark.createDataFrame([(1, 1.0, 1.0, ["Silent"], False, 0.05)], schemas.SCENARIOS))
+
+
 def test_hotspot_filter_drops_unknowns(spark):
     df = spark.createDataFrame(
         [(False, False, 3.0), (True, False, 3.0), (False, False, 20.0), (None, False, 3.0), (False, False, None)],
