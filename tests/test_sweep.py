@@ -172,6 +172,10 @@ def test_hotspot_filter_drops_unknowns(spark):
 
 def test_plan_is_shared_by_all_scenarios(spark, plan):
     lengths = spark.createDataFrame(list(LENGTHS.items()), "panel string, panel_mb double")
-    text = plan(sweep.sweep(spark.createDataFrame(dataset(8), SCHEMA), lengths))
+    df = spark.createDataFrame(dataset(8), SCHEMA)
+    text = plan(sweep.sweep(df, lengths))
     assert "Python" not in text and "NestedLoop" not in text and "Cartesian" not in text
-    assert text.count("Exchange hashpartitioning") <= 7
+    single = plan(sweep.sweep(df, lengths, sweep.Grid(False, False, False, False)))
+    shuffle = "Exchange hashpartitioning"
+    # Cells, counters, vectors, counts, burdens, moments, and both sides of the length join: none per scenario.
+    assert text.count(shuffle) == single.count(shuffle) == 8
