@@ -63,4 +63,48 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM parts LEFT JOIN fits USING (rid)
 """
 
-ORACLE: dict[str, str] = {"op6_host_rules": HOST_RULES, "op8_url_filter": URL_FILTER}
+SUBSTRING_DEDUP = r"""
+WITH t AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g
+    FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50 AND doc_id IS NOT NULL)
+), later AS (
+    SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS o FROM windows) WHERE o < doc_id
+), gone AS (
+    SELECT DISTINCT rid, unnest(range(i, i + 50)) AS j FROM later
+), words AS (
+    SELECT rid, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM t
+), kept AS (
+    SELECT rid, string_agg(word, ' ' ORDER BY j) AS s, count(*) AS n FROM words ANTI JOIN gone USING (rid, j) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (rid)
+"""
+
+NGRAM_JOIN = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), grams AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y USING (g) GROUP BY ALL)
+    JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reached AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), smallest AS (
+    SELECT a AS doc_id, min(b) AS m FROM reached GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": SUBSTRING_DEDUP, "op2_ngram_join": NGRAM_JOIN,
+    "op6_host_rules": HOST_RULES, "op8_url_filter": URL_FILTER,
+}

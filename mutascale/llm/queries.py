@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutascale.llm import ann, host_rules, packing, url_filter
+from mutascale.llm import ann, host_rules, ngram_join, packing, substring_dedup, url_filter
 from mutascale.llm.texts import read
 
 #: The rule list of the URL filter.
@@ -18,6 +18,16 @@ URL_RULES = [
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document keeps when passages of 50 words and more that came before are removed."""
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates (five-word shingles, similarity 0.75) of every document."""
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every vector whose id is divisible by 100."""
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -39,6 +49,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_join": op2_ngram_join,
     "op5_nearest": op5_nearest,
     "op6_host_rules": op6_host_rules,
     "op8_url_filter": op8_url_filter,
