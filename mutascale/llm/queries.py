@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutascale.llm import ann, host_rules, ngram_join, packing, substring_dedup, url_filter
+from mutascale.llm import ann, host_rules, mixing, ngram_join, packing, quality, substring_dedup, url_filter
 from mutascale.llm.texts import read
 
 #: The rule list of the URL filter.
@@ -28,6 +28,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of one corpus-sized draw with tempered source weights, and their places in it."""
+    mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_order")
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every vector whose id is divisible by 100."""
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -38,6 +44,11 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document, and whether it is kept."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
@@ -51,8 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op4_mixing": op4_mixing,
     "op5_nearest": op5_nearest,
     "op6_host_rules": op6_host_rules,
+    "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op10_packing": op10_packing,
 }
