@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutascale.llm import ann, host_rules, mixing, ngram_join, packing, quality, substring_dedup, url_filter
+from mutascale.llm import ann, chat_tools, host_rules, mixing, ngram_join, packing, quality, substring_dedup, url_filter
 from mutascale.llm.texts import read
 
 #: The rule list of the URL filter.
 URL_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 ]
+TOOLS: chat_tools.Schemas = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "write": {"topic": ("string", True), "words": ("integer", True)},
+}
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -54,6 +58,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered and validated tool calls of all conversations (user turns as calls, the answers as results)."""
+    return chat_tools.link_calls(chat_tools.calls_of_turns(read(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -67,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_rules": op6_host_rules,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
 }
