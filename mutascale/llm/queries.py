@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutascale.llm import ann, chat_tools, host_rules, mixing, ngram_join, packing, quality, substring_dedup, url_filter
+from mutascale.llm import ann, chat_tools, host_rules, mixing, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
 from mutascale.llm.texts import read
 
 #: The rule list of the URL filter.
@@ -32,6 +32,13 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learnt from labels whose crc32(doc_id) leaves a remainder by 3 other than 1."""
+    return toxicity.score(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), lambda i: F.crc32(i.cast("string")) % 3 != 1
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of one corpus-sized draw with tempered source weights, and their places in it."""
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
@@ -71,6 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_nearest": op5_nearest,
     "op6_host_rules": op6_host_rules,
