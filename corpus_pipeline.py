@@ -6,20 +6,57 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mutascale.llm import packing
+from mutascale.llm import mixing, ngram_join, packing, quality, substring_dedup
 from mutascale.llm.queries import TOKENIZER
 from mutascale.llm.texts import read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; a row goes with its id, so copies of a row share one verdict."""
+    judged = quality.classify(docs, read(spark, sf_dir, "labels"))
+    rejected = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id; rows without an id stay."""
+    groups = ngram_join.near_duplicates(docs)
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("__id"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that came before; documents that lose all their words go."""
+    texts = substring_dedup.dedup(docs).filter("n_removed = 0 OR n_removed < n_words").select(
+        F.col("doc_id").alias("__id"), "kept_text"
+    ).dropDuplicates(["__id"])
+    joined = docs.join(texts, F.col("doc_id") == F.col("__id"))
+    whole = docs.filter("doc_id IS NULL")
+    columns = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return joined.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns)).unionByName(whole)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of one corpus-sized draw with tempered source weights."""
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
+    ("near duplicates", without_near_duplicates),
+    ("substring dedup", without_repeated_passages),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: The classifier and the tokenizer cannot be expressed in SQL.
 ORACLE_SQL = None
