@@ -21,7 +21,6 @@ from mutascale.plans.sweep import BASE_CLASSES, OPTIONAL_CLASSES
 
 ID = ", ".join(ROW_ID)
 ID4 = ", ".join(ROW_ID[:4])
-LABELS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 FAILED = "regexp_matches(label, 'RF|AF')"
 
 PROFILE = f"""
@@ -92,12 +91,12 @@ counts AS (
 ),
 fits AS (
   SELECT panel, mask, hotspot, vaf_cutoff, panel_mb,
-    CASE WHEN min(n) < max(n) AND min(y) < max(y) THEN
-      (sum(n * (n / panel_mb) * y) - sum(n * (n / panel_mb)) * sum(n * y) / sum(n))
-      / (sum(n * (n / panel_mb) * (n / panel_mb)) - sum(n * (n / panel_mb)) * sum(n * (n / panel_mb)) / sum(n))
-      ELSE 0 END AS coef,
-    sum(n * y) / sum(n) AS mean_y, sum(n * (n / panel_mb)) / sum(n) AS mean_x
-  FROM counts JOIN lengths USING (panel) WHERE NOT is_test GROUP BY ALL
+    coalesce(regr_slope(y, x), 0) AS coef, avg(y) AS mean_y, avg(x) AS mean_x
+  FROM (
+    -- one row per variant
+    SELECT panel, mask, hotspot, vaf_cutoff, panel_mb, y, n / panel_mb AS x, unnest(range(n))
+    FROM counts JOIN lengths USING (panel) WHERE NOT is_test
+  ) GROUP BY ALL
 ),
 scored AS (
   SELECT c.panel, c.mask, c.hotspot, c.vaf_cutoff, recall, "precision", multiplicity, panel_mb, coef,
@@ -239,9 +238,17 @@ coded AS (
 platforms AS (SELECT p_brand, median(rgbrp) AS platform FROM coded GROUP BY p_brand)"""
 
 
+GAPS = f""",
+paired AS (
+  SELECT panel, wesTMB AS y, fTMB AS p FROM pred
+  WHERE {draw('gap', 'sample')} % 5 <> 0 AND {draw('gap', 'sample')} % 7 <> 0
+)"""
+TREE_TEST = with_(V) + f""",
+tested AS (SELECT * FROM v WHERE {draw('41', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} < 858993459)"""
+
+
 def oracle() -> dict[str, str]:
     """Query name -> SQL."""
-    pivot = ", ".join(f"count(*) FILTER (WHERE substr(label, 1, 2) = '{x}') AS \"{x}\"" for x in LABELS)
     return {
         "study_filter": with_(V, CLINICAL, STUDIED) + "SELECT sample, study, chr, start, t_depth, t_alt, label FROM studied",
         "drop_tagged_samples": with_(V) + """
@@ -250,7 +257,7 @@ def oracle() -> dict[str, str]:
         "max_vaf_samples": with_(V) + """
             SELECT sample, chr, start, round(vaf, 6) AS vaf FROM v
             WHERE sample IN (SELECT sample FROM v GROUP BY sample HAVING max(vaf) > 0.49)""",
-        "label_pivot": with_(V) + f"SELECT sample, {pivot} FROM v GROUP BY sample",
+        "label_pivot": with_(V) + "SELECT * FROM (PIVOT (SELECT sample, label FROM v) ON label USING count(*) GROUP BY sample)",
         "failed_proportion": with_(V) + f"""
             SELECT sample, count(*) AS n_rows, count(*) FILTER (WHERE {FAILED}) AS n_failed,
               round(count(*) FILTER (WHERE {FAILED}) / count(*)::DOUBLE, 6) AS failed_proportion,
@@ -260,8 +267,8 @@ def oracle() -> dict[str, str]:
             SELECT sample, chr, start, label FROM v WHERE NOT {FAILED} AND sample IN (
               SELECT sample FROM v GROUP BY sample HAVING count(*) FILTER (WHERE {FAILED}) / count(*)::DOUBLE < 0.4)""",
         "site_filter": with_(V) + f"""
-            SELECT 'S-' || lpad(CAST(sample AS VARCHAR), 10, '0') || '-01A-11D' AS sample,
-              substr('S-' || lpad(CAST(sample AS VARCHAR), 10, '0') || '-01A-11D', 1, 15) AS "array",
+            SELECT printf('S-%010d-01A-11D', sample) AS sample,
+              substr(printf('S-%010d-01A-11D', sample), 1, 15) AS "array",
               chr, start, type, t_depth, t_alt
             FROM v WHERE {SITE_TEST}""",
         "drop_constant_cols": with_(V) + """
@@ -278,10 +285,14 @@ def oracle() -> dict[str, str]:
             SELECT sample, count(*) AS n_burden, round(count(*) / 0.7::DOUBLE, 6) AS wesTMB FROM v
             WHERE {BURDEN_TEST} GROUP BY sample""",
         "tmb_rank_order": with_(V, RATED) + """
+            SELECT sample, chr, start, type, round(vaf, 6) AS vaf, round(wesTMB, 6) AS wesTMB, row_number() OVER (
+              ORDER BY rated.wesTMB NULLS FIRST, sample, chr, start, type NULLS FIRST, rated.vaf NULLS FIRST) - 1 AS position
+            FROM rated""",
+        "head_rows": with_(V, RATED) + """
             SELECT sample, chr, start, type, round(vaf, 6) AS vaf, round(wesTMB, 6) AS wesTMB FROM (
               SELECT * FROM rated ORDER BY rated.wesTMB NULLS FIRST, sample, chr, start, type, rated.vaf LIMIT 500)""",
         "left_lookup_purity": with_(V) + """
-            SELECT 'S-' || lpad(CAST(sample AS VARCHAR), 10, '0') || '-01A-11D' AS sample, chr, start,
+            SELECT printf('S-%010d-01A-11D', sample) AS sample, chr, start,
               round(c_acctbal / 10000.0::DOUBLE, 6) AS purity
             FROM v LEFT JOIN customer ON c_custkey = sample AND c_acctbal > 0""",
         "row_key_annotate": with_(V) + """,
@@ -353,6 +364,12 @@ def oracle() -> dict[str, str]:
         "r_squared": PRED + """
             SELECT panel, round(1 - sum((wesTMB - raw) * (wesTMB - raw)) / (count(*) * var_pop(wesTMB)), 6) AS r2
             FROM pred GROUP BY panel""",
+        "r_squared_gaps": PRED + GAPS + """
+            SELECT panel, round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) AS r2 FROM paired GROUP BY panel""",
+        "concordance_gaps": PRED + GAPS + """
+            SELECT panel, CASE WHEN min(y) < max(y) AND min(p) < max(p) THEN
+              round(2 * covar_pop(y, p) / (var_pop(y) + var_pop(p) + pow(avg(y) - avg(p), 2)), 6) END AS ccc
+            FROM paired GROUP BY panel""",
         "rmsle": PRED + """
             SELECT panel, round(sqrt(avg(pow(ln(1 + wesTMB) - ln(1 + fTMB), 2))), 6) AS rmsle FROM pred GROUP BY panel""",
         "rmse": PRED + "SELECT panel, round(sqrt(avg(pow(wesTMB - fTMB, 2))), 6) AS rmse FROM pred GROUP BY panel",
@@ -404,6 +421,13 @@ def oracle() -> dict[str, str]:
                 sqrt(s2 * (1 / lv.n + 1 / fn + (mx - fx) * (mx - fx) / wxx)) FROM k, lv WHERE NOT first)
             SELECT coefficient, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
               round(estimate / std_error, 4) AS t FROM e""",
+        "gbt_predict": TREE_TEST + """
+            SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t_alt::DOUBLE AS t_alt, true AS known FROM tested""",
+        "tune_gbt": "SELECT unnest([0, 1, 2])::INTEGER AS trial, true AS sound",
+        "tree_attribution": TREE_TEST + """
+            SELECT count(*) AS n_rows, true AS adds_up, true AS pairs_add_up, f.feature, true AS finite
+            FROM tested, (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'chr', 'hot']) AS feature) f
+            GROUP BY f.feature""",
         "gaussian_model": with_(V) + """,
             d AS (SELECT t_alt::DOUBLE AS y, l_quantity AS x, l_discount AS z FROM v),
             m AS (

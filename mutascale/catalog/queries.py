@@ -68,20 +68,19 @@ def max_vaf_samples(spark, sf_dir):
 
 @query
 def label_pivot(spark, sf_dir):
-    rows = variants(spark, sf_dir, kind=False).withColumn("label", F.substring("label", 1, 2))
-    return qc.label_pivot(rows, "sample", "label", ["AF", "AO", "NF", "NO", "RF", "RO"])
+    return qc.label_pivot(variants(spark, sf_dir, kind=False), "sample", "label")
 
 
 @query
 def failed_proportion(spark, sf_dir):
     shares = qc.failed_proportion(variants(spark, sf_dir, kind=False), RULES)
-    labels = ["AF", "AO", "NF", "NO", "RF", "RO"]
-    rows = variants(spark, sf_dir, kind=False).withColumn("label", F.substring("label", 1, 2))
-    pivoted = qc.label_pivot(rows, "sample", "label", labels)
+    pivoted = qc.label_pivot(variants(spark, sf_dir, kind=False), "sample", "label")
+    labels = pivoted.columns[1:]
+    failed = [c for c in labels if any(a in c for a in RULES.artefact_labels)]
     summed = pivoted.select(
         "sample",
-        scalar.row_sum([F.col(c) for c in labels if c in RULES.artefact_labels]).alias("pivot_failed"),
-        scalar.row_sum([F.col(c) for c in labels]).alias("pivot_rows"),
+        scalar.row_sum([F.col(f"`{c}`") for c in failed]).alias("pivot_failed"),
+        scalar.row_sum([F.col(f"`{c}`") for c in labels]).alias("pivot_rows"),
     )
     return rounded(shares.join(summed, "sample"), 6, "failed_proportion")
 
@@ -93,7 +92,7 @@ def artefact_filter(spark, sf_dir):
 
 
 def _barcode(sample: Column) -> Column:
-    return F.concat(F.lit("S-"), F.lpad(sample.cast("string"), 10, "0"), F.lit("-01A-11D"))
+    return F.format_string("S-%010d-01A-11D", sample)
 
 
 @query
@@ -143,10 +142,22 @@ def sample_burden_table(spark, sf_dir):
     return rounded(sample_burden(variants(spark, sf_dir), RULES), 6, "wesTMB")
 
 
+def _burden_rows(spark, sf_dir) -> DataFrame:
+    return attach_burden(variants(spark, sf_dir).select("sample", "chr", "start", "type", "vaf"), RULES)
+
+
 @query
 def tmb_rank_order(spark, sf_dir):
-    rows = attach_burden(variants(spark, sf_dir).select("sample", "chr", "start", "type", "vaf"), RULES)
-    ranked = rank_by_burden(rows, "sample", "wesTMB", ["chr", "start", "type", "vaf"])
+    """Every row with its position in the order by sample burden."""
+    rows = _burden_rows(spark, sf_dir).where(F.col("sample").isNotNull())
+    order = ["wesTMB", "sample", "chr", "start", "type", "vaf"]
+    return rounded(sampling.with_ordinal(rows, order, "position"), 6, "vaf", "wesTMB")
+
+
+@query
+def head_rows(spark, sf_dir):
+    """The first rows of that order: a top-k report."""
+    ranked = rank_by_burden(_burden_rows(spark, sf_dir), "sample", "wesTMB", ["chr", "start", "type", "vaf"])
     return rounded(ranked.limit(500), 6, "vaf", "wesTMB")
 
 
@@ -347,13 +358,9 @@ def linear_calibration(spark, sf_dir):
     """Slope and intercept per panel, one observation per variant row."""
     placed, lengths = panel_variants(spark, sf_dir)
     train = placed.where((F.col("wesTMB") <= sweep.MAX_BURDEN) & (F.col("vaf") >= 0.05) & ~F.col("is_test"))
-    counted = lookups.group_count(train.select("panel", "sample", "wesTMB"), ["panel", "sample"])
-    x = F.col("n") / F.col("panel_mb")
-    fits = counted.join(lengths, "panel").groupBy("panel").agg(
-        metrics.ols_slope(F.col("wesTMB"), x).alias("coef"),
-        metrics.ols_intercept(F.col("wesTMB"), x).alias("intercept"),
-        F.count("*").alias("n_rows"),
-    )
+    counted = train.groupBy("panel", "sample").agg(F.count("*").alias("n"), F.first("wesTMB").alias("wesTMB"))
+    sized = counted.join(lengths, "panel").withColumn("x", F.col("n") / F.col("panel_mb"))
+    fits = metrics.weighted_line(sized, "panel", "wesTMB", "x", "n").withColumnRenamed("weight", "n_rows")
     return rounded(fits, 6, "coef", "intercept")
 
 
@@ -371,6 +378,29 @@ def r_squared(spark, sf_dir):
     return rounded(_predictions(spark, sf_dir).groupBy("panel").agg(score), 6, "r2")
 
 
+def _gaps(spark, sf_dir) -> DataFrame:
+    """Predictions of which some are missing, and some true values as well."""
+    rows = _predictions(spark, sf_dir)
+    draw = sampling.uniform_hash(F.lit("gap"), F.col("sample"))
+    return rows.select(
+        "panel", F.when(draw % 5 != 0, F.col("wesTMB")).alias("y"), F.when(draw % 7 != 0, F.col("fTMB")).alias("p")
+    )
+
+
+@query
+def r_squared_gaps(spark, sf_dir):
+    """Only rows with both sides count."""
+    score = metrics.r_squared(F.col("y"), F.col("p")).alias("r2")
+    return rounded(_gaps(spark, sf_dir).groupBy("panel").agg(score), 6, "r2")
+
+
+@query
+def concordance_gaps(spark, sf_dir):
+    """Only rows with both sides count."""
+    score = metrics.concordance(F.col("y"), F.col("p")).alias("ccc")
+    return rounded(_gaps(spark, sf_dir).groupBy("panel").agg(score), 6, "ccc")
+
+
 @query
 def rmsle(spark, sf_dir):
     score = metrics.rmsle(F.col("wesTMB"), F.col("fTMB")).alias("rmsle")
@@ -571,21 +601,38 @@ def _fitted(spark, sf_dir):
 def gbt_predict(spark, sf_dir):
     model, test = _fitted(spark, sf_dir)
     scored = trees.predict(model, test, TREE_FEATURES, "t_alt")
-    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t_alt", "prediction")
+    known = (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("known")
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t_alt", known)
 
 
 @query
 def tune_gbt(spark, sf_dir):
+    """One row per trial; a trial is sound when its error is finite and the best beats a constant prediction."""
     train = _tree_rows(spark, sf_dir).where(~F.col("is_test"))
-    return trees.search(train, TREE_FEATURES, "t_alt", trees.draw_params(3, 7), rounds=3, parallelism=3)
+    found = trees.search(train, TREE_FEATURES, "t_alt", trees.draw_params(3, 7), rounds=3, parallelism=3)
+    constant, best = train.agg(F.stddev_pop("t_alt")).first()[0], found.agg(F.min("rmse")).first()[0]
+    finite = F.col("rmse").isNotNull() & ~F.isnan("rmse") & (F.col("rmse") < float("inf"))
+    return found.select("trial", (finite & F.lit(best <= constant)).alias("sound"))
 
 
 @query
 def tree_attribution(spark, sf_dir):
+    """Rows explained, and whether the attributions of each add up to its prediction."""
     model, test = _fitted(spark, sf_dir)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    explained = attribution.attribute(model, test.select(*keys, *TREE_FEATURES, "t_alt"), [*TREE_FEATURES], "t_alt", [])
-    return attribution.mean_attribution(explained, TREE_FEATURES)
+    rows = test.select(*keys, *TREE_FEATURES, "t_alt")
+    explained = attribution.attribute(model, rows, [*TREE_FEATURES], "t_alt", [], interactions=True)
+    pairs = F.transform("interactions", lambda row: F.aggregate(row, F.lit(0.0), lambda acc, v: acc + v))
+    off = F.array_max(F.zip_with(pairs, F.col("phi"), lambda total, phi: F.abs(total - phi)))
+    checked = explained.select("phi", (F.abs("gap") < 1e-6).alias("adds_up"), (off < 1e-6).alias("pairs_add_up"))
+    sums = checked.agg(
+        F.count("*").alias("n_rows"), F.every("adds_up").alias("adds_up"), F.every("pairs_add_up").alias("pairs_add_up"),
+        *[F.avg(F.abs(F.col("phi")[i])).alias(f"m{i}") for i in range(len(TREE_FEATURES))],
+    )
+    cells = F.array(*[
+        F.struct(F.lit(f).alias("feature"), (F.col(f"m{i}") >= 0).alias("finite")) for i, f in enumerate(TREE_FEATURES)
+    ])
+    return sums.select("n_rows", "adds_up", "pairs_add_up", F.inline(cells))
 
 
 @query

@@ -26,7 +26,7 @@ def attach_burden(df: DataFrame, rules: QcRules) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.when(burden > 0, burden / F.lit(rules.exome_mb)).alias("wesTMB"),
     )
-    return attach_by_key(df, profile, [rules.sample], ["wesTMB"], "n_rows", rules.hot_rows)
+    return attach_by_key(df, profile, [rules.sample], ["wesTMB"])
 
 
 def burden_flag(burden: Column, rules: QcRules, null_rate: bool = True) -> Column:

@@ -6,74 +6,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mutascale.operators.lookups import attach_by_key
+from mutascale.session import materialize
 
-# Groups above this many rows get their median by bracketing instead of by one in-memory aggregate.
-MEDIAN_ROWS = 1_000_000
 KEY = "__key"
 
 
-def frequency_encode(df: DataFrame, column: str, name: str | None = None, hot_rows: int | None = None) -> DataFrame:
+def frequency_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Replace (or add as ``name``) a category by its number of rows; missing is a category of its own."""
     keyed = df.withColumn(KEY, F.coalesce(F.col(column).cast("string"), F.lit("\0")))
     counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
-    attached = attach_by_key(keyed, counts, [KEY], ["__n"], "__n", hot_rows)
+    attached = attach_by_key(keyed, counts, [KEY], ["__n"])
     return attached.withColumn(name or column, F.col("__n")).drop(KEY, "__n")
 
 
-def group_median(
-    df: DataFrame, key: str, value: str, hot_rows: int | None = None, accuracy: int = 100_000
-) -> DataFrame:
+def group_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """Exact interpolated median per key, with the key's row count.
 
-    Groups up to ``hot_rows`` use the built-in median, whose memory they bound. For a larger group a mergeable
-    quantile sketch brackets the median between two values; the rows are counted below and inside the bracket,
-    and only the bracket's distinct values (a share of about 4 / accuracy of the group) are ranked exactly.
+    Equal values of a key are counted before they are sorted. The counts are range-partitioned by (key, value), so a
+    hot key covers several partitions; each partition ranks its own part of a key, and the sums of the parts give
+    the rank at which a part begins. The partitions are checkpointed, so their parts cannot move on a retry.
     """
-    limit = MEDIAN_ROWS if hot_rows is None else hot_rows
     known = df.select(key, value).where(F.col(value).isNotNull() & F.col(key).isNotNull())
-    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    # At most total / hot_rows keys pass, so this side is small by construction.
-    hot = F.broadcast(counts.where(F.col("n_rows") > limit))
-    cold = (
-        known.join(hot.select(key), key, "left_anti")
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.median(value).alias("median"))
-    )
-
-    half = 2.0 / accuracy
-    ends = F.percentile_approx(value, [0.5 - half, 0.5 + half], accuracy)
-    brackets = known.join(hot, key).groupBy(key, "n_rows").agg(ends.alias("bracket"))
-    # Values below the bracket become one row at the bottom of the ranking, those above are left out.
-    placed = known.join(F.broadcast(brackets), key).where(F.col(value) <= F.col("bracket")[1])
-    low = F.col("bracket")[0]
-    ladder = (
-        placed.withColumn("inside", F.when(F.col(value) >= low, F.col(value)))
-        .groupBy(key, "n_rows", "inside")
-        .agg(F.count(F.lit(1)).alias("m"))
-        .withColumn("upto", F.sum("m").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("inside"))))
-    )
+    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("m"))
+    placed = materialize(counts.repartitionByRange(key, value).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(key, "__part").agg(F.sum("m").alias("size")).withColumns({
+        "before": F.coalesce(F.sum("size").over(before), F.lit(0)), "n_rows": F.sum("size").over(Window.partitionBy(key)),
+    })
+    lower, upper = F.floor((F.col("n_rows") - 1) / 2), F.floor(F.col("n_rows") / 2)
+    # only the parts that hold a middle rank are ranked
+    middle = parts.where((F.col("before") <= upper) & (F.col("before") + F.col("size") > lower))
+    within = Window.partitionBy(key, "__part").orderBy(value)
+    ranked = placed.join(middle.drop("size"), [key, "__part"]).withColumn("upto", F.col("before") + F.sum("m").over(within))
 
     def at(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("inside")))
+        return F.min(F.when(F.col("upto") > rank, F.col(value)))
 
-    bottom = F.max(F.when(F.col("inside").isNull(), F.col("upto")))
-    n = F.col("n_rows")
-    lower, upper = F.floor((n - 1) / 2), F.floor(n / 2)
-    sound = (F.coalesce(bottom, F.lit(0)) <= F.max(lower)) & (F.max("upto") > F.max(upper))
-    exact = F.when(sound, (at(lower) + at(upper)) / 2).otherwise(
-        F.raise_error(F.lit("the sketch did not bracket a group median"))
-    )
-    ranked = ladder.groupBy(key, "n_rows").agg(exact.cast("double").alias("median"))
-    return cold.unionByName(ranked)
+    return ranked.groupBy(key, "n_rows").agg(((at(lower) + at(upper)) / 2).cast("double").alias("median"))
 
 
-def target_median_encode(
-    df: DataFrame, column: str, target: str, name: str | None = None, hot_rows: int | None = None
-) -> DataFrame:
+def target_median_encode(df: DataFrame, column: str, target: str, name: str | None = None) -> DataFrame:
     """Replace (or add as ``name``) a category by the median target of its rows."""
     keyed = df.withColumn(KEY, F.col(column))
     counts = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
-    medians = group_median(keyed, KEY, target, hot_rows).select(KEY, F.col("median").alias("__median"))
+    medians = group_median(keyed, KEY, target).select(KEY, F.col("median").alias("__median"))
     profile = counts.join(medians, KEY, "left")
-    attached = attach_by_key(keyed, profile, [KEY], ["__median"], "__n", hot_rows)
+    attached = attach_by_key(keyed, profile, [KEY], ["__median"])
     return attached.withColumn(name or column, F.col("__median")).drop(KEY, "__median")

@@ -37,14 +37,14 @@ def overlap_join(variants: DataFrame, intervals: DataFrame, bin_width: int | Non
 
     ``variants`` has chr, start, end; ``intervals`` has chr, istart, iend and any other columns. Both sides are
     listed under every bin they touch and meet by an equality on (chr, bin), so no interval of a chromosome is
-    compared with every variant of it. A pair that shares several bins is kept in the bin of its first common base.
+    compared with every variant of it. A row of no length matches what it lies strictly inside; reversed rows match
+    nothing. A pair that shares several bins is kept in the bin of its first common base.
     No hint is given: Spark broadcasts the interval side while it is below its size threshold, and otherwise
     shuffles both sides and splits a hot bin by adaptive skew handling.
     """
     width = bin_width or pick_bin_width(intervals)
-    positive = F.col("start") < F.col("end")
-    left = variants.where(positive).withColumn(BIN, _bins("start", "end", width))
-    right = intervals.where(F.col("istart") < F.col("iend")).withColumn(BIN, _bins("istart", "iend", width))
+    left = variants.where(F.col("start") <= F.col("end")).withColumn(BIN, _bins("start", "end", width))
+    right = intervals.where(F.col("istart") <= F.col("iend")).withColumn(BIN, _bins("istart", "iend", width))
     overlap = (F.col("start") < F.col("iend")) & (F.col("end") > F.col("istart"))
     first_common = _bin_of(F.greatest("start", "istart"), width)
     return left.join(right, ["chr", BIN]).where(overlap & (F.col(BIN) == first_common)).drop(BIN)
@@ -53,7 +53,7 @@ def overlap_join(variants: DataFrame, intervals: DataFrame, bin_width: int | Non
 def overlap_join_by_chromosome(variants: DataFrame, intervals: DataFrame) -> DataFrame:
     """The same join with the chromosome as the only key: for a handful of intervals per chromosome."""
     overlap = (F.col("start") < F.col("iend")) & (F.col("end") > F.col("istart"))
-    valid = (F.col("start") < F.col("end")) & (F.col("istart") < F.col("iend"))
+    valid = (F.col("start") <= F.col("end")) & (F.col("istart") <= F.col("iend"))
     return variants.join(intervals, "chr").where(overlap & valid)
 
 
@@ -74,4 +74,5 @@ def _bin_of(position, width: int):
 
 
 def _bins(start: str, end: str, width: int):
-    return F.explode(F.sequence(_bin_of(F.col(start), width), _bin_of(F.col(end) - 1, width)))
+    last = F.greatest(F.col(start), F.col(end) - 1)  # a row of no length lies in the bin of its start
+    return F.explode(F.sequence(_bin_of(F.col(start), width), _bin_of(last, width)))

@@ -7,81 +7,35 @@ from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import quoted
 
-# A key with more rows than this is joined without a shuffle, see attach_by_key.
-HOT_ROWS = 4_000_000
-
 
 def attach_by_key(
-    rows: DataFrame,
-    profile: DataFrame,
-    keys: list[str],
-    columns: list[str],
-    count_column: str,
-    hot_rows: int | None = None,
-    keep: Column | None = None,
+    rows: DataFrame, profile: DataFrame, keys: list[str], columns: list[str], keep: Column | None = None
 ) -> DataFrame:
-    """Join a per-key aggregate of ``rows`` back onto them without piling a hot key into one task.
+    """Join a per-key aggregate of ``rows`` back onto them.
 
-    ``profile`` has one row for every key and, in ``count_column``, how many rows the key has. ``keep`` is a condition
-    on it: rows whose key does not satisfy it, or that have no key, are dropped. Without it the join is a left join.
+    ``profile`` has one row for every key. ``keep`` is a condition on it: rows whose key does not satisfy it, or that
+    have no key, are dropped. Without it the join is a left join.
 
-    At most ``total / hot_rows`` keys can exceed ``hot_rows``, so that part of the profile has a proven small size and
-    is broadcast. All other keys, each bounded by ``hot_rows``, meet their profile row in one shuffled equi-join, which
-    Spark turns into a broadcast where that side turns out small. Rows of a hot key, and rows without a key, pass
-    through that shuffle by the task that read them instead of by key: they match nothing there and spread evenly,
-    copies of a row included, and a repeated task sends them to the same place.
+    One equi-join: Spark broadcasts the profile while it is below its size threshold, otherwise shuffles both sides
+    and splits the partition of a hot key at run time (adaptive skew handling, on in ``session.SETTINGS``).
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    values = list(dict.fromkeys([count_column, *columns]))
     if keep is not None:
-        profile = profile.withColumn("__keep", F.coalesce(keep, F.lit(False)))
-        rows = rows.where(~_any_null(keys))
-
-    def side(part: DataFrame, tag: str, extra: list[str]) -> DataFrame:
-        return part.select(*[F.col(c).alias(f"__{tag}_{c}") for c in [*keys, *values]], *extra)
-
-    hot = side(profile.where(F.col(count_column) > limit), "hot", ["__keep"] if keep is not None else [])
-    cold = profile.where(F.col(count_column) <= limit)
-    cold = side(cold if keep is None else cold.where("__keep"), "cold", [])
-    # Always -1, but not as a literal: a literal would be folded out of the join key and the rows would not spread.
-    no_task = F.least(F.col(f"__cold_{count_column}").cast("bigint"), F.lit(-1).cast("bigint"))
-    cold = cold.withColumn("__cold_task", no_task)
+        profile = profile.where(F.coalesce(keep, F.lit(False)))
+    side = profile.select(*[F.col(c).alias(f"__key_{c}") for c in keys], *[F.col(c).alias(f"__of_{c}") for c in columns])
+    how = "left" if keep is None else "inner"
+    joined = rows.join(side, [F.col(k) == F.col(f"__key_{k}") for k in keys], how)
+    return joined.select(*[quoted(c) for c in rows.columns], *[F.col(f"__of_{c}").alias(c) for c in columns])
 
-    is_hot = F.col(f"__hot_{count_column}").isNotNull()
-    flagged = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in keys], "left")
-    if keep is not None:
-        flagged = flagged.where(~is_hot | F.col("__keep"))
-    by_key = ~is_hot & ~_any_null(keys)
-    task = F.spark_partition_id().cast("bigint")
-    placed = flagged.withColumns(
-        {f"__join_{k}": F.when(by_key, F.col(k)) for k in keys}
-        | {"__join_task": F.when(by_key, F.lit(-1).cast("bigint")).otherwise(task)}
-    )
-    joined = placed.join(cold, [F.col(f"__join_{k}") == F.col(f"__cold_{k}") for k in [*keys, "task"]], "left")
-    if keep is not None:
-        joined = joined.where(is_hot | F.col(f"__cold_{count_column}").isNotNull())
-    return joined.select(
-        *[quoted(c) for c in rows.columns],
-        *[F.coalesce(F.col(f"__hot_{c}"), F.col(f"__cold_{c}")).alias(c) for c in columns],
-    )
 
-
-def keep_keys(
-    rows: DataFrame,
-    profile: DataFrame,
-    keys: list[str],
-    condition: Column,
-    count_column: str,
-    hot_rows: int | None = None,
-) -> DataFrame:
+def keep_keys(rows: DataFrame, profile: DataFrame, keys: list[str], condition: Column) -> DataFrame:
     """Semi-join: rows whose key's profile satisfies the condition. Rows without a key are dropped."""
-    return attach_by_key(rows, profile, keys, [], count_column, hot_rows, condition)
+    return attach_by_key(rows, profile, keys, [], condition)
 
 
-def group_count(rows: DataFrame, keys: list[str], name: str = "n", hot_rows: int | None = None) -> DataFrame:
+def group_count(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     """Number of rows of the key on every row; null for rows without a key."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return attach_by_key(rows, counts, keys, [name], name, hot_rows)
+    return attach_by_key(rows, counts, keys, [name])
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,10 +50,3 @@ def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def left_lookup(rows: DataFrame, lookup: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Left equi-join with a lookup table; Spark broadcasts it only while it is below its own size threshold."""
     return rows.join(lookup.select(key, *columns), key, "left")
-
-
-def _any_null(keys: list[str]) -> Column:
-    missing = F.lit(False)
-    for key in keys:
-        missing = missing | F.col(key).isNull()
-    return missing

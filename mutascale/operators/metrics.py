@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,25 @@ def ols_intercept(y: Column, x: Column) -> Column:
     return F.coalesce(F.regr_intercept(y, x), F.avg(F.when(x.isNotNull(), y)))
 
 
+def weighted_line(df: DataFrame, group: str, y: str, x: str, weight: str) -> DataFrame:
+    """``coef, intercept, weight`` per group of the least-squares line; a row stands for ``weight`` equal rows.
+
+    The moments are taken about the group's means, so nothing cancels where values are large against their spread. Rows
+    without one of the sides count for the weight only. A constant x gives slope 0.
+    """
+    w = F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), F.col(weight))
+    means = df.groupBy(group).agg(
+        (F.sum(w * F.col(y)) / F.sum(w)).alias("__my"), (F.sum(w * F.col(x)) / F.sum(w)).alias("__mx")
+    )
+    dx, dy, known = F.col(x) - F.col("__mx"), F.col(y) - F.col("__my"), F.when(w.isNotNull(), F.col(x))
+    sums = df.join(means, group).groupBy(group, "__mx", "__my").agg(
+        F.sum(weight).alias("weight"), F.sum(w * dx * dy).alias("__xy"), F.sum(w * dx * dx).alias("__xx"),
+        (F.min(known) < F.max(known)).alias("__varies"),
+    )
+    slope = F.when(F.col("__varies"), F.col("__xy") / F.col("__xx")).otherwise(F.lit(0.0))
+    return sums.select(group, "weight", slope.alias("coef"), (F.col("__my") - slope * F.col("__mx")).alias("intercept"))
+
+
 def confusion(actual: Column, predicted: Column, weight: Column | None = None) -> dict[str, Column]:
     """High/low counts by actual and predicted flag, optionally weighted."""
     n = F.lit(1).cast("long") if weight is None else weight
@@ -37,8 +56,14 @@ def accuracy(whfh: Column, wlfl: Column, whfl: Column, wlfh: Column) -> Column:
     return F.try_divide((whfh + wlfl).cast("double"), (whfh + wlfl + whfl + wlfh).cast("double"))
 
 
+def _paired(y: Column, p: Column) -> tuple[Column, Column]:
+    """Both sides, null where the other is: every term then reads the same rows."""
+    return F.when(p.isNotNull(), y), F.when(y.isNotNull(), p)
+
+
 def r_squared(y: Column, p: Column) -> Column:
-    """1 - SSres / SStot on given predictions; a constant y gives null."""
+    """1 - SSres / SStot over the rows that have both sides; a constant y gives null."""
+    y, p = _paired(y, p)
     return F.lit(1.0) - F.try_divide(F.sum(F.pow(y - p, F.lit(2.0))), F.count(y) * F.var_pop(y))
 
 
@@ -53,7 +78,11 @@ def rmsle(y: Column, p: Column) -> Column:
 
 
 def concordance(y: Column, p: Column) -> Column:
-    """Lin's concordance with population moments. A constant side or a single point gives null."""
+    """Lin's concordance with population moments over the rows that have both sides.
+
+    A constant side or a single point gives null.
+    """
+    y, p = _paired(y, p)
     shift = F.avg(y) - F.avg(p)
     spread = F.var_pop(y) + F.var_pop(p) + shift * shift
     varies = (F.min(y) < F.max(y)) & (F.min(p) < F.max(p))

@@ -49,7 +49,6 @@ class QcRules:
     burden_vaf: float = 0.05
     exome_mb: float = 34.0
     high_burden: float = 10.0
-    hot_rows: int | None = None
 
     def site_passes(self) -> Column:
         """Row-level rule: known class, enough depth, enough supporting reads."""
@@ -118,7 +117,7 @@ def drop_tagged_samples(df: DataFrame, rules: QcRules) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(matches_any(F.col(rules.label), rules.sample_tags)).alias("n_tagged"),
     )
-    attached = attach_by_key(df, flagged, [rules.sample], ["n_tagged"], "n_rows", rules.hot_rows)
+    attached = attach_by_key(df, flagged, [rules.sample], ["n_tagged"])
     return attached.where(F.coalesce(F.col("n_tagged"), F.lit(0)) == 0).drop("n_tagged")
 
 
@@ -126,7 +125,7 @@ def keep_strong_samples(df: DataFrame, rules: QcRules) -> DataFrame:
     """Semi-join: keep samples whose largest VAF is above the threshold."""
     peaks = df.groupBy(rules.sample).agg(F.count(F.lit(1)).alias("n_rows"), F.max(rules.vaf).alias("max_vaf"))
     strong = F.col("max_vaf") > rules.min_max_vaf
-    return keep_keys(df, peaks, [rules.sample], strong, "n_rows", rules.hot_rows)
+    return keep_keys(df, peaks, [rules.sample], strong)
 
 
 def failed_proportion(df: DataFrame, rules: QcRules) -> DataFrame:
@@ -138,17 +137,20 @@ def failed_proportion(df: DataFrame, rules: QcRules) -> DataFrame:
     )
 
 
-def label_pivot(df: DataFrame, sample: str, label: str, values: list[str]) -> DataFrame:
-    """Rows per sample and label as one column per label, 0 where absent. The labels are given, so no extra job."""
-    counts = df.groupBy(sample).pivot(label, values).agg(F.count(F.lit(1)))
-    return counts.na.fill(0)
+def label_pivot(df: DataFrame, sample: str, label: str) -> DataFrame:
+    """Rows per sample and label as one column per label that occurs, 0 where absent; a missing label is ``null``.
+
+    The labels become columns, so their number is bounded by Spark's own limit for pivots, which raises beyond it.
+    """
+    named = df.withColumn(label, F.coalesce(F.col(label), F.lit("null")))
+    return named.groupBy(sample).pivot(label).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def drop_artefacts(df: DataFrame, rules: QcRules) -> DataFrame:
     """Drop samples with too many artefacts, then the remaining artefact rows."""
     shares = failed_proportion(df, rules)
     few = F.col("failed_proportion") < rules.max_failed
-    return keep_keys(df, shares, [rules.sample], few, "n_rows", rules.hot_rows).where(rules.label_passes())
+    return keep_keys(df, shares, [rules.sample], few).where(rules.label_passes())
 
 
 def site_filter(df: DataFrame, rules: QcRules) -> DataFrame:
@@ -163,9 +165,7 @@ def clean_variants(df: DataFrame, rules: QcRules) -> DataFrame:
     """
     profile = sample_profile(df, rules).withColumn("wesTMB", exome_burden(rules))
     rows = df.where(rules.label_passes()).transform(lambda d: site_filter(d, rules))
-    return attach_by_key(
-        rows, profile, [rules.sample], ["wesTMB"], "n_rows", rules.hot_rows, keep=rules.sample_passes()
-    )
+    return attach_by_key(rows, profile, [rules.sample], ["wesTMB"], keep=rules.sample_passes())
 
 
 def exome_burden(rules: QcRules) -> Column:

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from mutascale.functions.scalar import quoted
 from mutascale.session import scratch_root
 
+PARTITION_ROWS = 50_000
 VECTOR = "__features"
 LABEL = "__label"
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Parameters of one boosted model; ``gamma`` is the smallest gain of a split."""
+    """Parameters of one boosted model; ``gamma`` is the smallest loss reduction of a split, summed over its rows."""
 
     eta: float = 0.1
     max_depth: int = 5
@@ -55,10 +56,15 @@ def as_model_input(df: DataFrame, features: list[str], target: str) -> DataFrame
     return ready.dropna(subset=[LABEL, *[f"`{f}`" if "." in f else f for f in features]])
 
 
-def _regressor(params: TreeParams, rounds: int, seed: int, validation: str | None) -> GBTRegressor:
+def _least_gain(params: TreeParams, rows: int) -> float:
+    """The same bound as a drop of the variance per row, which Spark measures."""
+    return 2 * params.gamma / max(rows, 1)
+
+
+def _regressor(params: TreeParams, rounds: int, seed: int, validation: str | None, rows: int) -> GBTRegressor:
     regressor = GBTRegressor(
         featuresCol=VECTOR, labelCol=LABEL, maxIter=rounds, stepSize=params.eta, maxDepth=params.max_depth,
-        subsamplingRate=params.subsample, minInfoGain=params.gamma, minInstancesPerNode=params.min_child_weight,
+        subsamplingRate=params.subsample, minInfoGain=_least_gain(params, rows), minInstancesPerNode=params.min_child_weight,
         seed=seed,
     )
     return regressor.setValidationIndicatorCol(validation) if validation else regressor
@@ -76,14 +82,21 @@ def fit_boosted(
     """Fit a boosted model; with ``validation`` (a boolean column) boosting stops once those rows stop improving."""
     scratch_root(train.sparkSession)
     assembler = VectorAssembler(inputCols=features, outputCol=VECTOR)
-    stages = [assembler, _regressor(params or TreeParams(), rounds, seed, validation)]
-    return Pipeline(stages=stages).fit(_balanced(as_model_input(train, features, target), features, validation))
+    ready, n = _balanced(as_model_input(train, features, target), features, validation)
+    stages = [assembler, _regressor(params or TreeParams(), rounds, seed, validation, n)]
+    return Pipeline(stages=stages).fit(ready)
+
 
+def _balanced(ready: DataFrame, features: list[str], validation: str | None) -> tuple[DataFrame, int]:
+    """Only the training columns, dealt by content and sorted, and their number of rows.
 
-def _balanced(ready: DataFrame, features: list[str], validation: str | None) -> DataFrame:
-    """Only the training columns, spread evenly once: every boosting round passes over the cached rows again."""
-    columns = [*features, LABEL, *([validation] if validation else [])]
-    return ready.select(*[quoted(c) for c in columns]).repartition(ready.sparkSession.sparkContext.defaultParallelism)
+    Spark samples rows by partition and position. Their number of partitions follows from the rows and their order from
+    the content, so a model does not depend on the cluster.
+    """
+    columns = [quoted(c) for c in [*features, LABEL, *([validation] if validation else [])]]
+    ready = ready.select(*columns)
+    n = ready.count()
+    return ready.repartition(-(-max(n, 1) // PARTITION_ROWS), *columns).sortWithinPartitions(*columns), n
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -110,13 +123,13 @@ def search(
 ) -> DataFrame:
     """Root mean squared error of each trial on a held-out fifth of the training rows, best first."""
     scratch_root(train.sparkSession)
-    balanced = _balanced(as_model_input(train, features, target), features, validation)
+    balanced, n = _balanced(as_model_input(train, features, target), features, validation)
     ready = VectorAssembler(inputCols=features, outputCol=VECTOR).transform(balanced)
-    regressor = _regressor(TreeParams(), rounds, seed, validation)
+    regressor = _regressor(TreeParams(), rounds, seed, validation, n)
     grid = [
         {
             regressor.stepSize: t.eta, regressor.maxDepth: t.max_depth, regressor.subsamplingRate: t.subsample,
-            regressor.minInfoGain: t.gamma, regressor.minInstancesPerNode: t.min_child_weight,
+            regressor.minInfoGain: _least_gain(t, n), regressor.minInstancesPerNode: t.min_child_weight,
         }
         for t in trials
     ]

@@ -87,7 +87,7 @@ def label_results(results: DataFrame, gene_counts: DataFrame | None = None) -> D
     return labelled if gene_counts is None else labelled.join(gene_counts, "panel ID", "left")
 
 
-def prepare_features(df: DataFrame, remove_prefix: bool, hot_rows: int | None = None) -> DataFrame:
+def prepare_features(df: DataFrame, remove_prefix: bool) -> DataFrame:
     """Turn parameter columns into numbers and flags. A step is taken only where its columns exist."""
     present = set(df.columns)
     drop: list[str] = []
@@ -100,7 +100,7 @@ def prepare_features(df: DataFrame, remove_prefix: bool, hot_rows: int | None =
     if {"recall", "precision"} <= present:
         df = df.withColumn("rgbrp", F.abs(error_balance(F.col("recall"), F.col("precision"))))
     if "DNA shearing" in present:
-        df = frequency_encode(df, "DNA shearing", hot_rows=hot_rows)
+        df = frequency_encode(df, "DNA shearing")
     if "UMI" in present:
         df = df.withColumn("UMI", not_equal_or_null(F.col("UMI"), "No"))
     for column, unit in (("Reads Length", 50), ("Sequencing Depth", 100)):
@@ -111,7 +111,7 @@ def prepare_features(df: DataFrame, remove_prefix: bool, hot_rows: int | None =
         target = next((t for t in ("rgbrp", "RMSLE") if t in df.columns), None)
         if target is None:
             raise ValueError("no target column for the sequencing platform")
-        df = target_median_encode(df, "Sequencing Platform", target, hot_rows=hot_rows)
+        df = target_median_encode(df, "Sequencing Platform", target)
     if "Reference Genome" in present:
         df = df.withColumn("Reference Genome", map_values(quoted("Reference Genome"), GENOME_CODES))
     for column, labels in (("Callers", CALLERS), ("Involved Variants", VARIANT_TYPES), ("Filter Rules", FILTER_RULES)):

@@ -173,7 +173,7 @@ def sample_counts(overlaps: DataFrame, grid: Grid) -> DataFrame:
     ])
     passed = F.element_at(places, (F.col("level") - 1) * 2 + F.col("hot").cast("int") + 1)
     counters = [
-        F.sum(F.when(F.col("group") == i, F.col("m")).otherwise(F.lit(0))).cast("int").alias(f"g{i}")
+        F.sum(F.when(F.col("group") == i, F.col("m")).otherwise(F.lit(0))).alias(f"g{i}")
         for i in range(len(groups))
     ]
     return (

@@ -22,7 +22,7 @@ def test_equals_brute_force(spark, width):
     p = [(f"p{rng.randint(1, 4)}", f"c{rng.randint(2, 4)}", s, s + rng.choice([0, 1, 5, 30, 300])) for _ in range(80) for s in [rng.randint(0, 500)]]
     expected = sorted(
         (x[3], y[0], y[2], y[3]) for x in v for y in p
-        if x[0] == y[1] and x[1] < x[2] and y[2] < y[3] and x[1] < y[3] and x[2] > y[2]
+        if x[0] == y[1] and x[1] <= x[2] and y[2] <= y[3] and x[1] < y[3] and x[2] > y[2]
     )
     joined = iv.overlap_join(variants(spark, v), panels(spark, p), width)
     assert sorted(map(tuple, joined.select("id", "panel", "istart", "iend").collect())) == expected
@@ -109,3 +109,16 @@ def test_restrict_decodes_sentinels(spark):
     p = panels(spark, [("p", "c", 0, 6)])
     rows = restrict_to_panels(v, p).orderBy("start").select("start", "max_maf", "cosmic96_coding", "purity").collect()
     assert [tuple(r) for r in rows] == [(0, None, 0.0, None), (5, 0.1, 7.0, 0.5)]
+
+
+def test_rows_of_no_length(spark):
+    """They match what they lie strictly inside, on either side; reversed rows match nothing."""
+    v = spark.createDataFrame(
+        [("c", 5, 5, 1), ("c", 0, 0, 2), ("c", 10, 10, 3), ("c", 9, 4, 4), ("c", 0, 40, 5), ("c", 30, 30, 6)],
+        "chr string, start int, end int, id int",
+    )
+    p = spark.createDataFrame([("p", "c", 0, 10), ("q", "c", 20, 20), ("r", "c", 30, 30)], "panel string, chr string, istart int, iend int")
+    expected = {(1, "p"), (5, "p"), (5, "q"), (5, "r")}
+    for width in (1, 4, 64):
+        assert {(r.id, r.panel) for r in iv.overlap_join(v, p, width).collect()} == expected
+    assert {(r.id, r.panel) for r in iv.overlap_join_by_chromosome(v, p).collect()} == expected

@@ -15,45 +15,45 @@ def rows(spark):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100, 10**9])
-def test_counts_with_hot_key(rows, hot_rows):
-    result = lookups.group_count(rows, ["k"], hot_rows=hot_rows)
+def test_counts_with_hot_key(rows):
+    result = lookups.group_count(rows, ["k"])
     plain = rows.groupBy("k").agg(F.count("*").alias("n")).where("k is not null")
     expected = rows.join(plain, "k", "left").select("k", "v", "n")
     assert result.count() == 3000
     assert result.exceptAll(expected).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100, 10**9])
-def test_keep_keys_with_hot_key(rows, hot_rows):
+def test_keep_keys_with_hot_key(rows):
     profile = rows.groupBy("k").agg(F.count("*").alias("n"))
-    kept = lookups.keep_keys(rows, profile, ["k"], F.col("n") > 12, "n", hot_rows)
+    kept = lookups.keep_keys(rows, profile, ["k"], F.col("n") > 12)
     big = [r.k for r in profile.where("n > 12 and k is not null").collect()]
     expected = rows.where(F.col("k").isin(big))
     assert "hot" in big and kept.count() == expected.count() and kept.exceptAll(expected).count() == 0
 
 
-def test_hot_rows_spread_over_tasks(spark, plan):
-    """Two thirds of the rows have one key, a tenth none; no task gets more than its share."""
-    ids = spark.range(0, 20000, 1, 16)
+def test_hot_key_is_split(spark, plan):
+    """Two thirds of the rows have one key; Spark splits its partition in the one join there is."""
+    ids = spark.range(0, 60000, 1, 16)
     skewed = ids.select(
-        F.when(F.col("id") % 10 == 1, None).when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k")
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.repeat(F.lit("x"), 50).alias("v"),
+        F.rand(1).alias("w"),
     )
-    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
-    for name in settings:
-        spark.conf.set(name, -1)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        result = lookups.group_count(skewed, ["k"], hot_rows=1000)
-        text = plan(result)
-        assert "hashpartitioning(__join_k" in text and "__join_task" in text.split("hashpartitioning(__join_k")[1][:40]
-        assert "NestedLoop" not in text
+        result = lookups.group_count(skewed, ["k"])
         sizes = [r["count"] for r in result.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(sizes) == 20000 and max(sizes) < 20000 * 0.35
+        assert sum(sizes) == 60000 and max(sizes) < 60000 * 0.5
+        assert "NestedLoop" not in plan(result)
     finally:
-        for name in settings:
-            spark.conf.unset(name)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def test_one_to_one(spark):

@@ -66,8 +66,8 @@ def test_vif_of_a_determined_feature(spark):
     assert all(r.vif == float("inf") for r in collinearity.variance_inflation(df, ["a", "b"]).collect())
 
 
-@pytest.mark.parametrize("hot_rows,accuracy", [(10**9, 100), (0, 10), (50, 20), (100, 1000)])
-def test_group_median_is_exact(spark, hot_rows, accuracy):
+@pytest.mark.parametrize("partitions", ["1", "8", "40"])
+def test_group_median_is_exact(spark, partitions):
     rng = np.random.default_rng(1)
     values = {
         "big": rng.normal(0, 1, 701), "even": rng.integers(0, 9, 300), "same": np.full(120, 4.0), "one": np.array([7.0]),
@@ -75,14 +75,35 @@ def test_group_median_is_exact(spark, hot_rows, accuracy):
     }
     rows = [(k, float(x)) for k, xs in values.items() for x in xs] + [("big", None), (None, 3.0)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    result = {r.k: (r.n_rows, r["median"]) for r in encode.group_median(df, "k", "v", hot_rows, accuracy).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        result = {r.k: (r.n_rows, r["median"]) for r in encode.group_median(df, "k", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert result == {k: (len(xs), pytest.approx(float(np.median(xs)))) for k, xs in values.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_encodings(spark, hot_rows):
+def test_encodings(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 7.0), (None, 9.0), (None, 8.0)], "k string, t double")
-    counts = encode.frequency_encode(df, "k", hot_rows=hot_rows).orderBy("t").collect()
+    counts = encode.frequency_encode(df, "k").orderBy("t").collect()
     assert [r.k for r in counts] == [2, 2, 1, 2, 2]
-    medians = encode.target_median_encode(df, "k", "t", "m", hot_rows=hot_rows).orderBy("t").collect()
+    medians = encode.target_median_encode(df, "k", "t", "m").orderBy("t").collect()
     assert [r.m for r in medians] == [2.5, 2.5, 7.0, None, None]
+
+
+def test_scores_read_paired_rows_only(spark):
+    """A row without a prediction, and one without a value, change nothing."""
+    paired = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 4.0)], "y double, p double")
+    gaps = paired.unionByName(spark.createDataFrame([(50.0, None), (None, 9.0)], "y double, p double"))
+    for score, expected in ((metrics.r_squared, 0.5), (metrics.concordance, 6 / 7)):
+        for df in (paired, gaps):
+            assert df.agg(score(F.col("y"), F.col("p")).alias("s")).first().s == pytest.approx(expected)
+
+
+def test_weighted_line_equals_repeated_rows(spark):
+    rows = [("a", 1.0e6 + x, 3.0 * x + 1, n) for x, n in ((0.0, 1), (1.0, 5), (2.0, 2), (4.0, 3))] + [("b", 2.0, 5.0, 4), ("b", 2.0, 8.0, 2)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, n int")
+    lines = {r.g: (r.coef, r.intercept, r.weight) for r in metrics.weighted_line(df, "g", "y", "x", "n").collect()}
+    assert lines["a"] == (pytest.approx(3.0), pytest.approx(1 - 3.0e6), 11)
+    assert lines["b"] == (0.0, pytest.approx(6.0), 6)

@@ -24,8 +24,7 @@ def test_feature_steps_only_where_columns_exist(spark):
     assert kept.first().Method == "p12"
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_whole_sheet(spark, hot_rows):
+def test_whole_sheet(spark):
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.PARAMETER_SHEET.fields)
     rows = [
         ("p1a", 2.0, 30, "ultrasonic", "No", 150, 1000, "X", "hg19", "VarDict, GATK Mutect2", 0.02, 0.05, "Missense, Indel", "SNP", "tumor-only"),
@@ -35,7 +34,7 @@ def test_whole_sheet(spark, hot_rows):
     parameters = spark.createDataFrame(rows, columns)
     accuracy = sheet(spark, [("p1a", 1.0, 0.5, 0.1), ("p2", 0.5, 0.5, 0.2), ("p3", 0.8, 1.0, 0.3)])
     joined = accuracy.join(parameters, "panel ID")
-    ready = {r["panel ID"]: r for r in features.prepare_features(joined, False, hot_rows).collect()}
+    ready = {r["panel ID"]: r for r in features.prepare_features(joined, False).collect()}
     first, second, third = ready["p1a"], ready["p2"], ready["p3"]
     assert first["Gene Count per Mb"] == 15.0 and "Gene Count" not in first.asDict() and "Callers" not in first.asDict()
     assert (first["DNA shearing"], second["DNA shearing"]) == (1, 2)

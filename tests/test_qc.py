@@ -17,9 +17,8 @@ def samples(df):
     return sorted({r.Tumor_Sample_Barcode for r in df.collect()})
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_tagged_sample_goes_whole(spark, hot_rows):
-    rules = QcRules(hot_rows=hot_rows)
+def test_tagged_sample_goes_whole(spark):
+    rules = QcRules()
     df = table(spark, [
         ("a", "PASS", 30, 10, "Silent"), ("a", "xx-wga", 30, 10, "Silent"),
         ("b", "PASS", 30, 10, "Silent"), ("b", None, 30, 10, "Silent"),
@@ -28,9 +27,8 @@ def test_tagged_sample_goes_whole(spark, hot_rows):
     assert samples(kept) == ["b"] and kept.count() == 2
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_max_vaf_is_strict(spark, hot_rows):
-    rules = QcRules(hot_rows=hot_rows)
+def test_max_vaf_is_strict(spark):
+    rules = QcRules()
     df = table(spark, [("a", "PASS", 100, 10, "Silent"), ("a", "PASS", 100, 5, "Silent"), ("b", "PASS", 100, 11, "Silent")])
     assert samples(qc.keep_strong_samples(df, rules)) == ["b"]
 
@@ -39,9 +37,8 @@ def test_depth_zero_gives_null(spark):
     assert table(spark, [("a", "PASS", 0, 3, "Silent")]).first().VAF is None
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_half_failed_drops_sample(spark, hot_rows):
-    rules = QcRules(hot_rows=hot_rows)
+def test_half_failed_drops_sample(spark):
+    rules = QcRules()
     df = table(spark, [
         ("half", "StrandBias", 30, 10, "Silent"), ("half", "PASS", 30, 10, "Silent"),
         ("third", "StrandBias", 30, 10, "Silent"), ("third", "PASS", 30, 10, "Silent"), ("third", "PASS", 30, 10, "Silent"),
@@ -72,9 +69,8 @@ def test_missing_study_drops(spark):
     assert samples(qc.with_study(df, clinical, RULES)) == ["a"]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 2])
-def test_chain_equals_its_steps(spark, hot_rows):
-    rules = QcRules(hot_rows=hot_rows)
+def test_chain_equals_its_steps(spark):
+    rules = QcRules()
     base = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     rows = base.select(
         F.concat(F.lit("s"), F.col("l_suppkey") % 37).alias("Tumor_Sample_Barcode"),
@@ -114,10 +110,16 @@ def test_constant_columns(spark):
 
 def test_pivot_fills_zero(spark):
     df = table(spark, [("a", "x", 1, 1, "Silent"), ("b", "y", 1, 1, "Silent"), ("b", "y", 1, 1, "Silent")])
-    rows = qc.label_pivot(df, "Tumor_Sample_Barcode", "FILTER", ["x", "y"]).collect()
+    rows = qc.label_pivot(df, "Tumor_Sample_Barcode", "FILTER").collect()
     assert {tuple(r) for r in rows} == {("a", 1, 0), ("b", 0, 2)}
 
 
+def test_pivot_counts_every_label(spark):
+    df = table(spark, [("a", label, 1, 1, "Silent") for label in ("AF", "ZZ", None, "AF")])
+    row = qc.label_pivot(df, "Tumor_Sample_Barcode", "FILTER").first()
+    assert (row["AF"], row["ZZ"], row["null"]) == (2, 1, 1)
+
+
 def test_rank_order_drops_unknown_sample(spark):
     df = spark.createDataFrame([("b", 2.0, 1), ("a", 3.0, 1), (None, 1.0, 1), ("c", None, 1)], "s string, tmb double, at int")
     assert [r.s for r in burden.rank_by_burden(df, "s", "tmb", ["at"]).collect()] == ["c", "b", "a"]

@@ -117,3 +117,20 @@ def test_importance_plan(rows):
     assert outcome.rmse < 1.0 and outcome.max_gap.first().max_gap < 1e-9
     assert outcome.ranking.first().feature == "a" and outcome.trials.count() == 2
     assert 150 < outcome.attributions.count() < 330
+
+
+def test_gain_bound_is_per_row(spark):
+    """The largest bound of the search still lets a clean 0/1 step split."""
+    df = spark.createDataFrame([(float(i % 2), float(i % 2)) for i in range(400)], "x double, y double")
+    model = trees.fit_boosted(df, ["x"], "y", trees.TreeParams(eta=0.5, gamma=10.0), rounds=3)
+    assert trees.held_out_rmse(model, df, ["x"], "y") < 0.3
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    base = spark.range(600).selectExpr("cast(id % 37 as double) as x", "cast(id % 11 as double) as z", "cast(id % 37 + id % 5 as double) as y")
+    params = trees.TreeParams(eta=0.3, max_depth=3, subsample=0.6)
+    sums = set()
+    for n in (2, 5):
+        model = trees.fit_boosted(base.repartition(n), ["x", "z"], "y", params, rounds=3)
+        sums.add(round(trees.predict(model, base, ["x", "z"], "y").agg(F.sum("prediction")).first()[0], 6))
+    assert len(sums) == 1
