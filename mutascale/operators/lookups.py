@@ -17,11 +17,12 @@ def attach_by_key(
     have no key, are dropped. Without it the join is a left join.
 
     One equi-join: Spark broadcasts the profile while it is below its size threshold, otherwise shuffles both sides
-    and splits the partition of a hot key at run time (adaptive skew handling, on in ``session.SETTINGS``).
+    and splits the partition of a hot key at run time (adaptive skew handling, on in ``session.SETTINGS``). It does so
+    only where a shuffle stands right below the join, so the profile is rebalanced after its aggregate.
     """
     if keep is not None:
         profile = profile.where(F.coalesce(keep, F.lit(False)))
-    side = profile.select(*[F.col(c).alias(f"__key_{c}") for c in keys], *[F.col(c).alias(f"__of_{c}") for c in columns])
+    side = profile.select(*[F.col(c).alias(f"__key_{c}") for c in keys], *[F.col(c).alias(f"__of_{c}") for c in columns]).hint("rebalance")
     how = "left" if keep is None else "inner"
     joined = rows.join(side, [F.col(k) == F.col(f"__key_{k}") for k in keys], how)
     return joined.select(*[quoted(c) for c in rows.columns], *[F.col(f"__of_{c}").alias(c) for c in columns])

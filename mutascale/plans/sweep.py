@@ -298,23 +298,26 @@ def with_fit(moments: DataFrame, lengths: DataFrame) -> DataFrame:
     wy = F.col("n") * F.col("train_y")
     trained = F.when(F.col("train") > 0, F.col("n"))
     totals = {
-        "w": F.sum(w), "wx": F.sum(w * x), "wxx": F.sum(w * x * x), "wy": F.sum(wy), "wxy": F.sum(wy * x),
+        "w": F.sum(w), "wx": F.sum(w * x), "wy": F.sum(wy),
         "n_test": F.sum(F.col("high") + F.col("low")), "low_n": F.min(trained), "high_n": F.max(trained),
         "low_y": F.min("train_min"), "high_y": F.max("train_max"),
     }
-    mean = F.try_divide(F.col("wy"), F.col("w"))
-    spread = F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w")
-    slope = (F.col("wxy") - F.col("wx") * F.col("wy") / F.col("w")) / spread
+    # co-moments about the means: raw powers would cancel where x is large against its spread
+    mean_x, mean_y = F.col("wx") / F.col("w"), F.try_divide(F.col("wy"), F.col("w"))
+    away = x - mean_x
+    spreads = {"sxx": F.sum(w * away * away), "sxy": F.sum(away * (wy - w * mean_y))}
+    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
     # A constant side gives exactly 0; rounding in the sums must not invent a slope.
     varies = (F.col("low_n") < F.col("high_n")) & (F.col("low_y") < F.col("high_y"))
     fitted = (
         moments.join(lengths, "panel")
         .withColumns({name: value.over(whole) for name, value in totals.items()})
         .where((F.col("w") > 0) & (F.col("n_test") > 0))
+        .withColumns({name: value.over(whole) for name, value in spreads.items()})
         .withColumn("coef", F.when(varies, slope).otherwise(F.lit(0.0)))
-        .withColumn("intercept", mean - F.col("coef") * F.col("wx") / F.col("w"))
+        .withColumn("intercept", mean_y - F.col("coef") * mean_x)
     )
-    return fitted.where(F.col("high") + F.col("low") > 0).drop(*totals, "train", "train_y", "train_min", "train_max")
+    return fitted.where(F.col("high") + F.col("low") > 0).drop(*totals, *spreads, "train", "train_y", "train_min", "train_max")
 
 
 def score(fitted: DataFrame, grid: Grid) -> DataFrame:
