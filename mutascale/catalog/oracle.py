@@ -17,7 +17,7 @@ from mutascale.catalog.bindings import (
     with_,
 )
 from mutascale.plans.features import VAF_CODES
-from mutascale.plans.sweep import BASE_CLASSES, OPTIONAL_CLASSES
+from mutascale.plans.sweep import BASE_CLASSES, MAX_COSMIC, OPTIONAL_CLASSES
 
 ID = ", ".join(ROW_ID)
 ID4 = ", ".join(ROW_ID[:4])
@@ -421,6 +421,11 @@ def oracle() -> dict[str, str]:
                 sqrt(s2 * (1 / lv.n + 1 / fn + (mx - fx) * (mx - fx) / wxx)) FROM k, lv WHERE NOT first)
             SELECT coefficient, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
               round(estimate / std_error, 4) AS t FROM e""",
+        "panel_restrict": with_(V, RATED, INTERVALS, PLACED) + f"""
+            SELECT panel, sample, is_test, type, round(vaf, 6) AS vaf, round(wesTMB, 6) AS wesTMB, rate, NOT coalesce(
+              CASE WHEN l_returnflag <> 'N' THEN l_returnflag <> 'R' END AND NOT l_tax >= 0.07
+                AND CASE WHEN l_quantity > 10 THEN t_depth ELSE 0 END < {MAX_COSMIC}, false) AS hot
+            FROM placed""",
         "gbt_predict": TREE_TEST + """
             SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t_alt::DOUBLE AS t_alt, true AS known FROM tested""",
         "tune_gbt": "SELECT unnest([0, 1, 2])::INTEGER AS trial, true AS sound",

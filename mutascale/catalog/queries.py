@@ -20,7 +20,7 @@ from mutascale.functions import scalar
 from mutascale.operators import anova, attribution, collinearity, encode, lookups, metrics, qc, sampling, trees
 from mutascale.operators.burden import attach_burden, burden_flag, one_row_per_sample, rank_by_burden, sample_burden
 from mutascale.operators.intervals import overlap_join, panel_length, to_zero_based
-from mutascale.plans import cleanse, features, sweep
+from mutascale.plans import cleanse, features, restrict, sweep
 from mutascale.session import scratch_path
 from mutascale.sources import readers, writers
 
@@ -576,6 +576,23 @@ def anova_crossed(spark, sf_dir):
     return rounded(second.unionByName(third).drop("term_order"), 6, "sum_sq", "F", "p_value", "eta_sq")
 
 
+@query
+def panel_restrict(spark, sf_dir):
+    """The sweep's input from 1-based variants with ``.`` for missing numbers and the three-part hotspot rule."""
+    rows = variants(spark, sf_dir).withColumns({
+        "start": F.col("start") + 1,
+        "max_maf": F.when(F.col("l_tax") > 0, F.col("l_tax").cast("string")).otherwise("."),
+        "purity": F.when(F.col("l_discount") > 0.02, F.col("l_discount").cast("string")).otherwise("."),
+        "cosmic96_coding": F.when(F.col("l_quantity") > 10, F.col("t_depth").cast("string")).otherwise("."),
+        "cancerhotspot": F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R"),
+        "civic": F.col("l_tax") >= 0.07,
+    })
+    rated = attach_burden(rows, RULES).withColumn("rate", burden_flag(F.col("wesTMB"), RULES))
+    marked = sampling.hash_split(rated.withColumnRenamed("sample", "Tumor_Sample_Barcode"), ["Tumor_Sample_Barcode"])
+    train, test = marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
+    return rounded(restrict.sweep_input(train, test, intervals(spark, sf_dir)), 6, "vaf", "wesTMB")
+
+
 # Trees.
 
 TREE_FEATURES = ["l_quantity", "l_discount", "l_tax", "chr", "hot"]

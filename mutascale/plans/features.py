@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import (
@@ -87,40 +90,57 @@ def label_results(results: DataFrame, gene_counts: DataFrame | None = None) -> D
     return labelled if gene_counts is None else labelled.join(gene_counts, "panel ID", "left")
 
 
-def prepare_features(df: DataFrame, remove_prefix: bool) -> DataFrame:
-    """Turn parameter columns into numbers and flags. A step is taken only where its columns exist."""
-    present = set(df.columns)
-    drop: list[str] = []
+@dataclass(frozen=True)
+class Step:
+    """One derivation: taken where all of ``needs`` exist; ``adds`` are columns, ``whole`` changes the table."""
+
+    needs: tuple[str, ...]
+    adds: dict[str, Column] = field(default_factory=dict)
+    drops: tuple[str, ...] = ()
+    whole: Callable[[DataFrame], DataFrame] | None = None
+
+
+def _platform_effect(df: DataFrame) -> DataFrame:
+    target = next((t for t in ("rgbrp", "RMSLE") if t in df.columns), None)
+    if target is None:
+        raise ValueError("no target column for the sequencing platform")
+    return target_median_encode(df, "Sequencing Platform", target)
+
+
+def _per_unit(column: str, unit: int) -> Step:
+    return Step((column,), {f"{column} / {unit}": quoted(column) / F.lit(float(unit))}, (column,))
+
+
+def _flags(column: str, labels: dict[str, str]) -> Step:
+    return Step((column,), membership_flags(quoted(column), labels), (column,))
+
+
+def _coded(column: str, value: Column) -> Step:
+    return Step((column,), {column: value})
+
+
+def preparation(remove_prefix: bool) -> list[Step]:
+    """What is derived from the parameter columns. Only the platform's effect reads what another step adds."""
     panel = quoted("panel ID")
-    df = df.withColumn("Method", panel_number(panel) if remove_prefix else strip_panel_suffix(panel))
-
-    if {"Exonic Size", "Gene Count"} <= present:
-        df = df.withColumn("Gene Count per Mb", ratio(quoted("Gene Count"), quoted("Exonic Size")))
-        drop.append("Gene Count")
-    if {"recall", "precision"} <= present:
-        df = df.withColumn("rgbrp", F.abs(error_balance(F.col("recall"), F.col("precision"))))
-    if "DNA shearing" in present:
-        df = frequency_encode(df, "DNA shearing")
-    if "UMI" in present:
-        df = df.withColumn("UMI", not_equal_or_null(F.col("UMI"), "No"))
-    for column, unit in (("Reads Length", 50), ("Sequencing Depth", 100)):
-        if column in present:
-            df = df.withColumn(f"{column} / {unit}", quoted(column) / F.lit(float(unit)))
-            drop.append(column)
-    if "Sequencing Platform" in present:
-        target = next((t for t in ("rgbrp", "RMSLE") if t in df.columns), None)
-        if target is None:
-            raise ValueError("no target column for the sequencing platform")
-        df = target_median_encode(df, "Sequencing Platform", target)
-    if "Reference Genome" in present:
-        df = df.withColumn("Reference Genome", map_values(quoted("Reference Genome"), GENOME_CODES))
-    for column, labels in (("Callers", CALLERS), ("Involved Variants", VARIANT_TYPES), ("Filter Rules", FILTER_RULES)):
-        if column in present:
-            df = df.withColumns(membership_flags(quoted(column), labels))
-            drop.append(column)
-    for column in ("somatic VAF cut-off", "TMB VAF cut-off"):
-        if column in present:
-            df = df.withColumn(column, map_fractions(quoted(column), VAF_CODES))
-    if "Germline Strategy" in present:
-        df = df.withColumn("Germline Strategy", map_values(quoted("Germline Strategy"), GERMLINE_CODES))
-    return df.drop(*drop)
+    density = ratio(quoted("Gene Count"), quoted("Exonic Size"))
+    return [
+        Step((), {"Method": panel_number(panel) if remove_prefix else strip_panel_suffix(panel)}),
+        Step(("recall", "precision"), {"rgbrp": F.abs(error_balance(F.col("recall"), F.col("precision")))}),
+        Step(("Sequencing Platform",), whole=_platform_effect),
+        Step(("DNA shearing",), whole=lambda df: frequency_encode(df, "DNA shearing")),
+        Step(("Exonic Size", "Gene Count"), {"Gene Count per Mb": density}, ("Gene Count",)),
+        _coded("UMI", not_equal_or_null(quoted("UMI"), "No")),
+        _coded("Reference Genome", map_values(quoted("Reference Genome"), GENOME_CODES)),
+        _coded("Germline Strategy", map_values(quoted("Germline Strategy"), GERMLINE_CODES)),
+        *[_coded(c, map_fractions(quoted(c), VAF_CODES)) for c in ("somatic VAF cut-off", "TMB VAF cut-off")],
+        *[_per_unit(c, unit) for c, unit in (("Reads Length", 50), ("Sequencing Depth", 100))],
+        *[_flags(c, v) for c, v in (("Callers", CALLERS), ("Involved Variants", VARIANT_TYPES), ("Filter Rules", FILTER_RULES))],
+    ]
+
+
+def prepare_features(df: DataFrame, remove_prefix: bool) -> DataFrame:
+    """Turn parameter columns into numbers and flags by the steps whose columns exist."""
+    steps = [s for s in preparation(remove_prefix) if set(s.needs) <= set(df.columns)]
+    for step in steps:
+        df = step.whole(df) if step.whole else df.withColumns(step.adds)
+    return df.drop(*[c for s in steps for c in s.drops])
