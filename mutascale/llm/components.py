@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import stored
+from mutascale.llm.texts import splittable, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,9 +27,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         root = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(root, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(splittable(root), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        small = large.join(splittable(low), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = stored(small.filter("a <> b").distinct(), "stars")
         now = _state(edges)
         if now == before:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutascale.llm.components import components
-from mutascale.llm.texts import LOWER, WORD, WordHashes, stored, window_hashes
+from mutascale.llm.texts import raw_texts, splittable, stored, window_hashes, word_hashes
 
 SLOTS = 1 << 18
 SLOT_BLOCK = 1 << 12
@@ -40,13 +40,10 @@ FILTER_BITS = 1 << 24
 BINS = 16
 
 
-def shingle_set(text: str | None, words: WordHashes, size: int) -> np.ndarray:
+def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted by value."""
-    found = WORD.findall((text or "").translate(LOWER))
-    if not found:
-        return np.empty(0, np.uint64)
-    hashes = words.of(found)
-    return np.unique(window_hashes(hashes, min(size, len(found))))
+    hashes = word_hashes(raw and raw.lower())  # of bytes, lower() changes A-Z only
+    return np.unique(window_hashes(hashes, min(size, len(hashes)))) if len(hashes) else hashes
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -57,10 +54,11 @@ def gram_counts(docs: DataFrame, size: int) -> np.ndarray:
     """Documents per slot of the counter table, over the whole corpus. Its size does not depend on the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHashes(), np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                np.add.at(counts, _slot(shingle_set(text.as_py(), words, size)), 1)
+            for lo in range(0, batch.num_rows, 500):
+                slots = [_slot(shingle_set(raw, size)) for raw in raw_texts(batch.column(0).slice(lo, 500))]
+                counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
         parts = counts.reshape(-1, SLOT_BLOCK)
         yield pa.RecordBatch.from_pydict({
             "block": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
@@ -88,16 +86,16 @@ def _digests(counts: Broadcast, size: int, percent: int):
     schema = pa.schema([*fields, ("bins", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, frequency = WordHashes(), counts.value
+        frequency = counts.value
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                grams = shingle_set(text.as_py(), words, size)
+            for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                grams = shingle_set(text, size)
                 n = len(grams)
                 raw = grams.tobytes()
                 seeds = (xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63) for seed in (1, 2))
                 take = prefix_length(n, percent) if n else 0
-                order = np.lexsort((grams, frequency[_slot(grams)]))[:take]
+                order = np.argsort(frequency[_slot(grams)], kind="stable")[:take]  # ties: by value
                 bins = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=BINS)
                 rows.append((doc_id, n, *seeds, grams[order].view(np.int64), bins))
             columns = list(zip(*rows)) or [()] * 6
@@ -127,16 +125,23 @@ def in_filter(bitmap: Broadcast, name: str) -> Column:
     return test(F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)))
 
 
-def _sets(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+def _overlap(size: int, percent: int):
+    """The pairs that reach the threshold. Rows come in runs of one b, whose set is kept."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        held, kept = None, np.empty(0, np.uint64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                sets = [shingle_set(t.as_py(), words, size).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, schema.types[1])], schema=schema)
+            good = []
+            texts = zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)))
+            for b, (text_a, text_b) in zip(batch.column(1).to_pylist(), texts):
+                if held != (b, text_b):
+                    held, kept = (b, text_b), shingle_set(text_b, size)
+                grams = shingle_set(text_a, size)
+                shared = len(np.intersect1d(grams, kept, assume_unique=True))
+                good.append(100 * shared >= percent * (len(grams) + len(kept) - shared))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
 
     return run
 
@@ -148,14 +153,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     pairs = pairs.join(bins.toDF("a", "na", "ba"), "a").join(bins.toDF("b", "nb", "bb"), "b")
     pairs = pairs.filter(_reaches(F.least("na", "nb"), percent))
     bound = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    pairs = stored(pairs.filter(_reaches(bound, percent)).select("a", "b", "na", "nb"), "pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
-    sets = docs.filter(in_filter(bitmap, "doc_id")).mapInArrow(_sets(size), "doc_id long, grams array<long>")
-    sets = stored(sets.join(wanted, "doc_id"), "sets")
-    both = pairs.select("a", "b").join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
-    both = both.withColumns({"na": F.size("ga"), "nb": F.size("gb")})
-    return both.filter(_reaches(F.size(F.array_intersect("ga", "gb")), percent)).select("a", "b").distinct()
+    pairs = stored(pairs.filter(_reaches(bound, percent)).select("a", "b").distinct(), "pairs")
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
+    texts = docs.filter(in_filter(bitmap, "doc_id"))
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(size, percent), "a long, b long").distinct()
 
 
 def _reaches(overlap: Column, percent: int) -> Column:
@@ -176,17 +178,16 @@ def near_duplicates(
     digests = stored(digests, "digests")
     sets = digests.filter("n > 0 AND doc_id IS NOT NULL")
     reps = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = stored(sets.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep"), "members")
-    # the representative's own row carries the prefix, so only ids are grouped
-    chosen = sets.join(
-        members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"
-    ).dropDuplicates(["doc_id", "h1", "h2"])
-    classes = stored(chosen.select(F.col("doc_id").alias("rep"), "n", "bins", "prefix"), "classes")
-    grams = classes.select(
-        F.posexplode("prefix").alias("pos", "gram"), "rep", "n"
-    )
-    shared = grams.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
-    rows = stored(grams.join(shared.select("gram", "hub"), "gram"), "shared")
+    members = stored(sets.select("doc_id", "h1", "h2").join(splittable(reps), ["h1", "h2"]).select("doc_id", "rep"), "members")
+    # the representative's own row carries the prefix. The bitmap lets a few copies through, which then link as any other
+    # class does; it saves shuffling the prefixes to their class
+    bitmap = spark.sparkContext.broadcast(id_filter(members.filter("doc_id = rep"), "doc_id"))
+    classes = sets.filter(in_filter(bitmap, "doc_id")).select(F.col("doc_id").alias("rep"), "n", "bins", "prefix")
+    grams = classes.select(F.posexplode("prefix").alias("pos", "gram"), "rep", "n")
+    shared = grams.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = stored(shared.select("gram", "hub"), "shared-grams")
+    bitmap = spark.sparkContext.broadcast(id_filter(shared, "gram"))
+    rows = stored(grams.filter(in_filter(bitmap, "gram")).join(shared, "gram"), "shared")
 
     # stars: each class with the smallest class of each of its prefix shingles
     stars = rows.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -194,13 +195,13 @@ def near_duplicates(
     found = stored(components(first), "star-components")
 
     # what is left: shingles whose classes lie in several components
-    placed = rows.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = rows.join(splittable(found.withColumnRenamed("id", "rep")), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("gram").agg(
         F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")
     ).filter("k > 1")
-    mixed = stored(placed.join(largest.select("gram", "major"), "gram").drop("hub"), "mixed")
+    mixed = stored(placed.join(splittable(largest.select("gram", "major")), "gram").drop("hub"), "mixed")
     minor = mixed.filter("component <> major")
     x = minor.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "component")))
     y = mixed.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "component", "major")))

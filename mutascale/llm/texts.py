@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,22 +33,51 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word asked for; forgets all once it holds ``limit`` words, so that its memory is bounded."""
+def words_of(raw: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text. ``bytes.split`` cuts at exactly the characters that ``WORD_RE`` leaves out."""
+    return (raw or b"").split()
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = value
-        return value
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random 64-bit value per byte, and powers of an odd base with their inverses (modulo 2**64), made longer on demand.
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        for at, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[at] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    flags = np.ones(len(raw) + 2, bool)
+    flags[1:-1] = _SPACE[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(flags[1:] != flags[:-1])
+    return edges[0::2], edges[1::2]
+
+
+def word_hashes(raw: bytes | None) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of random values of its bytes, from running sums over the text."""
+    if not raw:
+        return np.empty(0, np.uint64)
+    starts, ends = word_bounds(raw)
+    powers, inverses = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * powers[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
+def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a text column, one at a time."""
+    return (value.as_py() for value in column.cast(pa.binary()))
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -80,6 +110,11 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
+def splittable(df: DataFrame) -> DataFrame:
+    """An exchange between an aggregate and the join that reads it: only then can Spark split a hot key of the other side."""
+    return df.hint("rebalance")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
