@@ -137,11 +137,14 @@ class Matcher:
 def matches(text: str, matcher: Matcher) -> Iterator[tuple[int, int, bool, list[str]]]:
     """(term, edits, in quotation marks, context words) of each match in a text."""
     lower = text.lower()
+    hits = {w for w in set(TOKEN.findall(lower)) if matcher.match(w) is not None}
+    if not hits:
+        return
     tokens = list(TOKEN.finditer(lower))
     for at, token in enumerate(tokens):
-        found = matcher.match(token.group())
-        if found is None:
+        if token.group() not in hits:
             continue
+        found = matcher.match(token.group())
         near = tokens[max(0, at - SPAN) : at] + tokens[at + 1 : at + 1 + SPAN]
         left = lower[max(0, token.start() - 40) : token.start()]
         right = lower[token.end() : token.end() + 40]
