@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import stored
+from mutascale.llm.texts import splittable, stored
 
 RESULT = "rep long, vec_id long, score double"
 
@@ -158,7 +158,7 @@ def nearest(
     # queries: all rows that ask, each standing for those with its vector
     asking = base.filter(is_query & (F.size("vector") == dim)).dropDuplicates(["vector", "vec_id"])
     reps = asking.groupBy("vector").agg(F.min("vec_id").alias("rep"))
-    classes = stored(asking.join(reps, "vector").select("vec_id", "rep"), "query-classes")
+    classes = stored(asking.join(splittable(reps), "vector").select("vec_id", "rep"), "query-classes")
     asked = reps.select(F.col("rep").alias("vec_id"), "vector", F.explode(probed("vector")).alias("list"))
     asked = stored(asked, "probes")
     candidates = stored(kept.select("vec_id", "vector", own_list("vector")[0].alias("list")), "lists")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import WORD_RE, stored, word_list
+from mutascale.llm.texts import WORD_RE, splittable, stored, word_list
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -111,7 +111,7 @@ def judge(
     judged = rule_counts(docs, id_col, text_col, host_col).withColumn("base_failed", (n < 20) | (100 * repeats > 30 * n))
     judged = stored(judged, "rule-counts")  # read twice: for the hosts and for the documents
     hosts = host_verdicts(judged, max_rate, z)
-    out = judged.join(hosts, "host", "left").withColumn(
+    out = judged.join(splittable(hosts), "host", "left").withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_bad"), F.lit(False))
     )
     return out.select(
