@@ -104,7 +104,74 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id) AS comp
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest USING (doc_id)
 """
 
+
+
+def _hash(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+def _turn(*parts: str) -> str:
+    return _hash("'12'", *(f"({p})::VARCHAR" for p in parts))
+
+
+def _bisection(rounds: int = 6, steps: int = 32) -> str:
+    """Rounds of trying exponents between two bounds, each in the gap that the one before left."""
+    out = "x0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"
+    for i in range(rounds):
+        out += f""", tried{i} AS (
+    SELECT x, ln(sum(pow(p, x))) - sum(pow(p, x) * ln(p) * x) / sum(pow(p, x)) AS h, max(pow(p, x) / p) / sum(pow(p, x)) AS r
+    FROM (SELECT DISTINCT lo + (hi - lo) * k / {steps} AS x FROM x{i}, range({steps} + 1) t(k)), shares GROUP BY x
+), met{i} AS (
+    SELECT coalesce(min(x) FILTER (WHERE h <= 0.97 * (SELECT ln(count(*)) FROM shares) + 1e-12 AND r <= 4 + 1e-12), 1.0) AS hi
+    FROM tried{i}
+), x{i + 1} AS (
+    SELECT coalesce((SELECT max(x) FROM tried{i} WHERE x < hi), 0.0) AS lo, hi FROM met{i}
+)"""
+    return out
+
+
+MIXING = rf"""
+WITH t AS (
+    SELECT doc_id, source, coalesce('=' || source, '') AS s,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n,
+        {_hash("'11'", "coalesce(doc_id::VARCHAR, 'null')", "coalesce(text, 'null')")} AS k
+    FROM documents
+), sources AS (
+    SELECT s, sum(n)::BIGINT AS tokens FROM t GROUP BY s HAVING sum(n) > 0
+), shares AS (
+    SELECT tokens / (SELECT sum(tokens)::DOUBLE FROM sources) AS p FROM sources
+), {_bisection()}, weights AS (
+    SELECT s, tokens, pow(tokens::DOUBLE, hi) / (SELECT sum(pow(tokens::DOUBLE, hi)) FROM sources, x6) AS w FROM sources, x6
+), plan AS (
+    SELECT s, w, q // tokens AS passes, q % tokens AS rest, ceil(tokens / 1000000)::BIGINT AS blocks
+    FROM (SELECT *, round(w * (SELECT sum(tokens) FROM sources))::BIGINT AS q FROM weights)
+), dealt AS (
+    SELECT t.*, w, passes, rest, k % coalesce(blocks, 1) AS cell FROM t LEFT JOIN plan USING (s)
+), cells AS (
+    SELECT s, cell, rest, upto, upto - c AS before FROM (
+        SELECT s, cell, rest, c, sum(c) OVER (PARTITION BY s ORDER BY {_turn("passes", "s", "cell")}, cell) AS upto
+        FROM (SELECT s, cell, passes, rest, sum(n) AS c FROM dealt WHERE n > 0 GROUP BY ALL)
+    ) WHERE upto - c < rest
+), edge AS (
+    SELECT s, before, rest, {_turn("passes", "k")} AS turn, k,
+        sum(n) OVER (PARTITION BY s ORDER BY {_turn("passes", "k")}, k RANGE UNBOUNDED PRECEDING) AS used
+    FROM dealt JOIN (SELECT s, cell, before FROM cells WHERE upto > rest) USING (s, cell) WHERE n > 0
+), last AS (
+    SELECT s, max((turn, k)) AS final FROM edge WHERE before + used <= rest GROUP BY s
+), drawn AS (
+    SELECT dealt.*, CASE WHEN n = 0 THEN 1 ELSE passes + coalesce(
+        upto <= dealt.rest OR (upto IS NOT NULL AND final IS NOT NULL AND ({_turn("passes", "k")}, k) <= final), false)::INT END AS copies
+    FROM dealt LEFT JOIN (SELECT s, cell, upto FROM cells) USING (s, cell) LEFT JOIN last USING (s)
+), listed AS (
+    SELECT *, unnest(range(copies)) AS pass FROM drawn
+)
+SELECT doc_id, source, n AS mix_tokens, round(w, 6) AS mix_weight, pass AS mix_pass, {_turn("pass", "s", "cell")} AS mix_block,
+    {_turn("pass", "k")} AS mix_order
+FROM listed
+"""
+
 ORACLE: dict[str, str] = {
+    "op4_mixing": MIXING,
     "op1_substring_dedup": SUBSTRING_DEDUP, "op2_ngram_join": NGRAM_JOIN,
     "op6_host_rules": HOST_RULES, "op8_url_filter": URL_FILTER,
 }

@@ -42,7 +42,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of one corpus-sized draw with tempered source weights, and their places in it."""
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_order")
+    return mixed.select(
+        "doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_pass", "mix_block", "mix_order"
+    )
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
