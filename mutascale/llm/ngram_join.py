@@ -21,6 +21,7 @@ takes the links of all of them. An empty table gives an empty result. Only the n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +29,16 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mutascale.llm.components import components
 from mutascale.llm.texts import raw_texts, splittable, stored, window_hashes, word_hashes
 
-SLOTS = 1 << 18
-SLOT_BLOCK = 1 << 12
+SLOTS = 1 << 24
+SLOT_BLOCK = 1 << 18
 FILTER_BITS = 1 << 24
-BINS = 16
+BINS = 64
 
 
 def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
@@ -54,28 +55,41 @@ def gram_counts(docs: DataFrame, size: int) -> np.ndarray:
     """Documents per slot of the counter table, over the whole corpus. Its size does not depend on the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                slots = [_slot(shingle_set(raw, size)) for raw in raw_texts(batch.column(0).slice(lo, 500))]
-                counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
-        parts = counts.reshape(-1, SLOT_BLOCK)
-        yield pa.RecordBatch.from_pydict({
-            "block": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary()),
-        })
+            for raw in raw_texts(batch.column(0)):
+                slots = np.unique(_slot(shingle_set(raw, size)))
+                counts[slots] += np.uint32(1)
+        # most slots of a task hold 0 or 1, so they are sent compressed
+        parts = [zlib.compress(part.tobytes(), 1) for part in _narrow(counts).reshape(-1, SLOT_BLOCK)]
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "counts": pa.array(parts, pa.binary())})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
-        return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [total.tobytes()]})
+        total = np.zeros(SLOT_BLOCK, np.int64)
+        for part in frame["counts"]:
+            total += _wide(part)
+        packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+        return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [packed]})
 
     schema = "block int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema).collect()
-    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint32)
     for row in rows:
-        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
+        out[row["block"]] = _wide(row["counts"])
     return out.ravel()
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    """The counts of a block; their width follows from its length."""
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, f"<u{len(raw) // SLOT_BLOCK}")
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Shingles of a set of n of which one must be shared with any set that reaches the threshold."""
     return n - -(-n * percent // 100) + 1
@@ -96,7 +110,7 @@ def _digests(counts: Broadcast, size: int, percent: int):
                 seeds = (xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63) for seed in (1, 2))
                 take = prefix_length(n, percent) if n else 0
                 order = np.argsort(frequency[_slot(grams)], kind="stable")[:take]  # ties: by value
-                bins = np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=BINS)
+                bins = np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=BINS)
                 rows.append((doc_id, n, *seeds, grams[order].view(np.int64), bins))
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
@@ -122,7 +136,8 @@ def in_filter(bitmap: Broadcast, name: str) -> Column:
         bits, at = np.frombuffer(bitmap.value, np.uint8), slots.to_numpy()
         return pd.Series((bits[at >> 3] >> (at & 7) & 1).astype(bool))
 
-    return test(F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)))
+    # else Spark would repeat the test on whatever is joined by this column
+    return test.asNondeterministic()(F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)))
 
 
 def _overlap(size: int, percent: int):
@@ -187,7 +202,10 @@ def near_duplicates(
     shared = grams.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = stored(shared.select("gram", "hub"), "shared-grams")
     bitmap = spark.sparkContext.broadcast(id_filter(shared, "gram"))
-    rows = stored(grams.filter(in_filter(bitmap, "gram")).join(shared, "gram"), "shared")
+    rows = grams.filter(in_filter(bitmap, "gram")).join(shared, "gram")
+    # how many prefix shingles that anyone shares stand before this one: no more can be common before it
+    earlier = F.dense_rank().over(Window.partitionBy("rep").orderBy("pos")) - 1
+    rows = stored(rows.withColumn("earlier", earlier), "shared")
 
     # stars: each class with the smallest class of each of its prefix shingles
     stars = rows.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
@@ -203,10 +221,10 @@ def near_duplicates(
     ).filter("k > 1")
     mixed = stored(placed.join(splittable(largest.select("gram", "major")), "gram").drop("hub"), "mixed")
     minor = mixed.filter("component <> major")
-    x = minor.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "component")))
-    y = mixed.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "component", "major")))
+    x = minor.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "earlier", "component")))
+    y = mixed.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "earlier", "component", "major")))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    bound = F.least("pos_a", "pos_b") + rest  # positional filter: what can be shared before, at and after this shingle
+    bound = F.least("earlier_a", "earlier_b") + rest  # positional filter: what can be common before, at and after it
     pairs = x.join(y, "gram").filter(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("major_b")) | (F.col("rep_a") < F.col("rep_b")))
