@@ -13,8 +13,10 @@ An empty table gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,37 +25,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import WORD, stored
+from mutascale.llm.texts import raw_texts, stored, word_bounds, word_hashes
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 MERGED = 1 << 62
+PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s]*)$")
 
 
-class WordIds(dict):
-    """Ids of each white-space delimited word; bounded like ``WordHashes``.
+class WordIds:
+    """Ids of texts, for tokenizers that drop white space, never join across it, lower the case, and cut letters from
+    punctuation.
 
-    Only for tokenizers that drop white space and never join across it.
+    The words of a batch are told apart by a 64-bit hash, and each distinct one is looked up once. A word of plain letters
+    with punctuation after it goes by its lower-case letters, which are far fewer. The last ``limit`` to ``2 * limit`` of
+    these are kept.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 450_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self[word] = ids
+        self.young: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
+
+    def word(self, raw: bytes) -> tuple[int, ...]:
+        ids = self.young.get(raw)
+        if ids is not None:
+            return ids
+        ids = self.old.get(raw)
+        if ids is None:
+            word = raw.decode()
+            plain = PLAIN.match(word)
+            letters = plain[1].lower().encode() if plain else raw
+            if letters == raw:
+                ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            else:
+                ids = self.word(letters)
+                if plain[2]:
+                    ids = ids + self.word(plain[2].encode())
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        self.young[raw] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for word in WORD.findall(text or ""):
-            out += self[word]
-        return out
+    def encode(self, raws: list[bytes | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        text = b"\n".join(raw or b"" for raw in raws)
+        ends_of = np.cumsum([len(raw or b"") + 1 for raw in raws])
+        starts, ends = word_bounds(text)
+        if not len(starts):
+            return [np.empty(0, np.uint32) for _ in raws]
+        _, first, which = np.unique(word_hashes(text), return_index=True, return_inverse=True)
+        ids = [self.word(text[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        begin = np.cumsum(sizes) - sizes
+        # the place of each id of each word in the flat list of the distinct words' ids
+        sizes = sizes[which]
+        upto = np.cumsum(sizes)
+        out = flat[np.repeat(begin[which] - (upto - sizes), sizes) + np.arange(upto[-1])]
+        cuts = np.searchsorted(starts, ends_of[:-1])
+        return np.split(out, np.concatenate([[0], upto])[cuts])
+
+
+#: One per tokenizer file in a Python worker, kept from task to task.
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
+def _portions(batch: pa.RecordBatch, most: int = 3 << 20) -> Iterator[tuple[list, list[bytes | None]]]:
+    """Ids and texts of a batch in portions of about ``most`` bytes."""
+    keys, raws, size = [], [], 0
+    for key, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+        keys.append(key)
+        raws.append(raw)
+        size += len(raw or b"")
+        if size >= most:
+            yield keys, raws
+            keys, raws, size = [], [], 0
+    if keys:
+        yield keys, raws
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -115,13 +172,13 @@ def _pack_task(path: str, window: int, open_windows: int, min_cut: int, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        words, packer, done, out = WordIds(path), Packer(window, open_windows, min_cut), 0, []
+        words, packer, done, out = word_ids(path), Packer(window, open_windows, min_cut), 0, []
         for part in batches:
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                ids = np.array([*words.encode(text.as_py()), end_id], dtype=np.uint32)
-                for pieces in packer.add(doc_id, ids):
-                    out += [(*r, None, task) for r in rows(pieces, (task << 32) | done)]
-                    done += 1
+            for keys, raws in _portions(part):
+                for doc_id, ids in zip(keys, words.encode(raws)):
+                    for pieces in packer.add(doc_id, np.append(ids, np.uint32(end_id))):
+                        out += [(*r, None, task) for r in rows(pieces, (task << 32) | done)]
+                        done += 1
                 if len(out) >= 20_000:
                     yield batch(out)
                     out = []
@@ -162,7 +219,7 @@ def _merge(window: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048,
-    open_windows: int = 32, min_cut: int = 16, end_id: int = 1, merge_tasks: int = 64,
+    open_windows: int = 32, min_cut: int = 16, end_id: int = 1, merge_tasks: int = 8,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
