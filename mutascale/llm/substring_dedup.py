@@ -29,7 +29,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import WORD, WordHashes, stored, window_hashes
+from mutascale.llm.texts import raw_texts, splittable, stored, window_hashes, word_hashes, words_of
 
 
 def anchor_places(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +100,7 @@ class SuffixAutomaton:
         return out
 
 
-def _text_key(text: str) -> tuple[int, int]:
-    raw = text.encode("utf-8", "surrogatepass")
+def _text_key(raw: bytes) -> tuple[int, int]:
     return tuple(xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63) for seed in (1, 2))
 
 
@@ -121,15 +120,12 @@ def _anchors(window: int, gram: int):
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-
         def rows():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    text = text.as_py() or ""
-                    places, grams = anchor_places(words.of(WORD.findall(text)), window, gram)
+                for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                    places, grams = anchor_places(word_hashes(raw), window, gram)
                     if len(places):
-                        yield doc_id, *_text_key(text), np.unique(grams[np.unique(places)]).view(np.int64)
+                        yield doc_id, *_text_key(raw), np.unique(grams[np.unique(places)]).view(np.int64)
 
         yield from _batches(rows(), schema, 1000)
 
@@ -141,10 +137,9 @@ def _windows(window: int, gram: int):
     schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            for doc_id, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                hashes = words.of(WORD.findall(text.as_py() or ""))
+            for doc_id, raw, shared in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
+                hashes = word_hashes(raw)
                 places, grams = anchor_places(hashes, window, gram)
                 known = np.asarray(shared.values.to_numpy(zero_copy_only=False)).view(np.uint64)
                 at = np.flatnonzero(np.isin(grams[places], known))
@@ -161,14 +156,14 @@ def _windows(window: int, gram: int):
 def _passages(window: int):
     """Owned passages of each document (one row) and its runs of windows that others own (a row for each)."""
     schema = pa.schema([
-        ("owner", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("texts", pa.list_(pa.string())),
+        ("owner", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("texts", pa.list_(pa.binary())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                    words = WORD.findall(text.as_py() or "")
+                for doc_id, raw, found in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
+                    words = words_of(raw)
                     place = np.asarray(found.values.field("place").to_numpy(zero_copy_only=False))
                     owner = np.asarray(found.values.field("owner").to_numpy(zero_copy_only=False))
                     order = np.argsort(place, kind="stable")
@@ -176,7 +171,7 @@ def _passages(window: int):
                     cuts = np.flatnonzero((np.diff(place) != 1) | (np.diff(owner) != 0)) + 1
                     own = []
                     for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
-                        passage = " ".join(words[place[lo] : place[hi - 1] + window])
+                        passage = b" ".join(words[place[lo] : place[hi - 1] + window])
                         if owner[lo] == doc_id:
                             own.append(passage)
                         else:
@@ -205,10 +200,10 @@ def _match(window: int):
                             built.pop(next(iter(built)))
                         automaton = built[owner] = SuffixAutomaton()
                         for passage in columns[1][at].as_py():
-                            automaton.add(passage.split(" "))
+                            automaton.add(passage.split(b" "))
                     first = columns[3][at].as_py()
                     for text in columns[4][at].as_py():
-                        for start, end in built[owner].spans(text.split(" "), window):
+                        for start, end in built[owner].spans(text.split(b" "), window):
                             yield columns[2][at].as_py(), first + start, first + end
 
         yield from _batches(rows(), schema)
@@ -216,12 +211,11 @@ def _match(window: int):
     return run
 
 
-def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[list[str], int]:
-    words = WORD.findall(text or "")
+def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
     keep = np.ones(len(words), bool)
     for start, end in spans:
         keep[start:end] = False
-    return [w for w, k in zip(words, keep) if k], len(words)
+    return [w for w, k in zip(words, keep) if k]
 
 
 def removed_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -233,28 +227,28 @@ def removed_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
         docs.mapInArrow(_anchors(window, gram), "doc_id long, k1 long, k2 long, anchors array<long>"), "anchors"
     )
     reps = anchors.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    keyed = anchors.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"])
+    keyed = anchors.select("doc_id", "k1", "k2").join(splittable(reps), ["k1", "k2"])
     copies = keyed.filter("doc_id > rep").select("doc_id").distinct()
     chosen = keyed.filter("doc_id = rep").select("doc_id", "k1", "k2").distinct()
     listed = anchors.join(chosen, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
     shared = listed.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    known = listed.join(shared.select("anchor"), "anchor", "left_semi")
+    known = listed.join(splittable(shared.select("anchor")), "anchor", "left_semi")
     known = stored(known.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
 
     texts = docs.join(known, "doc_id").select("doc_id", "text", "anchors")
     windows = texts.mapInArrow(_windows(window, gram), "hash long, doc_id long, place int")
     windows = stored(windows, "windows")
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi")
-    found = windows.join(owners.select("hash", "owner"), "hash").groupBy("doc_id").agg(
+    found = windows.join(splittable(owners.select("hash", "owner")), "hash").groupBy("doc_id").agg(
         F.collect_list(F.struct("place", "owner")).alias("found")
     )
     passages = docs.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(
-        _passages(window), "owner long, doc_id long, start int, texts array<string>"
+        _passages(window), "owner long, doc_id long, start int, texts array<binary>"
     )
     passages = stored(passages, "passages")
     shards = passages.filter("owner = doc_id").groupBy("owner").agg(F.flatten(F.collect_list("texts")).alias("reference"))
     runs = passages.filter("owner < doc_id")
-    met = shards.join(runs, "owner").select("owner", "reference", "doc_id", "start", "texts")
+    met = splittable(shards).join(runs, "owner").select("owner", "reference", "doc_id", "start", "texts")
     spans = met.mapInArrow(_match(window), "doc_id long, start int, end int").distinct()
     whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end"))
     return spans.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -276,13 +270,13 @@ def dedup(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                    text, found = text.as_py(), found.as_py() or []
-                    kept, n = _kept(text, [(s["start"], s["end"]) for s in found])
-                    joined = " ".join(kept)
-                    digest = hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest()
-                    row = (doc_id, n, n - len(kept), digest)
-                    yield (*row, joined if found else text) if keep_text else row
+                for doc_id, raw, found in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
+                    words, found = words_of(raw), found.as_py()
+                    kept = _kept(words, [(s["start"], s["end"]) for s in found]) if found else words
+                    joined = b" ".join(kept)
+                    row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
+                    text = joined if found else raw
+                    yield (*row, text if text is None else text.decode()) if keep_text else row
 
         yield from _batches(rows(), schema, 1000)
 
