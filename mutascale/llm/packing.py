@@ -30,16 +30,17 @@ from mutascale.llm.texts import raw_texts, stored, word_bounds, word_hashes
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 MERGED = 1 << 62
-PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s]*)$")
+#: Letters, then characters that compose with none and are punctuation in every version of Unicode.
+PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~«»–—‘’“”„…]*)$")
 
 
 class WordIds:
-    """Ids of texts, for tokenizers that drop white space, never join across it, lower the case, and cut letters from
-    punctuation.
+    """Ids of texts, for tokenizers that drop white space, never join across it, compose characters (NFC), lower the case,
+    and cut letters from punctuation.
 
     The words of a batch are told apart by a 64-bit hash, and each distinct one is looked up once. A word of plain letters
-    with punctuation after it goes by its lower-case letters, which are far fewer. The last ``limit`` to ``2 * limit`` of
-    these are kept.
+    with common punctuation after it goes by its lower-case letters, which are far fewer; any other word, as one with a mark
+    that composes with a letter, is looked up whole. The last ``limit`` to ``2 * limit`` of these are kept.
     """
 
     def __init__(self, path: str, limit: int = 450_000):

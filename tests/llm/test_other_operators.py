@@ -107,6 +107,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+def test_ids_of_decomposed_words():
+    words = ["cafe\u0301", "nin\u0303", "A\u0308", "Cafe\u0301,", "cafe\u0301s", "x\u0301", "a\u0323\u0302!", "e!\u0301", "o=\u0338", "caf\u00e9\u2026", "end.\u201d"]
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [*words, " ".join(words), "cafe \u0301"]
+    for text, ids in zip(texts, packing.WordIds(PATH).encode([t.encode() for t in texts])):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_packer_bounds_its_windows():
     rng = random.Random(5)
     packer = packing.Packer(64, 4, 3)
