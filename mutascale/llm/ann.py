@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: inverted lists whose candidates are scanned adaptively by blocks of rotated dimensions.
 
 An index is fitted on a bounded sample (k-means centres, and the number of lists to probe that reaches a wanted recall on
-that sample); every vector is then assigned to a list. Within each probed list the candidates' vectors, rotated by a random
-orthogonal matrix, are read in blocks of columns. After each block a hypothesis test on the partial distance abandons a
+that sample); every vector is then assigned to a list. A query probes that number of lists, its nearest ones, and goes on
+until they hold ``enough * (k + 1)`` candidates or no list is left. Within each probed list the candidates' vectors, rotated
+by a random orthogonal matrix, are read in blocks of columns. After each block a hypothesis test on the partial distance abandons a
 candidate that is most likely farther than the k-th best so far. What survives is measured on the original vectors in double
 precision.
 
@@ -60,6 +61,15 @@ class Index:
             return far.argmin(1)[:, None]
         return np.argsort(far, axis=1, kind="stable")[:, :probes]
 
+    def probed(self, vectors: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each vector probes: the nearest ``probes``, and further ones until they hold ``least`` candidates."""
+        out = []
+        for at in range(0, len(vectors), 1024):
+            order = self.lists_of(vectors[at : at + 1024], len(self.centres)).astype(np.int32)
+            wanted = np.maximum((np.cumsum(sizes[order], axis=1) < least).sum(1) + 1, self.probes)
+            out += [row[:n] for row, n in zip(order, wanted)]
+        return out
+
     def _probes(self, sample: np.ndarray, k: int, recall: float, rng: np.random.Generator) -> int:
         """Lists to probe so that the share of a sample query's true neighbours in them reaches ``recall``."""
         asked = rng.choice(len(sample), min(len(sample), 256), replace=False)
@@ -84,15 +94,16 @@ def scan(
     for query, turned_query in zip(queries, asked):
         alive = np.arange(len(ids))
         partial = np.zeros(len(ids))
-        limit = np.inf
+        limit, held = np.inf, np.zeros(len(ids), bool)
         for lo, hi in zip(cuts, cuts[1:]):
             partial = partial + ((turned[alive, lo:hi] - turned_query[lo:hi]) ** 2).sum(1)
             if lo == 0 and len(alive) > k:
                 # the k best after the first block give a bound that no later k-th best exceeds
                 first = alive[np.argpartition(partial, k - 1)[:k]]
                 limit = ((turned[first] - turned_query) ** 2).sum(1).max() * (1 + 1e-9)
+                held[first] = True  # never abandoned, so k are always left
             if hi < dim:
-                near = partial * (dim / hi) <= limit * (1 + eps / np.sqrt(hi)) ** 2
+                near = (partial * (dim / hi) <= limit * (1 + eps / np.sqrt(hi)) ** 2) | held[alive]
                 alive, partial = alive[near], partial[near]
         exact = np.sqrt(((vectors[alive] - query) ** 2).sum(1))
         best = np.lexsort((ids[alive], exact))[:k]
@@ -119,12 +130,13 @@ def _search(rotation, k: int, block: int, eps: float) -> Callable:
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
     sample_rows: int = 20_000, recall: float = 0.97, max_lists: int = 1024, part_rows: int = 4096,
-    part_queries: int = 1024, block: int = 16, eps: float = 2.1, seed: int = 7,
+    part_queries: int = 1024, block: int = 16, eps: float = 2.1, seed: int = 7, enough: int = 4,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other vectors of each query row by Euclidean distance.
 
     ``is_query`` is a condition on ``id_col``. ``sample_rows`` bounds what the index is fitted on (a hash sample) and
-    ``recall`` is the share of neighbours that the probed lists of that sample must hold.
+    ``recall`` is the share of neighbours that the probed lists of that sample must hold. The lists that a query probes hold
+    at least ``enough * (k + 1)`` candidates, or all.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -151,9 +163,15 @@ def nearest(
     def own_list(batch: pd.Series) -> pd.Series:
         return pd.Series(list(fitted.value.lists_of(np.stack(batch), 1).astype(np.int32)))
 
+    candidates = stored(kept.select("vec_id", "vector", own_list("vector")[0].alias("list")), "lists")
+    held = np.zeros(len(index.centres), np.int64)
+    for row in candidates.groupBy("list").count().collect():  # one row a list
+        held[row["list"]] = row["count"]
+    counted = spark.sparkContext.broadcast(held)
+
     @F.pandas_udf("array<int>")
     def probed(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(fitted.value.lists_of(np.stack(batch), fitted.value.probes).astype(np.int32)))
+        return pd.Series(fitted.value.probed(np.stack(batch), counted.value, enough * (k + 1)))
 
     # queries: all rows that ask, each standing for those with its vector
     asking = base.filter(is_query & (F.size("vector") == dim)).dropDuplicates(["vector", "vec_id"])
@@ -161,7 +179,6 @@ def nearest(
     classes = stored(asking.join(splittable(reps), "vector").select("vec_id", "rep"), "query-classes")
     asked = reps.select(F.col("rep").alias("vec_id"), "vector", F.explode(probed("vector")).alias("list"))
     asked = stored(asked, "probes")
-    candidates = stored(kept.select("vec_id", "vector", own_list("vector")[0].alias("list")), "lists")
 
     # parts of each list and of its queries; the counts have one row per list
     sizes = candidates.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))

@@ -66,6 +66,27 @@ def test_nearest_against_brute_force(spark):
     assert {i for _, i in got[100].values()} == set(range(1000, 1010))  # ties: the smallest ids
 
 
+def test_nearest_of_clusters_with_outliers(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 64)), 50, axis=0) + 0.02 * rng.normal(size=(3000, 64))
+    x = np.concatenate([x, 3 * rng.normal(size=(60, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(set)
+    for r in ann.nearest(df, (F.col("vec_id") >= 3000) | (F.col("vec_id") % 25 == 3)).collect():
+        got[r.query_id].add((r["rank"], r.vec_id))
+    asked = [*range(3, 3000, 25), *range(3000, 3060)]
+    assert sorted(got) == asked and all({n for n, _ in got[q]} == set(range(1, 11)) for q in asked)
+    true = {q: set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11]) for q in range(3, 3000, 25)}
+    assert sum(len(true[q] & {i for _, i in got[q]}) for q in true) >= 0.9 * 10 * len(true)
+
+
+def test_scan_leaves_k():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x = rng.normal(size=(30, 64)) * (np.arange(64) < 24)  # distances lie in the first blocks
+        assert len(ann.scan(np.zeros((1, 64)), np.arange(30), x, np.eye(64), 11, 16, 0.0)[0][0]) == 11
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, pytest.approx(2**0.5))]
