@@ -3,8 +3,9 @@
 1. Lexicon. In a bounded hash sample of labelled documents, words and word beginnings are counted per label; those that
    mark toxic documents far beyond chance enter the lexicon, the shortest beginning that is as precise as what follows it.
 2. Matching. The lexicon is a trie; it is intersected with Levenshtein automata by walking sets of (node, edits) states, and
-   the states met are kept as one lazily built automaton, so most words are refused after two or three letters. Terms of
-   five letters and more may have one edit, of nine and more two.
+   the states met are kept as one lazily built automaton, so most words are refused after a few letters. Terms of
+   five letters and more may have one edit, of nine and more two, at any letter. Digits and symbols cut words, but words
+   so joined that match no term by themselves are also read as one (``m0ron``, ``st*pid``); white space always cuts.
 3. Context. The words around each match in the sample give a log-odds score per context word; a match inside quotation marks, or
    in a window that speaks for quotation, counts as quoted rather than as abuse.
 4. Score. A logistic model over the counts of exact, misspelt and quoted matches and their density.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from mutascale.llm.texts import stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
+#: Runs of letters with digits or symbols between them; more than two of these in a row are more edits than a term may have.
+CHUNK = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_]){1,2}[^\W\d_]+)*")
 #: Characters that open or close a quotation.
 QUOTES = "\"'“”„«»‹›‘’`"
 SPAN = 4
@@ -69,6 +72,7 @@ class Matcher:
         self.final: list[tuple[tuple[int, int] | None, tuple[int, int] | None]] = []
         self.number: dict[frozenset, int] = {}
         self.words: dict[str, tuple[int, int] | None] = {}
+        self.chunks: dict[str, list[tuple[int, int, int, int]]] = {}
         self.start = self._state({0: 0})
 
     def _state(self, reached: dict[int, int]) -> int:
@@ -109,7 +113,7 @@ class Matcher:
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(edits, number of the term) of the nearest term, or None. The first letter of a term is never edited."""
+        """(edits, number of the term) of the nearest term, or None."""
         try:
             return self.words[word]
         except KeyError:
@@ -117,39 +121,90 @@ class Matcher:
         if len(self.words) > 400_000 or len(self.states) > 100_000:
             self.forget()
         found, state = None, self.start
-        if word and word[0] in self.moves[0]:
-            for letter in word:
+        for letter in word:
+            to = self.steps[state].get(letter)
+            state = self._step(state, letter) if to is None else to
+            if state < 0:
+                break
+            started = self.final[state][1]
+            if started and (found is None or started < found):
+                found = started
+        else:
+            best = self.final[state][0]
+            if best and (found is None or best < found):
+                found = best
+        self.words[word] = found
+        return found
+
+    def found(self, chunk: str) -> list[tuple[int, int, int, int]]:
+        """(first word, last word, edits, number of the term) of each match in words joined by digits or symbols.
+
+        Words that match go by themselves; what lies between them is also read with the digits and symbols.
+        """
+        if chunk.isalpha():
+            own = self.match(chunk)
+            return [(0, 0, *own)] if own else []
+        if chunk in self.chunks:
+            return self.chunks[chunk]
+        if len(self.chunks) > 200_000:
+            self.forget()
+        words = list(TOKEN.finditer(chunk))
+        own = [self.match(w.group()) for w in words]
+        out, at = [], 0
+        while at < len(words):
+            if own[at]:
+                out.append((at, at, *own[at]))
+                at += 1
+                continue
+            best = self._joined(chunk, words, own, at)
+            if best:
+                edits, term, last = best
+                out.append((at, last, edits, term))
+            at = best[2] + 1 if best else at + 1
+        self.chunks[chunk] = out
+        return out
+
+    def _joined(self, chunk: str, words: list[re.Match], own: list, first: int) -> tuple[int, int, int] | None:
+        """(edits, number of the term, last word) of the nearest term that two or more words from ``first`` on make up."""
+        best, state, begin = None, self.start, words[first].start()
+        for last in range(first, len(words)):
+            if own[last]:
+                break
+            started = None
+            for letter in chunk[begin : words[last].end()]:
                 to = self.steps[state].get(letter)
                 state = self._step(state, letter) if to is None else to
                 if state < 0:
                     break
-                started = self.final[state][1]
-                if started and (found is None or started < found):
-                    found = started
-            else:
-                best = self.final[state][0]
-                if best and (found is None or best < found):
-                    found = best
-        self.words[word] = found
-        return found
+                started = min(filter(None, (started, self.final[state][1])), default=None)
+            whole = self.final[state][0] if state >= 0 else None
+            near = min(filter(None, (started, whole)), default=None)
+            if near and last > first and (best is None or near < best[:2]):
+                best = (*near, last)
+            if state < 0:
+                break
+            begin = words[last].end()
+        return best
 
 
 def matches(text: str, matcher: Matcher) -> Iterator[tuple[int, int, bool, list[str]]]:
     """(term, edits, in quotation marks, context words) of each match in a text."""
     lower = text.lower()
-    hits = {w for w in set(TOKEN.findall(lower)) if matcher.match(w) is not None}
+    hits = {c: found for c in set(CHUNK.findall(lower)) if (found := matcher.found(c))}
     if not hits:
         return
-    tokens = list(TOKEN.finditer(lower))
-    for at, token in enumerate(tokens):
-        if token.group() not in hits:
-            continue
-        found = matcher.match(token.group())
-        near = tokens[max(0, at - SPAN) : at] + tokens[at + 1 : at + 1 + SPAN]
-        left = lower[max(0, token.start() - 40) : token.start()]
-        right = lower[token.end() : token.end() + 40]
-        quoted = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
-        yield found[1], found[0], quoted, [t.group() for t in near]
+    tokens, after = list(TOKEN.finditer(lower)), 0
+    for chunk in CHUNK.finditer(lower):
+        begin = after
+        while after < len(tokens) and tokens[after].end() <= chunk.end():
+            after += 1
+        for first, last, edits, term in hits.get(chunk.group(), ()):
+            first, last = begin + first, begin + last
+            near = tokens[max(0, first - SPAN) : first] + tokens[last + 1 : last + 1 + SPAN]
+            left = lower[max(0, tokens[first].start() - 40) : tokens[first].start()]
+            right = lower[tokens[last].end() : tokens[last].end() + 40]
+            quoted = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
+            yield term, edits, quoted, [t.group() for t in near]
 
 
 class Model:

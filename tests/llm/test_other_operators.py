@@ -236,6 +236,36 @@ def test_matcher_equals_edit_distance():
         assert (found[0] if found else None) == best, (word, terms)
 
 
+def test_first_letters_against_edit_distance():
+    rng = random.Random(8)
+    terms = ["moron", "stupid", "disgusting", "scoundrel"]
+    matcher = toxicity.Matcher(terms)
+    words = ["xoron", "zoron", "oron", "xmoron", "tupid", "zstupid", "qxsgusting", "sgusting", "coundrel", "xzcoundrel"]
+    words += [rng.choice(["", "x", "zq", "q"]) + t[rng.randint(0, 3) :] for t in terms for _ in range(50)]
+    for word in words:
+        best = min((edits(word, t) for t in terms if edits(word, t) <= (1 if len(t) < 9 else 2)), default=None)
+        found = matcher.match(word)
+        assert (found[0] if found else None) == best, word
+    assert matcher.match("zoron") and matcher.match("tupid")
+
+
+def test_matches_with_digits_and_symbols():
+    terms = ["moron", "stupid", "disgusting", "idiot*"]
+    matcher = toxicity.Matcher(terms)
+
+    def found(text):
+        return [(terms[t], n) for t, n, _, _ in toxicity.matches(text, matcher)]
+
+    one = {"m0ron": 0, "id1ot": 3, "st*pid": 1, "mo-ron": 0, "d1sgu$ting": 2, "id1ots": 3, "1diot": 3, "the-m0ron,": 0, "mo\u0301ron": 0}
+    for text, term in one.items():
+        assert [t for t, _ in found(text)] == [terms[term]] and all(n for _, n in found(text)), text
+    assert found("idiot/moron") == [("idiot*", 0), ("moron", 0)] and found("a-disgusting") == [("disgusting", 0)]
+    assert found("moron1 (stupid)") == [("moron", 0), ("stupid", 0)]
+    assert found("m00r0n st***pid don't well-known 3d 1 m o r o n") == []
+    (_, _, quoted, near), = toxicity.matches('a b "c m0ron" d e f g h', matcher)
+    assert quoted and near == ["a", "b", "c", "d", "e", "f", "g"]
+
+
 def test_toxicity_on_held_out_labels(spark):
     rng = random.Random(3)
     bad, plain = ["clodpole", "nitwit", "scoundrel"], [f"w{i}" for i in range(300)]
