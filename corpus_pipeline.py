@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from mutascale.llm import mixing, ngram_join, packing, quality, substring_dedup
 from mutascale.llm.queries import TOKENIZER
-from mutascale.llm.texts import read, stored
+from mutascale.llm.texts import read, splittable, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; a row goes with its id, so copies of a row share one verdict."""
-    judged = quality.classify(docs, read(spark, sf_dir, "labels"))
-    rejected = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents that the quality classifier keeps; a row goes by what its verdict rests on (text, source, language)."""
+    parts = [F.col(c).cast("string") for c in ("source", "lang", "text")]
+    sizes = [F.coalesce(F.length(p).cast("string"), F.lit("null")) for p in parts]
+    row = F.md5(F.concat_ws(" ", *sizes, *(F.coalesce(p, F.lit("")) for p in parts)))
+    docs = docs.withColumn("__row", row)
+    judged = quality.classify(docs, read(spark, sf_dir, "labels"), carry=("__row",))
+    rejected = splittable(judged.filter(~F.col("kept")).select("__row").distinct())
+    return docs.join(rejected, "__row", "left_anti").drop("__row")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

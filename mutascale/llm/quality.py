@@ -30,12 +30,12 @@ FEATURES = [
 ]
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """``doc_id, host, path`` and the style features of every document, in built-in functions."""
+def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, host, path``, the columns ``carry`` and the style features of every document, in built-in functions."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"),
-        F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"),
+        F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"), *carry,
     ).withColumns({"words": word_list(F.col("text")), "lines": F.split(text, "\\n", -1)})
     n, chars = F.greatest(F.size("words"), F.lit(1)), F.greatest(F.length(text), F.lit(1))
 
@@ -43,7 +43,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_co
         return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("double")
 
     return base.select(
-        "doc_id", "host", "path",
+        "doc_id", "host", "path", *carry,
         (count("#*$%&<>@~^=") / n).alias("symbols"), (count("!?") / n).alias("marks"), (count("|") / n).alias("bars"),
         (count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars).alias("upper"), (count("0123456789") / chars).alias("digits"),
         F.log1p(F.size("words").cast("double")).alias("length"), (F.size("words") < 20).cast("double").alias("short"),
@@ -98,11 +98,15 @@ def _shrunk(groups: DataFrame, parent: Column) -> DataFrame:
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5, max_rows: int = 50_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, evidence, host_rate, path_rate, posterior, kept`` of every row; ``max_rows`` bounds what is fitted."""
-    rows = stored(features(docs, id_col, text_col, host_col, path_col), "features")
+    """``doc_id, evidence, host_rate, path_rate, posterior, kept`` of every row, and its columns ``carry``.
+
+    ``max_rows`` bounds what is fitted.
+    """
+    rows = stored(features(docs, id_col, text_col, host_col, path_col, carry), "features")
     rows = evidence(rows, labels, id_col, label_col, max_rows)
-    rows = stored(rows.select("doc_id", "host", "path", "evidence"), "evidence")
+    rows = stored(rows.select("doc_id", "host", "path", "evidence", *carry), "evidence")
     own = 1 / (1 + F.exp(-F.col("evidence")))
     paths = stored(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("x")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -119,5 +123,5 @@ def classify(
     posterior = 1 / (1 + F.exp(-odds))
     return out.select(
         F.col("doc_id").alias(id_col), "evidence", "host_rate", "path_rate", posterior.alias("posterior"),
-        (posterior >= threshold).alias("kept"),
+        (posterior >= threshold).alias("kept"), *carry,
     )

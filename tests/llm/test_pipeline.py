@@ -1,6 +1,9 @@
 """The pipeline's stages on small documents."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from mutascale.llm import quality
 from mutascale.llm.texts import read
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -32,3 +35,15 @@ def test_awkward_documents(spark):
     assert corpus_pipeline.mixed(spark, docs, SF_DIR).columns == docs.columns
     for stage in (s for _, s in corpus_pipeline.STAGES):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_each_row_has_its_own_verdict(spark):
+    docs = read(spark, SF_DIR, "documents")
+    judged = quality.classify(docs, read(spark, SF_DIR, "labels")).select("doc_id", "posterior").orderBy("posterior").collect()
+    (poor, worse), (good, best) = [r.doc_id for r in judged[:2]], [r.doc_id for r in judged[-2:]]
+    same = F.when(F.col("doc_id").isin(poor, good), None).when(F.col("doc_id").isin(worse, best), 10**9).otherwise(F.col("doc_id"))
+    texts = {r.doc_id: r.text for r in docs.filter(F.col("doc_id").isin(poor, good, worse, best)).collect()}
+    kept = corpus_pipeline.good_quality(spark, docs.withColumn("doc_id", same), SF_DIR)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.filter("doc_id IS NULL OR doc_id = 1000000000").collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[good]), (10**9, texts[best])], key=str)
