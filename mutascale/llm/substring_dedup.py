@@ -10,7 +10,8 @@ removed; windows are judged on the input, not on what is left.
 3. The reference is cut into shards: the passages that one document owns, so a shard is never larger than a document. Its
    suffix automaton is built where the shard meets the runs of windows that others share with it (Spark broadcasts small
    shards, and splits the runs of a shard that has many). Each run is streamed through the automaton; where the matching
-   statistic reaches the window length, the words of the match are a removed span. So a removal always rests on equal words.
+   statistic reaches the window length, the words of the match are a removed span. So these removals rest on equal words;
+   a copy of a whole text does not pass through the automaton and goes by a 128-bit digest.
 
 Defined results: a null or empty text has no words and the digest of the empty string. A row with a null id has no order:
 nothing of it is removed and it removes nothing. Rows repeated with one id are one document as to order: they do not remove
