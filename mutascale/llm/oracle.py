@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from mutascale.llm.licenses import NOTICES, PHRASES
+
 HOST_RULES = r"""
 WITH t AS (
     SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -170,7 +172,135 @@ SELECT doc_id, source, n AS mix_tokens, round(w, 6) AS mix_weight, pass AS mix_p
 FROM listed
 """
 
+_TEMPLATES = PHRASES + NOTICES
+
+
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda x: "'" + x + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
+
+
+LICENSE_SCAN = rf"""
+WITH templates(template, label, phrase, gram, size, slack) AS (
+    VALUES {_values([(i, t.label, t.phrase, t.gram, len(t.words), 0 if t.phrase else 3) for i, t in enumerate(_TEMPLATES)])}
+), template_words(template, pos, word) AS (
+    VALUES {_values([(i, at, w) for i, t in enumerate(_TEMPLATES) for at, w in enumerate(t.words)])}
+), template_grams AS (
+    SELECT template, gram, pos, (SELECT string_agg(word, ' ' ORDER BY y.pos) FROM template_words y
+        WHERE y.template = x.template AND y.pos >= x.pos AND y.pos < x.pos + gram) AS s
+    FROM template_words x JOIN templates USING (template) WHERE pos + gram <= size
+), t AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), words AS (
+    SELECT rid, unnest(range(len(w))) AS place, unnest(w) AS word FROM t
+), grams AS (
+    SELECT rid, gram, p AS place, array_to_string(w[p + 1:p + gram], ' ') AS s
+    FROM (SELECT rid, w, gram, unnest(range(len(w) - gram + 1)) AS p FROM t, (SELECT DISTINCT gram FROM templates))
+), votes AS (
+    SELECT rid, template, place - pos AS diagonal, count(*) AS votes FROM grams JOIN template_grams USING (gram, s) GROUP BY ALL
+), steps AS (
+    SELECT votes.*, slack, diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) AS step
+    FROM votes JOIN templates USING (template)
+), placed AS (
+    SELECT *, sum((coalesce(step, 0) > slack)::INT) OVER (PARTITION BY rid, template ORDER BY diagonal) AS part FROM steps
+), merged AS (
+    SELECT rid, template, part, size, label, phrase FROM placed JOIN templates USING (template)
+    GROUP BY ALL HAVING sum(votes) >= 0.3::DOUBLE * (size - any_value(gram) + 1)
+), found AS (
+    SELECT rid, template, part, pos, min(place) AS place
+    FROM merged JOIN placed USING (rid, template, part) JOIN template_words USING (template) JOIN words USING (rid, word)
+    WHERE place = diagonal + pos GROUP BY ALL
+), spans AS (
+    SELECT rid, template, part, label, phrase, min(place) AS first, max(place) AS last, count(*)::DOUBLE / size AS similarity
+    FROM found JOIN merged USING (rid, template, part) GROUP BY rid, template, part, label, phrase, size
+    HAVING count(*)::DOUBLE / size >= CASE WHEN phrase THEN 1.0 ELSE 0.8 END
+), docs AS (
+    SELECT rid, count(DISTINCT (first, last)) FILTER (WHERE phrase) AS n_base, min(first) FILTER (WHERE phrase) AS first_word,
+        max(first) FILTER (WHERE phrase) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(similarity) AS score
+    FROM spans GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+    last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM t LEFT JOIN docs USING (rid)
+"""
+
+
+def _rounds(rounds: int) -> str:
+    """Rounds of assigning and averaging, and a last assignment; squared distances in wide integers."""
+    out = ""
+    for i in range(rounds + 1):
+        out += f""", near{i} AS (
+    SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS d FROM v, c{i}
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+)"""
+        if i < rounds:
+            out += f""", sums{i} AS (
+    SELECT c, i, sum(z) AS s, count(*) AS n
+    FROM (SELECT c, unnest(range(64)) AS i, unnest(x) AS z FROM near{i} JOIN v USING (rid)) GROUP BY c, i
+), c{i + 1} AS (
+    SELECT c, coalesce(m, y) AS y FROM c{i} LEFT JOIN (
+        SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM sums{i} GROUP BY c
+    ) USING (c)
+)"""
+    return out
+
+
+CENTROIDS = rf"""
+WITH v AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), x) - 1 AS c, x AS y FROM v WHERE vec_id IS NOT NULL
+    QUALIFY c < 40
+){_rounds(5)}, inertias AS (
+    SELECT c, sum(d) AS s FROM near5 GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, s::BIGINT AS cluster_inertia, (SELECT sum(d) FROM near5)::BIGINT AS inertia,
+    sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM v JOIN near5 USING (rid) JOIN c5 USING (c) JOIN inertias USING (c)
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+        FROM documents
+    )
+), f AS (
+    SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM (
+        SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+        FROM pieces, (VALUES (1), (2), (3)) sizes(m)
+    ) GROUP BY ALL
+), candidates AS (
+    SELECT * FROM f WHERE m > 1 AND a >= 10
+), cuts AS (
+    SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y
+    FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM candidates)
+), scored AS (
+    SELECT c.lang, c.phrase, c.m, c.a, l.a AS l, r.a AS r, 1000000 * c.a * c.a // (l.a * r.a) AS score
+    FROM cuts c JOIN f l ON c.lang = l.lang AND x = l.phrase JOIN f r ON c.lang = r.lang AND y = r.phrase
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), longer AS (
+    SELECT lang, phrase, max(a) AS most FROM (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase
+        FROM (SELECT *, string_split(phrase, ' ') AS w FROM candidates WHERE m = 3)
+    ) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang
+)
+SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INT AS rank, phrase, a::BIGINT AS a,
+    l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang)
+WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_license_scan": LICENSE_SCAN, "op12_centroids": CENTROIDS, "op13_collocations": COLLOCATIONS,
     "op4_mixing": MIXING,
     "op1_substring_dedup": SUBSTRING_DEDUP, "op2_ngram_join": NGRAM_JOIN,
     "op6_host_rules": HOST_RULES, "op8_url_filter": URL_FILTER,

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutascale.llm import ann, chat_tools, host_rules, mixing, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
+from mutascale.llm import (
+    ann, centroids, chat_tools, collocations, host_rules, licenses, mixing, ngram_join, packing, quality, substring_dedup, toxicity,
+    url_filter,
+)
 from mutascale.llm.texts import read
 
 #: The rule list of the URL filter.
@@ -77,6 +80,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases in every document, and the labels of its phrases and notices."""
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.PHRASES + licenses.NOTICES)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components after five rounds with 40 centroids."""
+    return centroids.clustered(read(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of two and three words that hold together best in each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -88,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
+    "op12_centroids": op12_centroids,
+    "op13_collocations": op13_collocations,
 }

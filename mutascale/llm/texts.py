@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +41,22 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A random 64-bit value per byte, and powers of an odd base with their inverses (modulo 2**64), made longer on demand.
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
+#: Texts are hashed in blocks of this many bytes, so what is allocated does not grow with the text.
+BLOCK = 1 << 16
+#: A random 64-bit value per byte, and the powers of an odd base with their inverses (modulo 2**64) for one block.
 _BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for at, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[at] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(BLOCK + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +67,38 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def _blocks(raw: bytes) -> Iterator[bytes]:
+    """The text in blocks that end at white space; a longer word is a block of its own."""
+    at = 0
+    while len(raw) - at > BLOCK:
+        cut = max(raw.rfind(space, at, at + BLOCK + 1) for space in _SPACES)
+        if cut < 0:
+            after = _CUT.search(raw, at + BLOCK)
+            cut = after.start() if after else len(raw)
+        yield raw[at:cut]
+        at = cut + 1
+    yield raw[at:]
+
+
 def word_hashes(raw: bytes | None) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of random values of its bytes, from running sums over the text."""
+    """A 64-bit hash of each word: a polynomial of random values of its bytes, from running sums over a block of the text.
+
+    A word longer than a block goes by another hash of its bytes.
+    """
     if not raw:
         return np.empty(0, np.uint64)
+    if len(raw) <= BLOCK:
+        return _block_hashes(raw)
+    return np.concatenate([_block_hashes(block) for block in _blocks(raw)])
+
+
+def _block_hashes(raw: bytes) -> np.ndarray:
+    if len(raw) > BLOCK:
+        return np.array([xxhash.xxh3_64_intdigest(raw)], np.uint64)
     starts, ends = word_bounds(raw)
-    powers, inverses = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * powers[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * _POWERS[: len(raw)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
 
 
 def raw_texts(column: pa.Array) -> Iterator[bytes | None]:
