@@ -38,9 +38,11 @@ def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
     left, right = canonical(left), canonical(right)
     for column in left.columns:
         a, b = left[column], right[column]
+        if str(a.dtype) != str(b.dtype) and a.isna().any() and pd.api.types.is_numeric_dtype(a) and pd.api.types.is_numeric_dtype(b):
+            a, b = a.astype("Float64"), b.astype("Float64")  # pandas has no nulls in plain integers
         if str(a.dtype) != str(b.dtype) and not (a.isna().all() and b.isna().all()):
             return f"{column}: type {a.dtype} != {b.dtype}"
-        same = (a == b) | (a.isna() & b.isna())
+        same = (a == b).fillna(False).astype(bool) | (a.isna() & b.isna())
         if not same.all():
             at = (~same).idxmax()
             return f"{column}: {(~same).sum()} differ, first {a[at]!r} != {b[at]!r}"
