@@ -45,9 +45,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Scratch tables of this process that were not removed yet.
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table; only paths that ``scratch_path`` gave out are touched."""
+    if path in _SCRATCH:
+        _SCRATCH.discard(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process. Results that were not read or written yet are lost with them."""
+    for path in list(_SCRATCH):
+        remove_path(spark, path)
 
 
 def materialize(df: DataFrame) -> DataFrame:
