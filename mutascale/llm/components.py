@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import splittable, stored
+from mutascale.llm.texts import discard, splittable, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(splittable(root), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(splittable(low), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        edges = stored(small.filter("a <> b").distinct(), "stars")
+        last, edges = edges, stored(small.filter("a <> b").distinct(), "stars")
+        discard(last)
         now = _state(edges)
         if now == before:
             break

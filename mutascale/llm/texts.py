@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutascale.session import scratch_path
+from mutascale.session import remove_path, scratch_path
 
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -67,13 +67,13 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def _blocks(raw: bytes) -> Iterator[bytes]:
-    """The text in blocks that end at white space; a longer word is a block of its own."""
+def blocks(raw: bytes, most: int = BLOCK) -> Iterator[bytes]:
+    """The text in blocks of at most ``most`` bytes that end at white space; a longer word is a block of its own."""
     at = 0
-    while len(raw) - at > BLOCK:
-        cut = max(raw.rfind(space, at, at + BLOCK + 1) for space in _SPACES)
+    while len(raw) - at > most:
+        cut = max(raw.rfind(space, at, at + most + 1) for space in _SPACES)
         if cut < 0:
-            after = _CUT.search(raw, at + BLOCK)
+            after = _CUT.search(raw, at + most)
             cut = after.start() if after else len(raw)
         yield raw[at:cut]
         at = cut + 1
@@ -89,7 +89,7 @@ def word_hashes(raw: bytes | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(raw) <= BLOCK:
         return _block_hashes(raw)
-    return np.concatenate([_block_hashes(block) for block in _blocks(raw)])
+    return np.concatenate([_block_hashes(block) for block in blocks(raw)])
 
 
 def _block_hashes(raw: bytes) -> np.ndarray:
@@ -145,4 +145,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote; for those that nothing reads any more."""
+    for table in tables:
+        remove_path(table.sparkSession, table.scratch)
