@@ -8,14 +8,17 @@ removed; windows are judged on the input, not on what is left.
    dropped. This leaves the few windows that may repeat.
 2. These windows are compared by a 64-bit hash. The owner of a repeated window is the smallest document that holds it.
 3. The reference is cut into shards: the passages that one document owns, so a shard is never larger than a document. Its
-   suffix automaton is built where the shard meets the runs of windows that others share with it (Spark broadcasts small
-   shards, and splits the runs of a shard that has many). Each run is streamed through the automaton; where the matching
-   statistic reaches the window length, the words of the match are a removed span. So these removals rest on equal words;
-   a copy of a whole text does not pass through the automaton and goes by a 128-bit digest.
+   suffix automaton is built where the shard meets the runs of windows that others share with it. The runs of a shard are
+   dealt into parts of about ``PART_BYTES``, and the shard is sent once to each part, not to each run. Each run is streamed
+   through the automaton; where the matching statistic reaches the window length, the words of the match are a removed span.
+   So these removals rest on equal words; a copy of a whole text does not pass through the automaton and goes by a 128-bit
+   digest.
 
 Defined results: a null or empty text has no words and the digest of the empty string. A row with a null id has no order:
-nothing of it is removed and it removes nothing. Rows repeated with one id are one document as to order: they do not remove
-each other's words, and each comes back. An empty table gives an empty result. Only the named columns are read.
+nothing of it is removed and it removes nothing. A document is an id with a text: rows repeated with both come back each, and
+an id with several texts has spans of its own for each of them. Rows of one id, equal or not, do not remove each other's
+words. A text of any length is hashed in blocks; its words are held in memory by the task that has it. An empty table gives
+an empty result. Only the named columns are read, and those that are to be carried.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from mutascale.llm.texts import raw_texts, splittable, stored, window_hashes, word_hashes, words_of
+from mutascale.llm.texts import discard, raw_texts, splittable, stored, window_hashes, word_hashes, words_of
 
 
 def anchor_places(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +104,8 @@ class SuffixAutomaton:
         return out
 
 
-def _text_key(raw: bytes) -> tuple[int, int]:
-    return tuple(xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63) for seed in (1, 2))
+#: Bytes of runs that are sent to Python with one copy of their reference.
+PART_BYTES = 1 << 20
 
 
 def _batches(columns: Iterator[list], schema: pa.Schema, rows: int = 5000) -> Iterator[pa.RecordBatch]:
@@ -117,16 +120,16 @@ def _batches(columns: Iterator[list], schema: pa.Schema, rows: int = 5000) -> It
 
 
 def _anchors(window: int, gram: int):
-    """A row per document: its id, the key of its text, and the distinct anchors."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+    """A row per document with a window: its id, the key of its text, and the distinct anchors."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                for doc_id, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2))):
                     places, grams = anchor_places(word_hashes(raw), window, gram)
                     if len(places):
-                        yield doc_id, *_text_key(raw), np.unique(grams[np.unique(places)]).view(np.int64)
+                        yield doc_id, key, np.unique(grams[np.unique(places)]).view(np.int64)
 
         yield from _batches(rows(), schema, 1000)
 
@@ -135,11 +138,12 @@ def _anchors(window: int, gram: int):
 
 def _windows(window: int, gram: int):
     """The hash and place of each window whose anchor is among the document's shared ones."""
-    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
+    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, raw, shared in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc_id, key, raw, shared in zip(ids, keys, raw_texts(batch.column(2)), batch.column(3)):
                 hashes = word_hashes(raw)
                 places, grams = anchor_places(hashes, window, gram)
                 known = np.asarray(shared.values.to_numpy(zero_copy_only=False)).view(np.uint64)
@@ -147,7 +151,10 @@ def _windows(window: int, gram: int):
                 if len(at):
                     found = window_hashes(hashes, window)[at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(at.astype(np.int32))],
+                        [
+                            pa.array(found.view(np.int64)), pa.array(np.full(len(at), doc_id)),
+                            pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32)),
+                        ],
                         schema=schema,
                     )
 
@@ -157,18 +164,20 @@ def _windows(window: int, gram: int):
 def _passages(window: int):
     """Owned passages of each document (one row) and its runs of windows that others own (a row for each)."""
     schema = pa.schema([
-        ("owner", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("texts", pa.list_(pa.binary())),
+        ("owner", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("start", pa.int32()),
+        ("texts", pa.list_(pa.binary())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, raw, found in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
+                ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for doc_id, key, raw, found in zip(ids, keys, raw_texts(batch.column(2)), batch.column(3)):
                     words = words_of(raw)
                     place = np.asarray(found.values.field("place").to_numpy(zero_copy_only=False))
                     owner = np.asarray(found.values.field("owner").to_numpy(zero_copy_only=False))
-                    order = np.argsort(place, kind="stable")
-                    place, owner = place[order], owner[order]
+                    place, order = np.unique(place, return_index=True)  # a repeated row has each of its windows again
+                    owner = owner[order]
                     cuts = np.flatnonzero((np.diff(place) != 1) | (np.diff(owner) != 0)) + 1
                     own = []
                     for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
@@ -176,9 +185,9 @@ def _passages(window: int):
                         if owner[lo] == doc_id:
                             own.append(passage)
                         else:
-                            yield int(owner[lo]), doc_id, int(place[lo]), [passage]
+                            yield int(owner[lo]), doc_id, key, int(place[lo]), [passage]
                     if own:
-                        yield doc_id, doc_id, 0, own
+                        yield doc_id, doc_id, key, 0, own
 
         yield from _batches(rows(), schema, 500)
 
@@ -186,26 +195,19 @@ def _passages(window: int):
 
 
 def _match(window: int):
-    """Stream each run through the automaton of its owner's passages; gives the spans within the document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    """Stream the runs of a part through the automaton of their owner's passages; gives the spans within the documents."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built: dict[int, SuffixAutomaton] = {}
-
         def rows():
             for batch in batches:
-                columns = [batch.column(i) for i in range(5)]
-                for at, owner in enumerate(columns[0].to_pylist()):
-                    if owner not in built:
-                        if len(built) >= 16:
-                            built.pop(next(iter(built)))
-                        automaton = built[owner] = SuffixAutomaton()
-                        for passage in columns[1][at].as_py():
-                            automaton.add(passage.split(b" "))
-                    first = columns[3][at].as_py()
-                    for text in columns[4][at].as_py():
-                        for start, end in built[owner].spans(text.split(b" "), window):
-                            yield columns[2][at].as_py(), first + start, first + end
+                for reference, runs in zip(batch.column(0), batch.column(1)):
+                    automaton = SuffixAutomaton()
+                    for passage in reference.as_py():
+                        automaton.add(passage.split(b" "))
+                    for row in runs.as_py():
+                        for start, end in automaton.spans(row["text"].split(b" "), window):
+                            yield row["doc_id"], row["key"], row["start"] + start, row["start"] + end
 
         yield from _batches(rows(), schema)
 
@@ -220,66 +222,81 @@ def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def removed_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc_id, spans`` of the documents that lose words. ``docs`` has ``doc_id`` (not null) and ``text``.
+    """``doc_id, key, spans`` of the documents that lose words. ``docs`` has ``doc_id`` (not null), ``key``, which tells texts
+    apart, and ``text``.
 
     A copy of a whole text has one span over all its words.
     """
     anchors = stored(
-        docs.mapInArrow(_anchors(window, gram), "doc_id long, k1 long, k2 long, anchors array<long>"), "anchors"
+        docs.select("doc_id", "key", "text").mapInArrow(_anchors(window, gram), "doc_id long, key binary, anchors array<long>"),
+        "anchors",
     )
-    reps = anchors.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    keyed = anchors.select("doc_id", "k1", "k2").join(splittable(reps), ["k1", "k2"])
-    copies = keyed.filter("doc_id > rep").select("doc_id").distinct()
-    chosen = keyed.filter("doc_id = rep").select("doc_id", "k1", "k2").distinct()
-    listed = anchors.join(chosen, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
+    reps = anchors.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    keyed = anchors.select("doc_id", "key").join(splittable(reps), "key")
+    copies = keyed.filter("doc_id > rep").select("doc_id", "key").distinct()
+    chosen = keyed.filter("doc_id = rep").select("doc_id", "key").distinct()
+    listed = anchors.join(chosen, ["doc_id", "key"], "left_semi").select("doc_id", "key", F.explode("anchors").alias("anchor"))
     shared = listed.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     known = listed.join(splittable(shared.select("anchor")), "anchor", "left_semi")
-    known = stored(known.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    known = stored(known.groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
 
-    texts = docs.join(known, "doc_id").select("doc_id", "text", "anchors")
-    windows = texts.mapInArrow(_windows(window, gram), "hash long, doc_id long, place int")
+    texts = docs.join(known, ["doc_id", "key"]).select("doc_id", "key", "text", "anchors")
+    windows = texts.mapInArrow(_windows(window, gram), "hash long, doc_id long, key binary, place int")
     windows = stored(windows, "windows")
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi")
-    found = windows.join(splittable(owners.select("hash", "owner")), "hash").groupBy("doc_id").agg(
+    found = windows.join(splittable(owners.select("hash", "owner")), "hash").groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("place", "owner")).alias("found")
     )
-    passages = docs.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(
-        _passages(window), "owner long, doc_id long, start int, texts array<binary>"
+    passages = docs.join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "found").mapInArrow(
+        _passages(window), "owner long, doc_id long, key binary, start int, texts array<binary>"
     )
     passages = stored(passages, "passages")
+    discard(known, windows)
     shards = passages.filter("owner = doc_id").groupBy("owner").agg(F.flatten(F.collect_list("texts")).alias("reference"))
-    runs = passages.filter("owner < doc_id")
-    met = splittable(shards).join(runs, "owner").select("owner", "reference", "doc_id", "start", "texts")
-    spans = met.mapInArrow(_match(window), "doc_id long, start int, end int").distinct()
-    whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end"))
-    return spans.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    runs = passages.filter("owner < doc_id").select("owner", "doc_id", "key", "start", F.col("texts")[0].alias("text"))
+    # the runs of an owner in parts, each met by one copy of the reference
+    sizes = runs.groupBy("owner").agg(F.ceil(F.sum(F.length("text") + 64) / PART_BYTES).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id", "key", "start"), F.col("parts")).cast("int").alias("part")
+    parts = runs.join(splittable(sizes), "owner").select("owner", part, F.struct("doc_id", "key", "start", "text").alias("run"))
+    parts = parts.groupBy("owner", "part").agg(F.collect_list("run").alias("runs"))
+    met = parts.join(splittable(shards), "owner").select("reference", "runs")
+    spans = met.mapInArrow(_match(window), "doc_id long, key binary, start int, end int").distinct()
+    whole = copies.select("doc_id", "key", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("end"))
+    return spans.unionByName(whole).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20,
-    keep_text: bool = True,
+    keep_text: bool = True, carry: list[str] | None = None,
 ) -> DataFrame:
     """Every row as ``doc_id, n_words, n_removed, kept_sha256`` and, if wanted, ``kept_text``.
 
-    The kept words are joined by one space. A row that loses nothing has its text unchanged in ``kept_text``.
+    The kept words are joined by one space. A row that loses nothing has its text unchanged in ``kept_text``. The columns
+    ``carry`` of the row come back in a struct ``carried``, so no join is needed to find it.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = removed_spans(docs.filter("doc_id IS NOT NULL"), window, gram)
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("kept_text", pa.string())] * keep_text)
+    own = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried") if carry else F.lit(0).alias("carried")
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"), own
+    )
+    spans = removed_spans(docs.filter("doc_id IS NOT NULL").drop("carried"), window, gram)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for doc_id, raw, found in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
-                    words, found = words_of(raw), found.as_py()
-                    kept = _kept(words, [(s["start"], s["end"]) for s in found]) if found else words
-                    joined = b" ".join(kept)
-                    row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
-                    text = joined if found else raw
-                    yield (*row, text if text is None else text.decode()) if keep_text else row
-
-        yield from _batches(rows(), schema, 1000)
+        for batch in batches:
+            rows = []
+            for doc_id, raw, found in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2)):
+                words, found = words_of(raw), found.as_py()
+                kept = _kept(words, [(s["start"], s["end"]) for s in found]) if found else words
+                joined = b" ".join(kept)
+                row = (doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest())
+                text = joined if found else raw
+                rows.append((*row, text if text is None else text.decode()) if keep_text else row)
+            columns = list(zip(*rows)) or [()] * len(types)
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [batch.column(3)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, columns)
+    schema = StructType([*StructType.fromDDL(columns).fields, docs.schema["carried"]])
+    names = schema.fieldNames()
+    result = docs.join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "spans", "carried").mapInArrow(run, schema)
+    return result if carry else result.drop("carried")
