@@ -16,6 +16,7 @@ from mutascale.llm.texts import WORD_RE, splittable, stored, word_list
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+SCALE = 1_000_000
 
 
 def _repeat_words(words: Column, hashes: Column) -> Column:
@@ -38,19 +39,19 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``doc_id, host`` and the counts of the base rules of every document.
 
-    Windows of eight words are told apart within one text by a 64-bit hash.
+    Windows of eight words are told apart within one text by a 64-bit hash of the hashes of their words.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     base = base.withColumns({
-        "words": word_list(F.col("text")),
+        "words": F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)),
         "lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
     n = F.size("words")
     hashes = F.when(
         n > WINDOW,
         F.transform(
-            F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, WINDOW)))
+            F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))
         ),
     ).otherwise(F.array().cast("array<long>"))
     base = base.select(
@@ -69,16 +70,18 @@ def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _beta_prior(totals: Row) -> tuple[float, float]:
-    """Method of moments: between-host variance is the weighted squared deviation less binomial noise."""
-    n, x, k = totals["N"] or 0, totals["X"] or 0, totals["k"]
+    """Mean and strength by the method of moments: between-host variance is the weighted squared deviation less binomial noise.
+
+    The sums are exact, so the prior does not depend on the order in which hosts were added.
+    """
+    n, x, nn, k = (float(totals[c] or 0) for c in ("N", "X", "nn", "k"))
     mean = (x + 0.5) / (n + 1.0)
     noise = mean * (1 - mean)
-    scale = n - totals["nn"] / n if n else 0.0
+    scale = n - nn / n if n else 0.0
     between = noise / 10000.0
     if scale > 0:
-        between = max((totals["xx"] - x * x / n - (k - 1) * noise) / scale, between)
-    strength = max(noise / min(between, noise * 0.5) - 1, 1.0)
-    return mean * strength, (1 - mean) * strength
+        between = max((float(totals["xx"]) / SCALE - x * x / n - (k - 1) * noise) / scale, between)
+    return mean, max(noise / min(between, noise * 0.5) - 1, 1.0)
 
 
 def host_verdicts(judged: DataFrame, max_rate: float, z: float) -> DataFrame:
@@ -91,13 +94,16 @@ def host_verdicts(judged: DataFrame, max_rate: float, z: float) -> DataFrame:
     hosts = judged.filter(F.col("host").isNotNull()).groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("x")
     )
+    wide = lambda c: F.col(c).cast("decimal(15,0)")
     totals = hosts.agg(
         F.sum("n").alias("N"), F.sum("x").alias("X"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("x") * F.col("x") / F.col("n")).alias("xx"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+        # of each host's x * x / n the integer part of its millionfold, so the sum is one of integers
+        F.sum(F.call_function("div", wide("x") * wide("x") * F.lit(SCALE), wide("n")).cast("decimal(38,0)")).alias("xx"),
+        F.sum((wide("n") * wide("n")).cast("decimal(38,0)")).alias("nn"),
     )
-    alpha, beta = _beta_prior(totals.first())  # one row, whatever the number of hosts
-    total = F.col("n") + (alpha + beta)
-    rate = (F.col("x") + alpha) / total
+    mean, strength = _beta_prior(totals.first())  # one row, whatever the number of hosts
+    total = F.col("n") + strength
+    rate = (F.col("x") + mean * strength) / total
     low = rate - z * F.sqrt(rate * (1 - rate) / (total + 1))
     return hosts.select("host", F.col("n").alias("host_docs"), rate.alias("host_rate"), (low > max_rate).alias("host_bad"))
 

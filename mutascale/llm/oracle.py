@@ -26,17 +26,17 @@ WITH t AS (
 ), judged AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
 ), hosts AS (
-    SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM judged WHERE source IS NOT NULL GROUP BY source
+    SELECT source, count(*)::HUGEINT AS n, sum(base_failed::INT)::HUGEINT AS x FROM judged WHERE source IS NOT NULL GROUP BY source
 ), totals AS (
-    SELECT sum(n) AS N1, sum(x) AS X1, count(*) AS k, sum(x * x / n) AS xx, sum(n * n) AS nn, (sum(x) + 0.5) / (sum(n) + 1) AS m
-    FROM hosts
+    SELECT N1::DOUBLE AS N1, X1::DOUBLE AS X1, k, xx::DOUBLE / 1000000 AS xx, nn::DOUBLE AS nn, (X1::DOUBLE + 0.5) / (N1::DOUBLE + 1) AS m
+    FROM (SELECT sum(n) AS N1, sum(x) AS X1, count(*) AS k, sum(x * x * 1000000 // n) AS xx, sum(n * n) AS nn FROM hosts)
 ), noise AS (SELECT *, m * (1 - m) AS v, N1 - nn / N1 AS scale FROM totals
 ), spread AS (
     SELECT *, CASE WHEN scale > 0 THEN greatest((xx - X1 * X1 / N1 - (k - 1) * v) / scale, v / 10000) ELSE v / 10000 END AS b
     FROM noise
 ), prior AS (SELECT m, greatest(v / least(b, v * 0.5) - 1, 1) AS s FROM spread
 ), rates AS (
-    SELECT source, n, (x + m * s) / (n + s) AS rate, n + s AS total FROM hosts, prior
+    SELECT source, n, (x::DOUBLE + m * s) / (n::DOUBLE + s) AS rate, n::DOUBLE + s AS total FROM hosts, prior
 ), verdicts AS (
     SELECT source, n::BIGINT AS host_docs, rate AS host_rate,
         rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5 AS host_bad FROM rates
