@@ -115,9 +115,12 @@ def _search(rotation, k: int, block: int, eps: float) -> Callable:
     def run(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"rep": [], "vec_id": [], "score": []}).astype({"rep": "int64", "vec_id": "int64"})
+        ids = candidates["vec_id"].to_numpy()
+        # an id may come with several vectors: as many more places as rows that repeat an id
+        places = k + len(ids) - len(np.unique(ids))
         found = scan(
-            np.stack(queries["vector"]).astype(float), candidates["vec_id"].to_numpy(),
-            np.stack(candidates["vector"]).astype(float), rotation.value, k, block, eps,
+            np.stack(queries["vector"]).astype(float), ids, np.stack(candidates["vector"]).astype(float), rotation.value, places,
+            block, eps,
         )
         return pd.DataFrame({
             "rep": np.repeat(queries["vec_id"].to_numpy(), [len(i) for i, _ in found]),
@@ -196,6 +199,7 @@ def nearest(
         right.select(*keys, "vec_id", "vector").groupBy(*keys)
     ).applyInPandas(_search(rotation, k + 1, block, eps), RESULT)
     best = Window.partitionBy("rep").orderBy("score", "vec_id")
+    found = found.groupBy("rep", "vec_id").agg(F.min("score").alias("score"))  # the nearest vector of an id
     found = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     pairs = classes.select(F.col("vec_id").alias("query_id"), "rep").join(found.select("rep", "vec_id", "score"), "rep")
     pairs = pairs.filter(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
