@@ -12,7 +12,8 @@ per block are ordered, never the documents of a source, and a source with a thir
 
 Defined results: the tokens of a document are its words; a text that is null, empty or of white space has none and is returned once (in pass
 0). A null source is a source. Repeated rows are documents each. An empty table, or one without tokens, gives each row once.
-Only the named columns are read; all columns are returned.
+Only the named columns are read; all columns are returned. The table's columns may have any name: inside they are numbered,
+and one that is named like a column of the result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from mutascale.llm.texts import stored, word_list
 
 STEPS, ROUNDS = 32, 6
+OUT = ("mix_tokens", "mix_weight", "mix_pass", "mix_block", "mix_order")
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -72,11 +74,13 @@ def mix_sources(
     ``budget`` is in multiples of the corpus. Sorting by ``mix_pass, mix_block, mix_order`` gives the training order.
     ``target_entropy`` is a share of the entropy of equal weights.
     """
-    base = docs.select("*", F.size(word_list(F.col(text_col))).cast("long").alias("mix_tokens"))
-    base = base.withColumn("mix_source", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    slim = stored(
-        base.select("mix_source", "mix_tokens", _hash(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mix_key")), "tokens"
+    base = docs.select(
+        *(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)),
+        F.size(word_list(F.col(text_col))).cast("long").alias("mix_tokens"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("mix_source"),
+        _hash(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mix_key"),
     )
+    slim = stored(base.select("mix_source", "mix_tokens", "mix_key"), "tokens")
     sources = stored(slim.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens")).filter("tokens > 0"), "sources")
     x = exponent(sources, target_entropy, max_epochs)
     power = F.pow(F.col("tokens").cast("double"), F.lit(x))
@@ -106,17 +110,18 @@ def mix_sources(
     taken = cells.select("mix_source", "mix_cell", (F.col("upto") <= F.col("rest")).alias("whole")).join(last, "mix_source", "left")
 
     # the documents: whole passes, and the last pass where their block or their place in it is within the limit
-    drawn = base.withColumn("mix_key", _hash(F.lit(seed), F.col(id_col), F.col(text_col))).join(plan, "mix_source", "left")
+    drawn = base.join(plan, "mix_source", "left")
     drawn = drawn.withColumn("mix_cell", F.pmod("mix_key", F.coalesce("blocks", F.lit(1)))).join(
         taken, ["mix_source", "mix_cell"], "left"
     )
     key = F.struct(_turn(seed, F.col("passes"), F.col("mix_key")).alias("t"), F.col("mix_key").alias("k"))
     more = F.coalesce(F.col("whole") | (F.col("upto_key").isNotNull() & (key <= F.col("upto_key"))), F.lit(False))
     count = F.when(F.col("mix_tokens") == 0, F.lit(1)).otherwise(F.col("passes") + more.cast("long"))
-    drawn = drawn.withColumn("count", count).filter(F.col("count") > 0)
-    drawn = drawn.withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    drawn = drawn.withColumn("copies", count).filter(F.col("copies") > 0)
+    drawn = drawn.withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     block = _turn(seed, F.col("mix_pass"), F.col("mix_source"), F.col("mix_cell"))
+    own = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in OUT]
     return drawn.select(
-        *(F.col(c) for c in docs.columns), "mix_tokens", "mix_weight", "mix_pass", block.alias("mix_block"),
+        *(F.col(f"own_{i}").alias(c) for i, c in own), "mix_tokens", "mix_weight", "mix_pass", block.alias("mix_block"),
         _turn(seed, F.col("mix_pass"), F.col("mix_key")).alias("mix_order"),
     )
