@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import raw_texts, stored, word_bounds, word_hashes
+from mutascale.llm.texts import blocks, raw_texts, stored, word_bounds, word_hashes
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -34,6 +33,11 @@ MERGED = 1 << 62
 PLAIN = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-^`{-~«»–—‘’“”„…]*)$")
 
 
+#: Bytes of text that are looked up together, and the length of a word above which its ids are not kept.
+PORTION = 2 << 20
+MOST_KEPT = 64
+
+
 class WordIds:
     """Ids of texts, for tokenizers that drop white space, never join across it, compose characters (NFC), lower the case,
     and cut letters from punctuation.
@@ -43,14 +47,14 @@ class WordIds:
     that composes with a letter, is looked up whole. The last ``limit`` to ``2 * limit`` of these are kept.
     """
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.young: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.young: dict[bytes, bytes] = {}  # ids as unsigned 32-bit integers: far smaller than a tuple of numbers
+        self.old: dict[bytes, bytes] = {}
 
-    def word(self, raw: bytes) -> tuple[int, ...]:
+    def word(self, raw: bytes) -> bytes:
         ids = self.young.get(raw)
         if ids is not None:
             return ids
@@ -60,18 +64,25 @@ class WordIds:
             plain = PLAIN.match(word)
             letters = plain[1].lower().encode() if plain else raw
             if letters == raw:
-                ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
             else:
                 ids = self.word(letters)
                 if plain[2]:
                     ids = ids + self.word(plain[2].encode())
+        if len(raw) > MOST_KEPT:
+            return ids
         if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
         self.young[raw] = ids
         return ids
 
     def encode(self, raws: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text; a text longer than a portion is worked through in blocks."""
+        if len(raws) == 1 and len(raws[0] or b"") > PORTION:
+            return [np.concatenate([self._encode([block])[0] for block in blocks(raws[0], PORTION)])]
+        return self._encode(raws)
+
+    def _encode(self, raws: list[bytes | None]) -> list[np.ndarray]:
         text = b"\n".join(raw or b"" for raw in raws)
         ends_of = np.cumsum([len(raw or b"") + 1 for raw in raws])
         starts, ends = word_bounds(text)
@@ -79,8 +90,8 @@ class WordIds:
             return [np.empty(0, np.uint32) for _ in raws]
         _, first, which = np.unique(word_hashes(text), return_index=True, return_inverse=True)
         ids = [self.word(text[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.cumsum(sizes) - sizes
         # the place of each id of each word in the flat list of the distinct words' ids
         sizes = sizes[which]
@@ -100,16 +111,16 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
-def _portions(batch: pa.RecordBatch, most: int = 3 << 20) -> Iterator[tuple[list, list[bytes | None]]]:
-    """Ids and texts of a batch in portions of about ``most`` bytes."""
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes | None]]]:
+    """Ids and texts of a batch in portions of about ``PORTION`` bytes; a longer text is a portion of its own."""
     keys, raws, size = [], [], 0
     for key, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+        if keys and size + len(raw or b"") > PORTION:
+            yield keys, raws
+            keys, raws, size = [], [], 0
         keys.append(key)
         raws.append(raw)
         size += len(raw or b"")
-        if size >= most:
-            yield keys, raws
-            keys, raws, size = [], [], 0
     if keys:
         yield keys, raws
 
