@@ -1,7 +1,8 @@
 """Linear models with categorical factors: fits, ANOVA tables and coefficient tables.
 
 The rows are reduced to one cell per combination of factor levels, the cells to the cross products of the design
-columns. Only that matrix, whose size is the number of model columns, reaches the driver.
+columns. Only that matrix, whose size is the number of model columns, reaches the driver. Where a model has more than
+``ABSORB_ABOVE`` columns its widest factor is absorbed level by level (see ``absorb``), and the matrix has the others only.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import quoted
 from mutascale.functions.stats import f_tail, normality, t_quantile, t_two_sided
+from mutascale.operators.absorb import AbsorbedFit, absorbed_coefficients, fit_absorbed
 from mutascale.session import materialize
 
-MAX_COLUMNS = 3000
+ABSORB_ABOVE = 400
 RANK_TOLERANCE = 1e-10
 INTERCEPT, RESIDUAL = "Intercept", "Residual"
 
@@ -96,6 +98,18 @@ class Fit:
         beta = inverse @ toward
         return beta, inverse, max(float(total - beta @ toward), 0.0), int(kept.sum())
 
+    def rss(self, terms: list[tuple[str, ...]], intercept: bool = True, shift: float = 0.0) -> tuple[float, int]:
+        """Residual sum of squares and rank of the model with these terms."""
+        return self.solve(self.columns_of(terms, intercept), shift)[2:]
+
+    def used(self, term: tuple[str, ...]) -> int:
+        """Columns of a term that are not empty."""
+        return int(sum(self.gram[c, c] > 0 for c in self.blocks[term]))
+
+    @property
+    def total(self) -> float:
+        return float(self.gram[self.last, self.last])
+
     def columns_of(self, terms: list[tuple[str, ...]], intercept: bool = True) -> list[int]:
         return ([0] if intercept else []) + [c for t in terms for c in self.blocks[t]]
 
@@ -104,26 +118,29 @@ class Fit:
         return self.solve(list(range(self.last)))
 
 
-def fit(df: DataFrame, model: LinearModel) -> Fit:
+def fit(df: DataFrame, model: LinearModel) -> Fit | AbsorbedFit:
     """Least-squares fit; rows with a missing value in a model column are dropped."""
     cells = materialize(_cells(df, model))
+    counted = [F.count_distinct(quoted(f)) for f in model.factors]
+    n, sy, *sizes = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("mean_y")), *counted).first()
+    if not n:
+        raise ValueError("no complete row to fit")
+    mean, sizes = sy / n, dict(zip(model.factors, sizes))
+    if 1 + sum(math.prod(sizes[f] - 1 for f in t if f in sizes) for t in model.terms) > ABSORB_ABOVE:
+        wide = max((f for f in model.factors if any(f in t for t in model.terms)), key=lambda f: sizes[f])
+        levels = {f: _levels(cells, f) for f in model.factors if f != wide}
+        return fit_absorbed(cells, model, wide, levels, _with_level_index(cells, levels), _entries, int(n), mean)
     levels = {f: _levels(cells, f) for f in model.factors}
     blocks, width = {}, 1
     for term in model.ordered_terms:
         size = math.prod(len(levels[f]) - 1 for f in term if f in model.factors)
         blocks[term] = range(width, width + size)
         width += size
-        if width > MAX_COLUMNS:
-            raise ValueError(f"the model needs more than {MAX_COLUMNS} design columns")
-    totals = cells.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean_y")).alias("sy")).first()
-    if not totals["n"]:
-        raise ValueError("no complete row to fit")
-    mean = totals["sy"] / totals["n"]
     indexed = _with_level_index(cells, levels)
     gram = np.zeros((width + 1, width + 1))
     for i, j, value in _products(indexed, model, levels, blocks, width, mean).collect():
         gram[i, j] = gram[j, i] = value
-    return Fit(model, levels, blocks, gram, int(totals["n"]), mean)
+    return Fit(model, levels, blocks, gram, int(n), mean)
 
 
 def _cells(df: DataFrame, model: LinearModel) -> DataFrame:
@@ -141,10 +158,8 @@ def _cells(df: DataFrame, model: LinearModel) -> DataFrame:
 
 
 def _levels(cells: DataFrame, factor: str) -> list:
-    found = cells.select(quoted(factor)).distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"factor {factor} has more than {MAX_COLUMNS} levels")
-    return sorted(row[0] for row in found)
+    """Sorted levels of a factor that is not absorbed, so each is a column of the matrix on the driver."""
+    return sorted(row[0] for row in cells.select(quoted(factor)).distinct().collect())
 
 
 def _index_name(factor: str) -> str:
@@ -152,19 +167,19 @@ def _index_name(factor: str) -> str:
 
 
 def _with_level_index(df: DataFrame, levels: dict[str, list]) -> DataFrame:
-    """Attach the position of each factor's level; the level lists are bounded by MAX_COLUMNS."""
+    """Attach the position of each factor's level; a level is a column of the matrix on the driver."""
     for factor, values in levels.items():
         kind = df.schema[factor].dataType.simpleString()
         schema = f"`{factor}` {kind}, `{_index_name(factor)}` int"
         table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], schema)
-        df = df.join(F.broadcast(table), factor)
+        df = df.join(table, factor)
     return df
 
 
-def _entries(model: LinearModel, levels: dict[str, list], blocks: dict) -> Column:
+def _entries(model: LinearModel, levels: dict[str, list], blocks: dict, absorbed: str | None = None) -> Column:
     """Non-zero design entries of a cell: struct(column, kind), kind 0 for a 1 and k for the k-th covariate."""
     entries = [F.struct(F.lit(0).alias("column"), F.lit(0).alias("kind"))]
-    for term in model.ordered_terms:
+    for term in (t for t in model.ordered_terms if absorbed not in t):
         position, active = F.lit(0), F.lit(True)
         for factor in [x for x in term if x in model.factors]:
             index = quoted(_index_name(factor))
@@ -202,26 +217,21 @@ def _products(cells: DataFrame, model: LinearModel, levels, blocks, width: int,
     )
 
 
-def anova_rows(result: Fit, typ: int) -> list[tuple]:
+def anova_rows(result: Fit | AbsorbedFit, typ: int) -> list[tuple]:
     """(factor, sum_sq, df, columns) per term, in table order, without the residual."""
     terms = result.model.ordered_terms
-    full_columns = list(range(result.last))
     rows = []
     if typ == 3:
-        _, _, full_rss, full_rank = result.solve(full_columns, result.mean)
-        without = [c for c in full_columns if c != 0]
-        _, _, rss, rank = result.solve(without, result.mean)
+        full_rss, full_rank = result.rss(terms, shift=result.mean)
+        rss, rank = result.rss(terms, intercept=False, shift=result.mean)
         rows.append((INTERCEPT, rss - full_rss, full_rank - rank, 1))
     for term in terms:
         others = [t for t in terms if t != term]
         if typ == 2:
             others = [t for t in others if not set(term) < set(t)]
-        reduced = result.columns_of(others)
-        larger = full_columns if typ == 3 else result.columns_of([*others, term])
-        _, _, small_rss, small_rank = result.solve(reduced)
-        _, _, large_rss, large_rank = result.solve(larger)
-        used = [c for c in result.blocks[term] if result.gram[c, c] > 0]
-        rows.append((":".join(term), small_rss - large_rss, large_rank - small_rank, len(used)))
+        small_rss, small_rank = result.rss(others)
+        large_rss, large_rank = result.rss(terms if typ == 3 else [*others, term])
+        rows.append((":".join(term), small_rss - large_rss, large_rank - small_rank, result.used(term)))
     return rows
 
 
@@ -233,7 +243,7 @@ def anova_table(df: DataFrame, model: LinearModel, typ: int = 2, result: Fit | N
     if typ not in (2, 3):
         raise ValueError("typ is 2 or 3")
     result = result or fit(df, model)
-    _, _, rss, rank = result.full
+    rss, rank = result.rss(model.ordered_terms)
     residual_df = result.n - rank
     sigma2 = rss / residual_df if residual_df > 0 else None
     rows = []
@@ -256,6 +266,8 @@ def coefficient_table(df: DataFrame, model: LinearModel, result: Fit | None = No
     When columns are aliased the estimates are the minimum-norm ones on the scaled columns.
     """
     result = result or fit(df, model)
+    if isinstance(result, AbsorbedFit):
+        return absorbed_coefficients(result, _column_names(result, result.layout.wide), level, COEFFICIENT_SCHEMA)
     beta, inverse, rss, rank = result.full
     residual_df = result.n - rank
     sigma2 = rss / residual_df if residual_df > 0 else float("nan")
@@ -275,9 +287,9 @@ def coefficient_table(df: DataFrame, model: LinearModel, result: Fit | None = No
     return df.sparkSession.createDataFrame(rows, COEFFICIENT_SCHEMA)
 
 
-def _column_names(result: Fit) -> list[str]:
+def _column_names(result: Fit | AbsorbedFit, absorbed: str | None = None) -> list[str]:
     names = [INTERCEPT]
-    for term in result.model.ordered_terms:
+    for term in (t for t in result.model.ordered_terms if absorbed not in t):
         labels = [""]
         for part in term:
             coded = result.levels[part][1:] if part in result.model.factors else [None]
@@ -290,8 +302,8 @@ def _column_names(result: Fit) -> list[str]:
 def fit_statistics(df: DataFrame, model: LinearModel, result: Fit | None = None) -> Row:
     """R2, adjusted R2, overall F test, likelihood criteria, and normality tests of the residuals."""
     result = result or fit(df, model)
-    beta, _, rss, rank = result.full
-    n, total = result.n, float(result.gram[result.last, result.last])
+    rss, rank = result.rss(model.ordered_terms)
+    n, total = result.n, result.total
     model_df, residual_df = rank - 1, n - rank
     r2 = 1.0 - rss / total if total > 0 else None
     f_value = (total - rss) / model_df / (rss / residual_df) if model_df and residual_df and rss > 0 else None
@@ -310,15 +322,30 @@ def fit_statistics(df: DataFrame, model: LinearModel, result: Fit | None = None)
     )
 
 
-def residuals(df: DataFrame, result: Fit) -> DataFrame:
-    """The complete rows with their residual; the coefficients travel as one literal array."""
+def residuals(df: DataFrame, result: Fit | AbsorbedFit) -> DataFrame:
+    """The complete rows with their residual; the coefficients travel as one literal array.
+
+    Those of an absorbed factor are joined by its level; a level that holds a third of all rows may be split.
+    """
     model = result.model
-    indexed = _with_level_index(df.select(*[quoted(c) for c in model.columns]).dropna(), result.levels)
+    rows = df.select(*[quoted(c) for c in model.columns]).dropna()
+    indexed = _with_level_index(rows, result.levels)
     numbers = F.array(F.lit(1.0), *[quoted(c).cast("double") for c in model.covariates])
-    beta = F.lit([float(b) for b in result.full[0]])
-    fitted = F.aggregate(
-        _entries(model, result.levels, result.blocks), F.lit(result.mean),
-        lambda total, e: total + F.element_at(beta, e["column"] + 1) * F.element_at(numbers, e["kind"] + 1),
-    )
+    if isinstance(result, AbsorbedFit):
+        wide, own = result.layout.wide, result.effects.select(F.col("level").alias("__level"), "estimates").hint("rebalance")
+        indexed = indexed.join(own, quoted(wide) == F.col("__level"), "left")
+        entries = _entries(model, result.levels, result.layout.blocks, wide)
+        _, found, *_ = result.solve(model.ordered_terms)  # all columns, in order
+        beta = F.lit([float(b) for b in found])
+    else:
+        entries, beta = _entries(model, result.levels, result.blocks), F.lit([float(b) for b in result.full[0]])
+
+    def term(e: Column) -> Column:
+        value = F.element_at(beta, e["column"] + 1)
+        if isinstance(result, AbsorbedFit):
+            value = value + F.coalesce(F.try_element_at("estimates", e["column"]), F.lit(0.0))
+        return value * F.element_at(numbers, e["kind"] + 1)
+
+    fitted = F.aggregate(entries, F.lit(result.mean), lambda total, e: total + term(e))
     rows = indexed.withColumn("residual", quoted(model.response).cast("double") - fitted)
     return rows.select(*[quoted(c) for c in model.columns], "residual")
