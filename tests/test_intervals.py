@@ -122,3 +122,18 @@ def test_rows_of_no_length(spark):
     for width in (1, 4, 64):
         assert {(r.id, r.panel) for r in iv.overlap_join(v, p, width).collect()} == expected
     assert {(r.id, r.panel) for r in iv.overlap_join_by_chromosome(v, p).collect()} == expected
+
+
+def test_long_rows_cost_a_few_rows(spark):
+    from mutascale.operators import intervals as iv
+
+    exons = spark.range(2000).selectExpr("'1' AS chr", "id * 1000 AS istart", "id * 1000 + 100 AS iend", "id")
+    long_ones = [("1", 0, 2_000_000, "whole"), ("1", 500, 700_000, "large"), ("1", 50, 51, "point"), ("1", 1_999_050, 3_000_000_000, "far")]
+    calls = spark.createDataFrame(long_ones, "chr string, start long, end long, name string")
+    found = iv.overlap_join(calls, exons).groupBy("name").count().collect()
+    assert {r["name"]: r["count"] for r in found} == {"whole": 2000, "large": 699, "point": 1, "far": 1}
+    width = iv.pick_bin_width(exons)
+    levelled = calls.withColumn(iv.LEVEL, iv._level("start", "end", width))
+    assert iv._listed(levelled, "start", "end", width, [0], "own").count() <= 4 * (iv.STEP + 2)
+    whole = spark.createDataFrame([("1", 0, 2_000_000, 7), ("1", 10, 20, 8)], "chr string, istart long, iend long, id int")
+    assert iv.overlap_join(calls, whole).where("name = 'point'").select("id").collect()[0][0] == 7
