@@ -6,10 +6,11 @@ import math
 import random
 from dataclasses import asdict, dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
 from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,79 @@ def fit_boosted(
     return Pipeline(stages=stages).fit(ready)
 
 
+@dataclass(frozen=True)
+class PatientFit:
+    """A boosted model cut at its best round, the validation error (mean squared) after every round tried, and that round."""
+
+    model: PipelineModel
+    errors: list[float]
+    best: int
+
+
+def patient_round(errors: list[float], patience: int, least: float = 1e-12) -> tuple[int, int]:
+    """Best round and number of rounds tried: boosting ends when ``patience`` rounds in a row are not below the best.
+
+    An error counts as below when it is so by the share ``least``, so that rounding does not decide.
+    """
+    best, tried = 1, len(errors)
+    for at, error in enumerate(errors, 1):
+        if error < errors[best - 1] * (1 - least):
+            best = at
+        elif at - best >= patience:
+            tried = at
+            break
+    return best, tried
+
+
+def fit_patient(
+    train: DataFrame,
+    features: list[str],
+    target: str,
+    validation: str,
+    params: TreeParams | None = None,
+    rounds: int = 500,
+    patience: int = 200,
+    seed: int = 41,
+) -> PatientFit:
+    """Boost on the rows outside ``validation`` until its error has not improved for ``patience`` rounds; keep the best round.
+
+    Trees are added one after the other, each on what the ones before left, so every prefix of the ensemble is a model of its
+    own. Rounds are fitted in stretches of ``patience``: a stretch is fitted anew from the first round with more rounds only
+    if the rule has not ended boosting before, and the same seed gives the same trees, so the prefixes agree. The error of
+    all prefixes takes one pass over the validation rows.
+    """
+    scratch_root(train.sparkSession)
+    params, flag = params or TreeParams(), quoted(validation)
+    ready, n = _balanced(as_model_input(train.where(~flag), features, target), features, None)
+    held = as_model_input(train.where(flag), features, target).select(*[quoted(f) for f in features], LABEL)
+    assembler = VectorAssembler(inputCols=features, outputCol=VECTOR)
+    ready, held = assembler.transform(ready), assembler.transform(held)
+    wanted = min(rounds, 2 * patience)
+    while True:
+        model = _regressor(params, wanted, seed, None, n).fit(ready)
+        errors = [float(e) for e in model.evaluateEachIteration(held, "squared")]
+        best, tried = patient_round(errors, patience)
+        if wanted >= rounds or tried < len(errors) or len(errors) - best >= patience:
+            break
+        wanted = min(rounds, 2 * wanted)
+    return PatientFit(PipelineModel([assembler, first_rounds(model, best)]), errors[:tried], best)
+
+
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model made of the first trees of an ensemble, with their weights."""
+    java = model._java_obj
+    gateway = SparkContext._gateway
+    trees, weights = java.trees(), java.treeWeights()
+    kept = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    shares = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], shares[i] = trees[i], weights[i]
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{java.uid()}-{rounds}", kept, shares)
+    out = GBTRegressionModel(cut)
+    out._resetUid(cut.uid())
+    return out.setFeaturesCol(VECTOR).setPredictionCol("prediction")
+
+
 def _balanced(ready: DataFrame, features: list[str], validation: str | None) -> tuple[DataFrame, int]:
     """Only the training columns, dealt by content and sorted, and their number of rows.
 

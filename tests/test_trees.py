@@ -134,3 +134,22 @@ def test_model_does_not_depend_on_partitions(spark):
         model = trees.fit_boosted(base.repartition(n), ["x", "z"], "y", params, rounds=3)
         sums.add(round(trees.predict(model, base, ["x", "z"], "y").agg(F.sum("prediction")).first()[0], 6))
     assert len(sums) == 1
+
+
+def test_patience_rule():
+    assert trees.patient_round([5, 4, 4, 4.5, 3], 2) == (2, 4)
+    assert trees.patient_round([5, 4, 4, 4.5, 3], 3) == (5, 5)
+    assert trees.patient_round([1.0], 5) == (1, 1)
+    assert trees.patient_round([3.0, 3.0 * (1 - 1e-15), 2.0], 5) == (3, 3)
+
+
+def test_patient_fit_keeps_the_best_prefix(rows):
+    marked = rows.withColumn("check", F.pmod("id", F.lit(4)) == 0)
+    params = trees.TreeParams(0.9, 5, 0.7, 0.0, 1)
+    found = trees.fit_patient(marked, FEATURES, "y", "check", params, rounds=12, patience=3)
+    held = marked.where("check")
+    assert found.best == trees.patient_round(found.errors, 3)[0] <= len(found.errors) <= 12
+    assert len(found.model.stages[-1].trees) == found.best
+    assert trees.held_out_rmse(found.model, held, FEATURES, "y") ** 2 == pytest.approx(found.errors[found.best - 1])
+    whole = trees.fit_patient(marked, FEATURES, "y", "check", params, rounds=4, patience=100)
+    assert whole.errors == pytest.approx(found.errors[:4])  # stretches agree on their common prefix
