@@ -60,6 +60,7 @@ class Grid:
     cutoffs: list[float] = field(default_factory=lambda: list(VAF_CUTOFFS))
     pairs: list[tuple[float, float]] | None = None
     masks: list[int] | None = None
+    kinds: list[tuple[bool, float]] | None = None
 
     def accuracy_pairs(self) -> dict[tuple[float, float], int]:
         """Distinct (recall, precision) pairs with their number of repeats.
@@ -82,14 +83,16 @@ class Grid:
         return repeats
 
     def cutoff_values(self) -> list[float]:
+        if self.kinds is not None:
+            return sorted({cutoff for _, cutoff in self.kinds})
         return self.cutoffs if self.vaf_cutoff else [DEFAULT_VAF_CUTOFF]
 
     def hotspot_values(self) -> list[bool]:
         return [True, False] if self.hotspot_filter else [False]
 
     def filter_kinds(self) -> list[tuple[bool, float]]:
-        """The (hotspot, VAF cut-off) combinations; a filter's place is its index here."""
-        return list(product(self.hotspot_values(), self.cutoff_values()))
+        """The (hotspot, VAF cut-off) combinations; a filter's place is its index here. Given ``kinds`` win."""
+        return self.kinds if self.kinds is not None else list(product(self.hotspot_values(), self.cutoff_values()))
 
     def class_masks(self) -> Column:
         """Array of bit masks over the optional classes: all non-empty subsets, only the empty one, or those given."""
@@ -203,16 +206,21 @@ def vector_table(counts: DataFrame) -> DataFrame:
     )
 
 
-def count_table(vectors: DataFrame, grid: Grid) -> DataFrame:
+def count_table(vectors: DataFrame, grid: Grid, filters: DataFrame | None = None) -> DataFrame:
     """Samples per panel, filter, count n and, for test samples, exome burden y.
 
-    ``filter`` packs the class mask and the place in the grid's filters into one number.
+    ``filter`` packs the class mask and the place in the grid's filters into one number. With ``filters``, a table of such
+    numbers, vectors meet the masks that are listed for their place by an equality; otherwise all masks of the grid.
     """
     n = F.col("g0")
     if grid.gene_content:
         for i in range(len(OPTIONAL_CLASSES)):
             n = n + F.when(class_in_mask(i), F.col(f"g{i + 1}")).otherwise(F.lit(0))
-    expanded = vectors.withColumn("mask", F.explode(grid.class_masks())).select(
+    if filters is None:
+        masked = vectors.withColumn("mask", F.explode(grid.class_masks()))
+    else:
+        masked = vectors.join(filters.select(*_unpacked()).hint("rebalance"), "at")
+    expanded = masked.select(
         "panel", (F.col("at") * MASKS + F.col("mask")).alias("filter"), n.alias("n"), F.col("test_y").alias("y"),
         "train", "train_y", "train_min", "train_max", "high", "low",
     )
@@ -234,6 +242,13 @@ MASKS = 2 ** len(OPTIONAL_CLASSES)
 FILTER = ["panel", "filter"]
 
 
+def _unpacked() -> list[Column]:
+    """Place and class mask of a packed filter."""
+    return [
+        F.floor(F.col("filter") / MASKS).cast("int").alias("at"), F.col("filter").bitwiseAND(F.lit(MASKS - 1)).cast("int").alias("mask"),
+    ]
+
+
 def unpack_filter(grid: Grid) -> dict[str, Column]:
     """Class mask, hotspot flag and VAF cut-off of a packed filter."""
     kinds = grid.filter_kinds()
@@ -320,9 +335,15 @@ def with_fit(moments: DataFrame, lengths: DataFrame) -> DataFrame:
     return fitted.where(F.col("high") + F.col("low") > 0).drop(*totals, *spreads, "train", "train_y", "train_min", "train_max")
 
 
-def score(fitted: DataFrame, grid: Grid) -> DataFrame:
-    """Scores per panel and scenario. The rows are already partitioned by panel and filter: no further shuffle."""
-    pairs = fitted.withColumn("__pair", F.explode(_pairs_array(grid))).select(*fitted.columns, "__pair.*")
+def score(fitted: DataFrame, grid: Grid, listed: DataFrame | None = None) -> DataFrame:
+    """Scores per panel and scenario. The rows are already partitioned by panel and filter: no further shuffle.
+
+    With ``listed`` (filter, recall, precision) a filter meets the pairs that are listed for it, otherwise all of the grid.
+    """
+    if listed is None:
+        pairs = fitted.withColumn("__pair", F.explode(_pairs_array(grid))).select(*fitted.columns, "__pair.*")
+    else:
+        pairs = fitted.join(listed.withColumn("multiplicity", F.lit(1).cast("long")).hint("rebalance"), "filter")
     factor = F.lit(1.0) + (F.lit(1.0) / F.col("recall") - F.lit(1.0) / F.col("precision"))
     predicted = F.col("n") * factor / F.col("panel_mb") * F.col("coef") + F.col("intercept")
     rows = (
@@ -401,26 +422,33 @@ def sweep(overlaps: DataFrame, lengths: DataFrame, grid: Grid | None = None, exp
     admitted = overlaps.where(F.col("wesTMB") <= MAX_BURDEN)
     counts = sample_counts(admitted, grid)
     moments = per_count_moments(count_table(vector_table(counts), grid))
-    scored = score(with_fit(moments, lengths), grid)
+    named = _named(score(with_fit(moments, lengths), grid))
+    if expand:
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("multiplicity")))
+        return named.withColumn("__copy", copies).select(*RESULT_COLUMNS)
+    return named.select(*RESULT_COLUMNS, "multiplicity")
+
+
+def _named(scored: DataFrame) -> DataFrame:
+    """Scores under their published names, with a flag for each optional class."""
     flags = [class_in_mask(i).alias(name) for i, name in enumerate(OPTIONAL_CLASSES)]
-    named = scored.select(
+    return scored.select(
         F.col("panel").alias("panel_id"),
         strip_panel_suffix(F.col("panel")).alias("method"),
         F.col("panel_mb").alias("exonic_size"),
         "recall", "precision", *flags, "hotspot", "vaf_cutoff", "coef", "intercept",
         "whfh", "wlfl", "whfl", "wlfh", "r2", "rmsle", "ccc", "acc", "multiplicity",
     )
-    if expand:
-        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("multiplicity")))
-        return named.withColumn("__copy", copies).select(*RESULT_COLUMNS)
-    return named.select(*RESULT_COLUMNS, "multiplicity")
 
 
 def sweep_scenarios(overlaps: DataFrame, lengths: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Score every panel under a stored list of scenarios (recall, precision, classes, hotspot, vaf_cutoff).
 
-    The list is a parameter table. Its distinct values span a grid that is swept as one, then only the listed
-    combinations are kept. Every class list must hold the base classes and otherwise optional ones.
+    Each scenario is a packed filter with a pair. Vectors of counters meet the listed masks of their filter, and fitted
+    filters the listed pairs, by equality joins on integers, so the work follows the list and not what its values span. Only
+    the distinct (hotspot, cut-off) combinations are collected, because cells are expanded to them by projection; they
+    are looked up as the doubles that were collected. Every class list must hold the base classes and otherwise optional
+    ones. Repeated scenarios count once.
     """
     known = [*BASE_CLASSES, *OPTIONAL_CLASSES.values()]
     odd = (F.size(F.array_except("classes", F.array(*[F.lit(c) for c in known]))) > 0) | (
@@ -428,18 +456,14 @@ def sweep_scenarios(overlaps: DataFrame, lengths: DataFrame, scenarios: DataFram
     )
     if not scenarios.where(odd).isEmpty():
         raise ValueError("a class list lacks a base class or names an unknown class")
-    flags = [F.array_contains("classes", name).alias(key) for key, name in OPTIONAL_CLASSES.items()]
-    listed = scenarios.select("recall", "precision", *flags, "hotspot", "vaf_cutoff").distinct()
-    mask = sum((F.col(key).cast("int") * (1 << i) for i, key in enumerate(OPTIONAL_CLASSES)), F.lit(0))
-
-    def values(*columns) -> list[tuple]:
-        return sorted(tuple(row) for row in listed.select(*columns).distinct().collect())
-
-    grid = Grid(
-        pairs=values("recall", "precision"),
-        masks=[m for (m,) in values(mask)],
-        cutoffs=[c for (c,) in values("vaf_cutoff")],
-    )
-    return sweep(overlaps, lengths, grid).drop("multiplicity").join(
-        listed, ["recall", "precision", *OPTIONAL_CLASSES, "hotspot", "vaf_cutoff"], "left_semi"
-    ).select(*RESULT_COLUMNS)
+    kinds = sorted((r["hotspot"], r["vaf_cutoff"]) for r in scenarios.select("hotspot", "vaf_cutoff").distinct().collect())
+    grid = Grid(kinds=kinds)
+    flags = [F.array_contains("classes", name).cast("int") * (1 << i) for i, name in enumerate(OPTIONAL_CLASSES.values())]
+    mask = sum(flags, F.lit(0))
+    places = F.array(*[F.struct(F.lit(h).alias("hotspot"), F.lit(v).alias("vaf_cutoff")) for h, v in kinds])
+    at = F.array_position(places, F.struct("hotspot", "vaf_cutoff")) - 1
+    listed = scenarios.select((at * MASKS + mask).alias("filter"), "recall", "precision").distinct()
+    counts = sample_counts(overlaps.where(F.col("wesTMB") <= MAX_BURDEN), grid)
+    table = count_table(vector_table(counts), grid, listed.select("filter").distinct())
+    scored = score(with_fit(per_count_moments(table), lengths), grid, listed)
+    return _named(scored).select(*RESULT_COLUMNS)
