@@ -247,6 +247,31 @@ TREE_TEST = with_(V) + f""",
 tested AS (SELECT * FROM v WHERE {draw('41', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} < 858993459)"""
 
 
+STORED = """
+listed AS (
+  SELECT ([1.0, 0.9, 0.8, 0.7, 0.6, 0.5]::DOUBLE[])[n_nationkey % 6 + 1] AS recall,
+    ([1.0, 0.9, 0.8, 0.7, 0.6, 0.5]::DOUBLE[])[n_nationkey % 4 + 1] AS "precision", (n_nationkey * 7 % 64)::INTEGER AS mask,
+    n_nationkey % 2 = 0 AS hotspot, ([0.01, 0.02, 0.03, 0.05, 0.1]::DOUBLE[])[n_nationkey % 5 + 1] AS vaf_cutoff
+  FROM nation
+),
+pairs AS (SELECT DISTINCT recall, "precision", 1::BIGINT AS multiplicity FROM listed)"""
+STORED_FILTERS = """
+filters AS (SELECT DISTINCT mask, hotspot, vaf_cutoff FROM listed)"""
+
+LABEL_CELLS = """
+            SELECT s.sample, l.label, count(v.label) AS n
+            FROM (SELECT DISTINCT sample FROM v) s CROSS JOIN (SELECT DISTINCT label FROM v) l
+            LEFT JOIN v ON v.sample = s.sample AND v.label = l.label GROUP BY ALL"""
+
+STEP = TREE_TEST + f""",
+stepped AS (
+  SELECT *, t_alt::DOUBLE AS y, {draw('41', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} < 858993459 AS held_out,
+    {draw('42', 'l_orderkey')} < 858993459 AS validation FROM v),
+held AS (SELECT * FROM stepped WHERE held_out), checked AS (SELECT * FROM stepped WHERE NOT held_out AND validation),
+means AS (SELECT hot, avg(y) AS m FROM stepped WHERE NOT held_out AND NOT validation GROUP BY hot),
+whole AS (SELECT avg(y) AS overall FROM stepped WHERE NOT held_out AND NOT validation)"""
+
+
 def oracle() -> dict[str, str]:
     """Query name -> SQL."""
     return {
@@ -346,6 +371,9 @@ def oracle() -> dict[str, str]:
         "scenario_sweep": sweep_sql(PAIRS_PRODUCT, FILTERS_ALL) + SWEEP_SELECT,
         "scenario_sweep_default": sweep_sql(PAIRS_ONE, FILTERS_NONE) + SWEEP_SELECT,
         "scenario_sweep_zip": sweep_sql(PAIRS_ZIP, filters("range(1, 64)", "[false]", "[0.05]")) + SWEEP_SELECT,
+        "stored_scenarios": sweep_sql(STORED, STORED_FILTERS) + SWEEP_SELECT.replace(", multiplicity", "") + """
+            WHERE (mask, hotspot, vaf_cutoff, recall, "precision") IN (
+              SELECT (mask, hotspot, vaf_cutoff, recall, "precision") FROM listed)""",
         "linear_calibration": with_(V, RATED, INTERVALS, LENGTHS, PLACED) + """,
             counted AS (
               SELECT p.panel, wesTMB, count(*) OVER (PARTITION BY p.panel, sample) / panel_mb AS x
@@ -426,6 +454,47 @@ def oracle() -> dict[str, str]:
               CASE WHEN l_returnflag <> 'N' THEN l_returnflag <> 'R' END AND NOT l_tax >= 0.07
                 AND CASE WHEN l_quantity > 10 THEN t_depth ELSE 0 END < {MAX_COSMIC}, false) AS hot
             FROM placed""",
+        "anova_wide": with_(V) + """,
+            l AS (SELECT l_orderkey, count(*)::DOUBLE AS n, avg(t_alt) AS my, avg(t_depth) AS mx FROM v GROUP BY 1),
+            d AS (SELECT t_alt - my AS y, t_depth - mx AS x FROM v JOIN l USING (l_orderkey)),
+            w AS (SELECT sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM d),
+            o AS (
+              SELECT count(*)::DOUBLE AS n, count(*) * (var_pop(t_alt) - pow(covar_pop(t_alt, t_depth), 2) / var_pop(t_depth)) AS no_factor
+              FROM v),
+            s AS (
+              SELECT n, yy - xy * xy / xx AS rss, xy * xy / xx AS cov, no_factor - (yy - xy * xy / xx) AS factor,
+                (SELECT count(*) FROM l) - 1 AS k FROM w, o),
+            t AS (
+              SELECT 'l_orderkey' AS factor, s.factor AS sum_sq, k AS df, s.factor / k / (rss / (n - k - 2)) AS f_value FROM s
+              UNION ALL SELECT 't_depth', cov, 1, cov / (rss / (n - k - 2)) FROM s
+              UNION ALL SELECT 'Residual', rss, (n - k - 2)::BIGINT, NULL FROM s)
+            SELECT factor, round(sum_sq, 4) AS sum_sq, df::BIGINT AS df, round(f_value, 4) AS f_value,
+              round(sum_sq / sum(sum_sq) OVER (), 4) AS eta_sq FROM t""",
+        "anova_wide_effects": with_(V) + """,
+            l AS (
+              SELECT l_orderkey, count(*)::DOUBLE AS n, avg(t_alt) AS my, avg(t_depth) AS mx,
+                l_orderkey = (SELECT min(l_orderkey) FROM v) AS first FROM v GROUP BY 1),
+            w AS (
+              SELECT sum((t_depth - mx) * (t_depth - mx)) AS xx, sum((t_depth - mx) * (t_alt - my)) AS xy,
+                sum((t_alt - my) * (t_alt - my)) AS yy, count(*) - (SELECT count(*) FROM l) - 1 AS dof
+              FROM v JOIN l USING (l_orderkey)),
+            k AS (
+              SELECT xy / xx AS slope, xx, (yy - xy * xy / xx) / dof AS s2, f.my AS fy, f.mx AS fx, f.n AS fn
+              FROM w, (SELECT * FROM l WHERE first) f)
+            SELECT 't_depth' AS coefficient, round(slope, 4) AS estimate, round(sqrt(s2 / xx), 4) AS std_error FROM k
+            UNION ALL SELECT 'Intercept', round(fy - slope * fx, 4), round(sqrt(s2 * (1 / fn + fx * fx / xx)), 4) FROM k
+            UNION ALL SELECT 'l_orderkey[' || l_orderkey || ']', round((my - fy) - slope * (mx - fx), 4),
+              round(sqrt(s2 * (1 / l.n + 1 / fn + (mx - fx) * (mx - fx) / xx)), 4) FROM k, l WHERE NOT first""",
+        "label_counts": with_(V) + "SELECT sample, coalesce(label, 'null') AS label, count(*) AS n FROM v GROUP BY ALL",
+        "label_pivot_cells": with_(V) + LABEL_CELLS,
+        "gbt_step": STEP + """
+            SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(m, 6) AS prediction FROM held JOIN means USING (hot)""",
+        "gbt_patience": STEP + """
+            SELECT unnest([1, 2, 3])::INTEGER AS round, round(avg(pow(y - m, 2)), 6) AS mse, unnest([true, false, false]) AS kept
+            FROM checked JOIN means USING (hot)""",
+        "step_attribution": STEP + """
+            SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(m - overall, 6) AS phi, round(overall, 6) AS base
+            FROM held JOIN means USING (hot), whole""",
         "gbt_predict": TREE_TEST + """
             SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t_alt::DOUBLE AS t_alt, true AS known FROM tested""",
         "tune_gbt": "SELECT unnest([0, 1, 2])::INTEGER AS trial, true AS sound",

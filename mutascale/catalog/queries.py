@@ -71,6 +71,20 @@ def label_pivot(spark, sf_dir):
     return qc.label_pivot(variants(spark, sf_dir, kind=False), "sample", "label")
 
 
+@query
+def label_counts(spark, sf_dir):
+    """The counts of the pivot in long form."""
+    return qc.label_counts(variants(spark, sf_dir, kind=False), "sample", "label")
+
+
+@query
+def label_pivot_cells(spark, sf_dir):
+    """The cells of the pivot by sample and label."""
+    pivoted = qc.label_pivot(variants(spark, sf_dir, kind=False), "sample", "label")
+    labels = pivoted.columns[1:]
+    return pivoted.unpivot(["sample"], [f"`{c}`" for c in labels], "label", "n")
+
+
 @query
 def failed_proportion(spark, sf_dir):
     shares = qc.failed_proportion(variants(spark, sf_dir, kind=False), RULES)
@@ -329,6 +343,23 @@ def scenario_sweep_zip(spark, sf_dir):
     return rounded(_sweep(spark, sf_dir, grid), 4, "exonic_size", "coef", "intercept", "r2", "rmsle", "ccc", "acc")
 
 
+@query
+def stored_scenarios(spark, sf_dir):
+    """A stored list of unrelated scenarios, one for each nation."""
+    k = F.col("n_nationkey")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    mask = (k * 7 % 64).cast("int")
+    chosen = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, F.lit(c)) for i, c in enumerate(sweep.OPTIONAL_CLASSES.values())])
+    listed = table(spark, sf_dir, "nation").select(
+        pick(sweep.ACCURACY_SCALE, k % 6).alias("recall"), pick(sweep.ACCURACY_SCALE, k % 4).alias("precision"),
+        F.concat(F.array(*map(F.lit, sweep.BASE_CLASSES)), F.array_compact(chosen)).alias("classes"),
+        (k % 2 == 0).alias("hotspot"), pick(sweep.VAF_CUTOFFS, k % 5).alias("vaf_cutoff"),
+    )
+    placed, lengths = panel_variants(spark, sf_dir)
+    scored = sweep.sweep_scenarios(placed, lengths, listed)
+    return rounded(scored, 4, "exonic_size", "coef", "intercept", "r2", "rmsle", "ccc", "acc")
+
+
 # Calibration and scores per panel.
 
 
@@ -556,6 +587,25 @@ def anova_type3(spark, sf_dir):
     return _anova(spark, sf_dir, 3)
 
 
+WIDE_MODEL = anova.LinearModel("t_alt", ("l_orderkey",), ("t_depth",), (("l_orderkey",), ("t_depth",)))
+
+
+@query
+def anova_wide(spark, sf_dir):
+    """A factor with a level for every order, beside a covariate."""
+    rows = variants(spark, sf_dir, sample=False).select("t_alt", "l_orderkey", "t_depth")
+    shown = anova.anova_table(rows, WIDE_MODEL, 2).select("factor", "sum_sq", "df", F.col("F").alias("f_value"), "eta_sq")
+    return rounded(shown, 4, "sum_sq", "f_value", "eta_sq")
+
+
+@query
+def anova_wide_effects(spark, sf_dir):
+    """The estimate of every level of the wide factor and of the covariate."""
+    rows = variants(spark, sf_dir, sample=False).select("t_alt", "l_orderkey", "t_depth")
+    shown = anova.coefficient_table(rows, WIDE_MODEL).select("coefficient", "estimate", "std_error")
+    return rounded(shown, 4, "estimate", "std_error")
+
+
 @query
 def ols_coefficients(spark, sf_dir):
     rows = variants(spark, sf_dir, sample=False).select("t_alt", "type", "t_depth")
@@ -652,6 +702,43 @@ def tree_attribution(spark, sf_dir):
     return sums.select("n_rows", "adds_up", "pairs_add_up", F.inline(cells))
 
 
+def _step_rows(spark, sf_dir) -> DataFrame:
+    """One 0/1 feature, a training fifth for validation, and held-out rows."""
+    rows = _tree_rows(spark, sf_dir).withColumn("hot", F.col("hot").cast("double"))
+    return sampling.hash_split(rows.withColumnRenamed("is_test", "held"), ["l_orderkey"], 0.2, 42).withColumnRenamed("is_test", "validation")
+
+
+def _step_model(spark, sf_dir, **options):
+    rows = _step_rows(spark, sf_dir)
+    params = trees.TreeParams(eta=0.3, max_depth=1)
+    return rows, trees.fit_patient(rows.where("NOT held"), ["hot"], "t_alt", "validation", params, **options)
+
+
+@query
+def gbt_step(spark, sf_dir):
+    """Predictions of a boosted model of depth 1 on one 0/1 feature: the means of the two groups."""
+    rows, fitted = _step_model(spark, sf_dir, rounds=3, patience=2)
+    scored = trees.predict(fitted.model, rows.where("held"), ["hot"], "t_alt")
+    return rounded(scored.select(*ROW_ID[:1], "l_linenumber", "l_partkey", "l_suppkey", "prediction"), 6, "prediction")
+
+
+@query
+def gbt_patience(spark, sf_dir):
+    """Validation error of every prefix of the ensemble that was tried, and the round that is kept."""
+    _, fitted = _step_model(spark, sf_dir, rounds=8, patience=2)
+    rows = [(i + 1, float(e), fitted.best == i + 1) for i, e in enumerate(fitted.errors)]
+    return rounded(spark.createDataFrame(rows, "round int, mse double, kept boolean"), 6, "mse")
+
+
+@query
+def step_attribution(spark, sf_dir):
+    """Attributions of the same model: group mean less overall mean of the training rows."""
+    rows, fitted = _step_model(spark, sf_dir, rounds=3, patience=2)
+    explained = attribution.attribute(fitted.model, rows.where("held"), ["hot"], "t_alt", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    shown = explained.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("phi")[0].alias("phi"), "base")
+    return rounded(shown, 6, "phi", "base")
+
+
 @query
 def gaussian_model(spark, sf_dir):
     rows = variants(spark, sf_dir, sample=False, kind=False)

@@ -140,12 +140,19 @@ def failed_proportion(df: DataFrame, rules: QcRules) -> DataFrame:
 def label_pivot(df: DataFrame, sample: str, label: str) -> DataFrame:
     """Rows per sample and label as one column per label that occurs, 0 where absent; a missing label is ``null``.
 
-    The labels become columns, so their number is bounded by Spark's own limit for pivots, which raises beyond it.
+    The labels become columns, so their number is bounded by Spark's own limit for pivots, which raises beyond it;
+    ``label_counts`` has no limit.
     """
     named = df.withColumn(label, F.coalesce(F.col(label), F.lit("null")))
     return named.groupBy(sample).pivot(label).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def label_counts(df: DataFrame, sample: str, label: str) -> DataFrame:
+    """The counts that are not zero in long form, ``sample, label, n``: one aggregate, for any number of labels."""
+    named = df.select(sample, F.coalesce(F.col(label), F.lit("null")).alias("label"))
+    return named.groupBy(sample, "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def drop_artefacts(df: DataFrame, rules: QcRules) -> DataFrame:
     """Drop samples with too many artefacts, then the remaining artefact rows."""
     shares = failed_proportion(df, rules)
