@@ -6,13 +6,17 @@ shingles share only make the order less sharp, never wrong. Two sets can reach t
 order share a shingle.
 
 1. Equal sets become one class, represented by its smallest id.
-2. Each prefix shingle links its classes to the smallest of them (a star, not all pairs); these pairs are checked, and
-   the links give first components.
+2. Each prefix shingle links its classes to the smallest of them (a star, not all pairs); these pairs are checked, and the
+   links give first components.
 3. Only shingles whose classes still lie in several components are joined pairwise, the classes outside the shingle's
-   largest component against all others, under the length and positional filters. Pairs within a component need no
-   further link. So the components are those of all links, although a group of copies never gives all its pairs.
+   largest component against all others, under the length and positional filters. Pairs within a component need no further link. So the
+   components are those of all links, although a group of copies never gives all its pairs. Each row knows the ``BEFORE``
+   shingles of this kind that stand before its own in the set; where two sets have one of them in common, they met there
+   already and the pair is not listed again.
 4. A pair is checked once: a histogram of the hashes bounds the overlap of the suffixes (the suffix filter), then the sets
-   are intersected.
+   are intersected. Pairs that were checked as stars are left out of step 3.
+
+Components are found among the classes alone; copies take the component of their class in one join.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with nothing. A null id is
 dropped from the links and comes back with a null component. Repeated rows (same id and text) come back each; an id with several texts
@@ -33,12 +37,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mutascale.llm.components import components
-from mutascale.llm.texts import raw_texts, splittable, stored, window_hashes, word_hashes
+from mutascale.llm.texts import discard, raw_texts, small_batches, splittable, stored, window_hashes, word_hashes
 
 SLOTS = 1 << 24
 SLOT_BLOCK = 1 << 18
 FILTER_BITS = 1 << 24
 BINS = 64
+BEFORE = 8
 
 
 def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
@@ -52,14 +57,14 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents per slot of the counter table, over the whole corpus. Its size does not depend on the input."""
+    """Rank of each slot of the counter table by its documents, over the whole corpus: 32 MB, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint16)  # of one task; what is above counts as 65535, which is frequent enough
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 slots = np.unique(_slot(shingle_set(raw, size)))
-                counts[slots] += np.uint32(1)
+                counts[slots] += counts[slots] < 0xFFFF
         # most slots of a task hold 0 or 1, so they are sent compressed
         parts = [zlib.compress(part.tobytes(), 1) for part in _narrow(counts).reshape(-1, SLOT_BLOCK)]
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "counts": pa.array(parts, pa.binary())})
@@ -72,10 +77,12 @@ def gram_counts(docs: DataFrame, size: int) -> np.ndarray:
         return pd.DataFrame({"block": [frame["block"].iloc[0]], "counts": [packed]})
 
     schema = "block int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema).collect()
-    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint32)
-    for row in rows:
-        out[row["block"]] = _wide(row["counts"])
+    with small_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, schema).groupBy("block").applyInPandas(add, schema).collect()
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.uint16)
+    for row in rows:  # only the order matters: exact below 2048, in steps of a share of 1/1900 of a doubling above
+        wide = _wide(row["counts"]).astype(np.int64)
+        out[row["block"]] = np.where(wide < 2048, wide, 2048 + 1900 * (np.log2(np.maximum(wide, 2048)) - 11)).astype(np.uint16)
     return out.ravel()
 
 
@@ -161,23 +168,26 @@ def _overlap(size: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the threshold, each checked once."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """The pairs ``a, b`` whose sets reach the threshold, each checked once. ``pairs`` has no pair twice."""
     bins = classes.select("rep", "n", "bins")
-    pairs = pairs.distinct()
     pairs = pairs.join(bins.toDF("a", "na", "ba"), "a").join(bins.toDF("b", "nb", "bb"), "b")
-    pairs = pairs.filter(_reaches(F.least("na", "nb"), percent))
+    pairs = pairs.filter(_reaches(F.least("na", "nb"), percent, "na", "nb"))
     bound = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    pairs = stored(pairs.filter(_reaches(bound, percent)).select("a", "b").distinct(), "pairs")
+    pairs = stored(pairs.filter(_reaches(bound, percent, "na", "nb")).select("a", "b").distinct(), "pairs")
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
     texts = docs.filter(in_filter(bitmap, "doc_id"))
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(size, percent), "a long, b long").distinct()
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_overlap(size, percent), "a long, b long").distinct()
+    links = stored(links, name)
+    discard(pairs)
+    bitmap.unpersist()
+    return links
 
 
-def _reaches(overlap: Column, percent: int) -> Column:
-    """100 * overlap >= percent * union for sets of na and nb shingles."""
-    return (100 + percent) * overlap.cast("long") >= percent * (F.col("na") + F.col("nb")).cast("long")
+def _reaches(overlap: Column, percent: int, a: str, b: str) -> Column:
+    """100 * overlap >= percent * union for sets of ``a`` and ``b`` shingles."""
+    return (100 + percent) * overlap.cast("long") >= percent * (F.col(a) + F.col(b)).cast("long")
 
 
 def near_duplicates(
@@ -191,9 +201,11 @@ def near_duplicates(
         _digests(counts, size, percent), "doc_id long, n int, h1 long, h2 long, prefix array<long>, bins array<int>"
     )
     digests = stored(digests, "digests")
+    counts.unpersist()
     sets = digests.filter("n > 0 AND doc_id IS NOT NULL")
     reps = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = stored(sets.select("doc_id", "h1", "h2").join(splittable(reps), ["h1", "h2"]).select("doc_id", "rep"), "members")
+    members = sets.select("doc_id", "n", "h1", "h2").join(splittable(reps), ["h1", "h2"]).select("doc_id", "n", "h1", "rep")
+    members = stored(members, "members")
     # the representative's own row carries the prefix. The bitmap lets a few copies through, which then link as any other
     # class does; it saves shuffling the prefixes to their class
     bitmap = spark.sparkContext.broadcast(id_filter(members.filter("doc_id = rep"), "doc_id"))
@@ -201,40 +213,56 @@ def near_duplicates(
     grams = classes.select(F.posexplode("prefix").alias("pos", "gram"), "rep", "n")
     shared = grams.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = stored(shared.select("gram", "hub"), "shared-grams")
-    bitmap = spark.sparkContext.broadcast(id_filter(shared, "gram"))
-    rows = grams.filter(in_filter(bitmap, "gram")).join(shared, "gram")
+    held = spark.sparkContext.broadcast(id_filter(shared, "gram"))
+    rows = grams.filter(in_filter(held, "gram")).join(shared, "gram")
     # how many prefix shingles that anyone shares stand before this one: no more can be common before it
-    earlier = F.dense_rank().over(Window.partitionBy("rep").orderBy("pos")) - 1
-    rows = stored(rows.withColumn("earlier", earlier), "shared")
+    order = Window.partitionBy("rep").orderBy("pos")
+    rows = stored(rows.withColumn("earlier", F.dense_rank().over(order) - 1), "shared")
+    discard(shared)
+    held.unpersist()
 
     # stars: each class with the smallest class of each of its prefix shingles
     stars = rows.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    first = stored(_verified(stars, docs, classes, size, percent), "star-links")
+    stars = stored(stars.distinct(), "star-pairs")
+    first = _verified(stars, docs, classes, size, percent, "star-links")
     found = stored(components(first), "star-components")
 
     # what is left: shingles whose classes lie in several components
-    placed = rows.join(splittable(found.withColumnRenamed("id", "rep")), "rep", "left")
+    placed = rows.drop("hub").join(splittable(found.withColumnRenamed("id", "rep")), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("gram").agg(
         F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")
     ).filter("k > 1")
-    mixed = stored(placed.join(splittable(largest.select("gram", "major")), "gram").drop("hub"), "mixed")
+    mixed = placed.join(splittable(largest.select("gram", "major")), "gram")
+    # an id with several texts has one list of places for all of them, so it looks nothing up
+    texts = members.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi")
+    mixed = mixed.join(splittable(texts.select(F.col("doc_id").alias("rep"), F.lit(True).alias("several"))), "rep", "left")
+    before = F.collect_list("gram").over(order.rowsBetween(-BEFORE, -1))
+    before = F.when(F.col("several"), F.array().cast("array<long>")).otherwise(before)
+    mixed = stored(mixed.withColumn("before", before).drop("several"), "mixed")
     minor = mixed.filter("component <> major")
-    x = minor.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "pos", "earlier", "component")))
-    y = mixed.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "pos", "earlier", "component", "major")))
+    columns = ["rep", "n", "pos", "earlier", "component", "before"]
+    x = minor.select("gram", *(F.col(c).alias(f"{c}_a") for c in columns))
+    y = mixed.select("gram", *(F.col(c).alias(f"{c}_b") for c in [*columns, "major"]))
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     bound = F.least("earlier_a", "earlier_b") + rest  # positional filter: what can be common before, at and after it
     pairs = x.join(y, "gram").filter(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("major_b")) | (F.col("rep_a") < F.col("rep_b")))
-        & ((100 + percent) * F.least(bound, F.col("n_a"), F.col("n_b")) >= percent * (F.col("n_a") + F.col("n_b")))
+        & _reaches(F.least(bound, "n_a", "n_b"), percent, "n_a", "n_b")
+        & ~F.arrays_overlap("before_a", "before_b")
     )
-    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    more = _verified(pairs, docs, classes, size, percent)
-    final = components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))).unionByName(
-        members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    ))
-    out = digests.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    out = out.join(final, out["doc_id"] == final["id"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    pairs = pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    more = _verified(pairs.join(stars, ["a", "b"], "left_anti"), docs, classes, size, percent, "links")
+    discard(rows, mixed, stars)
+
+    # an id with several texts links their classes
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b < hi").drop("hi")
+    several = members.join(splittable(several), "doc_id").select(F.col("rep").alias("a"), "b")
+    links = more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))).unionByName(several)
+    final = splittable(components(links).withColumnRenamed("id", "rep"))
+    discard(first, found, more)
+    out = members.join(final, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    alone = digests.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
