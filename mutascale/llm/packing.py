@@ -44,16 +44,20 @@ class WordIds:
 
     The words of a batch are told apart by a 64-bit hash, and each distinct one is looked up once. A word of plain letters
     with common punctuation after it goes by its lower-case letters, which are far fewer; any other word, as one with a mark
-    that composes with a letter, is looked up whole. The last ``limit`` to ``2 * limit`` of these are kept.
+    that composes with a letter, is looked up whole. The last ``limit`` to ``2 * limit`` of these are kept
+    until the task ends.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.young: dict[bytes, bytes] = {}  # ids as unsigned 32-bit integers: far smaller than a tuple of numbers
         self.old: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def word(self, raw: bytes) -> bytes:
         ids = self.young.get(raw)
         if ids is not None:
@@ -200,6 +204,7 @@ def _pack_task(path: str, window: int, open_windows: int, min_cut: int, end_id:
             done += 1
         if out:
             yield batch(out)
+        words.forget()  # the worker may idle for long
 
     return run
 
