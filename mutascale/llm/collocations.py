@@ -4,14 +4,14 @@ Texts are cut into pieces at punctuation and line ends, and pieces into words. F
 of m - 1 words counts the word after each of its occurrences, and how often it ends a piece. Stripes answer three questions:
 
 * extensions: an entry of a stripe is the frequency of prefix + word,
-* prefix totals: a stripe's sum, with the ends of pieces, is the frequency of the prefix (one-word stripes: of each word),
+* prefix totals: a stripe's sum, with the ends of pieces, is the frequency of the prefix (one-word stripes: of each word);
+  it is kept as an entry of the stripe,
 * subsumption maxima: the largest entry that holds a phrase is its most frequent extension on the right as a prefix, and on
   the left as the end of an entry.
 
 Tasks gather stripes in memory, ``held`` entries at a time, and emit them cut into buckets by prefix and next word. A bucket
 holds a part of many stripes, and a hot prefix is spread over ``SLICES`` of them, so no key holds a stripe as a whole. Stripes
-of a bucket are merged elementwise by an aggregate that may spill; the partial sums of a prefix then follow from its merged
-slices. Only extensions that reach ``min_count`` are kept.
+of a bucket are merged elementwise by an aggregate that may spill. Only sums and extensions of ``min_count`` are kept.
 
 Longer phrases are built level by level: a phrase can reach ``min_count`` only if the phrases without its last and without its
 first word do. Their 64-bit hashes set bits of a bitmap (``BITS_PER_PHRASE`` bits each, at most ``MAX_BITS``), which tells a
@@ -94,36 +94,36 @@ def _may_be_frequent(raw: bytes, size: int, bits: np.ndarray, seed: np.uint64) -
             yield tuple(words[at : at + size])
 
 
-def _bucket(prefix: bytes, word: bytes, buckets: int) -> int:
-    """A stripe is spread over ``SLICES`` buckets."""
-    return (zlib.crc32(prefix) * SLICES + zlib.crc32(word) % SLICES) % buckets
-
-
 def _gather(size: int, bits, buckets: int, held: int) -> Callable:
-    """Stripes of the prefixes of ``size - 1`` words. Without ``bits``, of all one-word prefixes and with the ends of pieces."""
+    """Stripes of the prefixes of ``size - 1`` words, cut into buckets. Without ``bits``, of all one-word prefixes, and with a
+    last entry for the stripe's sum, whose word is empty."""
+    texts = pa.list_(pa.string())
     schema = pa.schema([
-        ("lang", pa.string()), ("bucket", pa.int32()), ("prefix", pa.list_(pa.string())), ("next", pa.list_(pa.string())),
-        ("count", pa.list_(pa.int64())),
+        ("lang", pa.string()), ("bucket", pa.int32()), ("prefix", texts), ("next", texts), ("count", pa.list_(pa.int64())),
     ])
 
     def emit(lang: str, counts: Counter) -> pa.RecordBatch:
-        parts: dict[int, tuple[list, list, list]] = {}
-        for words, count in counts.items():
-            prefix, word = b" ".join(words[:-1]), words[-1]
-            if prefix == END:
-                continue
-            part = parts.setdefault(_bucket(prefix, word, buckets), ([], [], []))
-            part[0].append(prefix)
-            part[1].append(word)
-            part[2].append(count)
-        counts.clear()
-        columns = [[lang] * len(parts), list(parts), *(list(c) for c in zip(*parts.values()))]
-        binary = pa.list_(pa.binary())
-        arrays = [
-            pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()),
-            *(pa.array(c, binary).cast(pa.list_(pa.string())) for c in columns[2:4]), pa.array(columns[4], schema.types[4]),
-        ]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        counts = {words: count for words, count in counts.items() if words[0] != END}
+        prefixes = [b" ".join(words[:-1]) for words in counts] if size > 2 else [words[0] for words in counts]
+        words, numbers = [words[-1] for words in counts], list(counts.values())
+        if bits is None:
+            totals: dict[bytes, int] = {}
+            for prefix, number in zip(prefixes, numbers):
+                totals[prefix] = totals.get(prefix, 0) + number
+            prefixes += totals
+            words += [b""] * len(totals)
+            numbers += totals.values()
+        # a stripe is spread over SLICES buckets by the next word
+        crc = zlib.crc32
+        bucket = np.fromiter(map(crc, prefixes), np.int64, len(prefixes)) * SLICES
+        bucket = (bucket + np.fromiter(map(crc, words), np.int64, len(words)) % SLICES) % buckets
+        order = np.argsort(bucket, kind="stable")
+        present, first = np.unique(bucket[order], return_index=True)
+        offsets, order = pa.array([*first.tolist(), len(order)], pa.int32()), pa.array(order)
+        columns = [pa.array(prefixes, pa.binary()).cast(pa.string()), pa.array(words, pa.binary()).cast(pa.string())]
+        lists = [pa.ListArray.from_arrays(offsets, c.take(order)) for c in (*columns, pa.array(numbers, pa.int64()))]
+        langs = pa.array([lang] * len(present), pa.string())
+        return pa.RecordBatch.from_arrays([langs, pa.array(present, pa.int32()), *lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes: dict[str, Counter] = {}
@@ -154,30 +154,24 @@ def _gather(size: int, bits, buckets: int, held: int) -> Callable:
 
 
 def _merged(docs: DataFrame, size: int, bits, min_count: int, held: int) -> DataFrame:
-    """Merged slices of the stripes: ``lang, prefix, total, extensions`` (those with ``min_count`` and more).
+    """Merged stripes as ``lang, prefix, next, count``: sums (where ``next`` is empty) and extensions of ``min_count`` and more.
 
-    All steps after the exchange by bucket run where the buckets are. A prefix has up to ``SLICES`` rows.
+    The elementwise merge runs where the buckets are.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1024, 8 * partitions)
     gathered = docs.mapInArrow(
-        _gather(size, bits, buckets, held),
+        _gather(size, bits, max(1024, 8 * partitions), held),
         "lang string, bucket int, prefix array<string>, next array<string>, count array<long>",
     )
     entries = gathered.repartition("lang", "bucket").select(
         "lang", "bucket", F.inline(F.arrays_zip("prefix", "next", "count"))
     )
-    summed = entries.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("count").alias("count"))
-    frequent = (F.col("count") >= min_count) & (F.col("next") != END.decode())
-    stripes = summed.groupBy("lang", "bucket", "prefix").agg(
-        F.sum("count").alias("total"), F.collect_list(F.when(frequent, F.struct("next", "count"))).alias("extensions")
-    )
-    return stripes.select("lang", "prefix", "total", "extensions")
+    merged = entries.groupBy("lang", "bucket", "prefix", "next").agg(F.sum("count").alias("count")).drop("bucket")
+    return merged.filter((F.col("next") == "") | ((F.col("count") >= min_count) & (F.col("next") != END.decode())))
 
 
 def _extensions(stripes: DataFrame) -> DataFrame:
-    rows = stripes.select("lang", "prefix", F.explode("extensions").alias("e"))
-    return rows.select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"), F.col("e.count").alias("a"))
+    return stripes.filter("next <> ''").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("count").alias("a"))
 
 
 def _bitmap(phrases: DataFrame, size: int, count: int) -> bytes:
@@ -187,11 +181,13 @@ def _bitmap(phrases: DataFrame, size: int, count: int) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lang, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
-                part = window_hashes(word_hashes(raw), size) ^ _language_seed(lang)
-                out.append(int(mix(part)[0] % np.uint64(bits)) + 1)  # Spark numbers the buckets of positive values from 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], schema=schema)
+            langs, phrases = batch.column(0).dictionary_encode(), list(raw_texts(batch.column(1)))
+            if phrases:
+                seeds = np.array([_language_seed(lang) for lang in langs.dictionary.to_pylist()])
+                part = window_hashes(word_hashes(b"\n".join(phrases)), size)[::size]  # each phrase has ``size`` words
+                slots = mix(part ^ seeds[langs.indices.to_numpy()]) % np.uint64(bits)
+                # Spark numbers the buckets of positive values from 1
+                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64) + 1)], schema=schema)
 
     parts = phrases.select("lang", "phrase").mapInArrow(run, "slot long").groupBy(
         F.bitmap_bucket_number("slot").alias("b")
@@ -203,7 +199,7 @@ def _bitmap(phrases: DataFrame, size: int, count: int) -> bytes:
 
 
 def frequencies(
-    docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text", lang_col: str = "lang", held: int = 300_000,
+    docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text", lang_col: str = "lang", held: int = 800_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, a`` of all words, and ``lang, phrase, a, m`` of the phrases of 2 to ``max_words`` words that occur
     ``min_count`` times and more."""
@@ -212,7 +208,7 @@ def frequencies(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")
     ).filter("text IS NOT NULL")
     stripes = stored(_merged(docs, 2, None, min_count, held), "stripes")
-    words = stored(stripes.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("a")), "words")
+    words = stripes.filter("next = ''").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("count").alias("a"))
     levels = [stored(_extensions(stripes), "phrases-2")]
     for size in range(3, max_words + 1):
         count = levels[-1].count()
@@ -236,7 +232,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def collocations(
     docs: DataFrame, max_words: int = 3, min_count: int = 10, subsumed_percent: int = 50, top: int = 2000,
-    text_col: str = "text", lang_col: str = "lang", held: int = 300_000,
+    text_col: str = "text", lang_col: str = "lang", held: int = 800_000,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases.
 
