@@ -185,3 +185,36 @@ def test_word_hashes_of_long_texts():
     assert len(hashes) == len(chosen)
     alone = {w: int(texts.word_hashes(w.encode())[0]) for w in set(chosen)}
     assert hashes.tolist() == [alone[w] for w in chosen] and len(set(alone.values())) == len(alone)
+
+
+# ---- rows that share an id, and clashing columns
+
+
+def test_an_id_with_several_texts(spark):
+    from mutascale.llm import substring_dedup
+
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    df = spark.createDataFrame([(1, a, "x"), (2, a, "y"), (2, b, "z")], "doc_id long, text string, carried string")
+    got = {(r.doc_id, r.carried.carried): r.n_removed for r in substring_dedup.dedup(df, carry=["carried"]).collect()}
+    assert got == {(1, "x"): 0, (2, "y"): 90, (2, "z"): 0}
+
+
+def test_an_id_with_many_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from mutascale.llm import ann
+
+    rows = [(0, [1.0 + i / 1000, 1.0]) for i in range(15)] + [(i, [1.0 + i, 1.0]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(1, 11))
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    from mutascale.llm import mixing
+
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 2}", 7, "b", "p", "r") for i in range(40)]
+    names = "doc_id long, text string, source string, count int, blocks string, passes string, rest string"
+    out = mixing.mix_sources(spark.createDataFrame(rows, names))
+    assert out.columns[:7] == ["doc_id", "text", "source", "count", "blocks", "passes", "rest"]
+    assert {tuple(r)[3:7] for r in out.collect()} == {(7, "b", "p", "r")}
