@@ -272,6 +272,16 @@ means AS (SELECT hot, avg(y) AS m FROM stepped WHERE NOT held_out AND NOT valida
 whole AS (SELECT avg(y) AS overall FROM stepped WHERE NOT held_out AND NOT validation)"""
 
 
+def digest(*columns: str) -> str:
+    """SQL twin of ``row_digest``."""
+    texts = [f"CAST({c} AS VARCHAR)" for c in columns]
+    return "md5(" + " || ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+ROW_DIGEST = digest("chr", "start", "l_returnflag", "l_linestatus", "sample")
+BARCODE = "printf('S-%010d-01A-11D', sample)"
+
+
 def oracle() -> dict[str, str]:
     """Query name -> SQL."""
     return {
@@ -516,6 +526,47 @@ def oracle() -> dict[str, str]:
             UNION ALL SELECT 'l_discount', round(bz, 4), round(sqrt(s2 * xx / det), 4) FROM s
             UNION ALL SELECT 'Intercept', round(my - bx * mx - bz * mz, 4),
               round(sqrt(s2 * (1 / n + (mx * mx * zz + mz * mz * xx - 2 * mx * mz * xz) / det)), 4) FROM s""",
+        "row_digests": with_(V) + f"SELECT {ID4}, {ROW_DIGEST} AS digest FROM v",
+        "verified_annotation": with_(V) + f"""
+            SELECT {ID4}, chr, start, l_returnflag, l_linestatus, sample, substr({ROW_DIGEST}, 1, 2) AS hash, "AF"
+            FROM v LEFT JOIN (
+              SELECT chr, start, l_returnflag, l_linestatus, sample, max(l_tax) AS "AF" FROM v WHERE l_discount > 0.05 GROUP BY ALL
+            ) USING (chr, start, l_returnflag, l_linestatus, sample)""",
+        "panel_files": with_(INTERVALS) + """
+            SELECT 'panel' || regexp_extract(panel, '([0-9]+)$', 1) AS panel, chr::VARCHAR AS chr, istart::INTEGER AS istart,
+              iend::INTEGER AS iend
+            FROM iv WHERE regexp_matches(panel, '[1-4][1-5]$')""",
+        "unique_panels": """
+            SELECT 'panel' || p_partkey AS panel, 'p' || p_partkey || substr('abcdef', (p_size % 6 + 1)::INTEGER, 1) AS "newID"
+            FROM part WHERE p_size % 6 IN (0, 5)""",
+        "sheet_folder": """
+            SELECT 'p' || p_partkey AS "panel ID", p_size / 50.0::DOUBLE AS recall, p_retailprice AS "precision" FROM part""",
+        "typed_scan": with_(V) + f"""
+            SELECT {BARCODE} AS sample, chr::VARCHAR AS panel_id, l_returnflag AS product,
+              CASE WHEN hot THEN 'other' END AS "group", round(vaf, 6) AS "wesTMB" FROM v""",
+        "overlap_policy": with_(V, INTERVALS) + """
+            SELECT 'near' AS side, panel, count(*) AS n_rows
+            FROM v JOIN iv ON v.chr = iv.chr AND v.start < iv.iend AND v."end" > iv.istart GROUP BY panel""",
+        "step_importance": STEP + """
+            SELECT 'hot' AS feature, round(avg(abs(m - overall)), 6) AS mean_abs_phi FROM held JOIN means USING (hot), whole""",
+        "step_dependence": STEP + """
+            SELECT hot::INTEGER::DOUBLE AS "value", round(m - overall, 6) AS phi, hot::INTEGER::DOUBLE AS colour, count(*) AS n
+            FROM held JOIN means USING (hot), whole GROUP BY ALL""",
+        "step_score": STEP + """
+            SELECT count(*) AS n_rows, round(sqrt(avg(pow(y - m, 2))), 6) AS rmse FROM held JOIN means USING (hot)""",
+        "publish_tables": with_(V, CLINICAL, STUDIED, PROFILE, CLEAN) + f""",
+            named AS (
+              SELECT chr::VARCHAR AS "Chromosome", start::INTEGER AS "Start_Position", "end"::INTEGER AS "End_Position",
+                CASE WHEN hot THEN 'synonymous_variant' ELSE 'missense_variant' END AS "Consequence",
+                CASE WHEN hot THEN 'Synonymous_Mutation' ELSE type END AS "Variant_Classification",
+                {BARCODE} AS "Tumor_Sample_Barcode", CAST(NULL AS VARCHAR) AS purity, round(vaf, 6) AS "VAF",
+                round(wesTMB, 6) AS "wesTMB", rate, {digest("chr", "start", "l_returnflag", "l_linestatus", BARCODE)} AS hash,
+                CASE WHEN start % 3 = 0 THEN round((start % 100) / 1000.0::DOUBLE, 6) END AS gnomad,
+                CAST(start % 7 AS VARCHAR) AS cosmic96_coding
+              FROM clean)
+            SELECT 'complete' AS table_name, 105 AS n_columns, * FROM named
+            UNION ALL SELECT 'concise', 76, * FROM named
+            UNION ALL SELECT 'minimal', 11, * REPLACE (NULL AS gnomad, NULL AS cosmic96_coding) FROM named""",
         "publish_minimal": with_(V, CLINICAL, STUDIED, PROFILE, CLEAN) + f"""
             SELECT type, sample, {ID4}, study, chr, start, round(wesTMB, 6) AS wesTMB FROM clean""",
         "results_by_panel": sweep_sql(

@@ -19,10 +19,10 @@ from mutascale.catalog.bindings import (
 from mutascale.functions import scalar
 from mutascale.operators import anova, attribution, collinearity, encode, lookups, metrics, qc, sampling, trees
 from mutascale.operators.burden import attach_burden, burden_flag, one_row_per_sample, rank_by_burden, sample_burden
-from mutascale.operators.intervals import overlap_join, panel_length, to_zero_based
+from mutascale.operators.intervals import overlap_join, overlap_or, panel_length, to_zero_based
 from mutascale.plans import cleanse, features, restrict, sweep
 from mutascale.session import scratch_path
-from mutascale.sources import readers, writers
+from mutascale.sources import readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,6 +219,22 @@ def row_key_collisions(spark, sf_dir):
     return collided.agg(F.count("*").alias("n_collisions"))
 
 
+@query
+def row_digests(spark, sf_dir):
+    """The 128-bit key of every row."""
+    rows = variants(spark, sf_dir, kind=False).select(*ROW_ID[:4], *KEY)
+    return rows.withColumn("digest", scalar.row_digest(KEY)).select(*ROW_ID[:4], "digest")
+
+
+@query
+def verified_annotation(spark, sf_dir):
+    """Annotations by a hash of only 256 values, so that all of them collide: the compared keys tell them apart."""
+    rows = variants(spark, sf_dir, kind=False).select(*ROW_ID[:4], *KEY, "l_discount", "l_tax")
+    hashed = rows.withColumn("hash", F.substring(scalar.row_digest(KEY), 1, 2))
+    annotation = hashed.where(F.col("l_discount") > 0.05).groupBy("hash", *KEY).agg(F.max("l_tax").alias("AF"))
+    return lookups.verified_lookup(hashed.drop("l_discount", "l_tax"), annotation, "hash", KEY, ["AF"])
+
+
 @query
 def one_to_one_join(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
@@ -343,6 +359,69 @@ def scenario_sweep_zip(spark, sf_dir):
     return rounded(_sweep(spark, sf_dir, grid), 4, "exonic_size", "coef", "intercept", "r2", "rmsle", "ccc", "acc")
 
 
+@query
+def panel_files(spark, sf_dir):
+    """Intervals written as one file per panel, found by file name and read back, with the panels chosen by their first letters."""
+    named = intervals(spark, sf_dir).withColumn("panel", F.concat(F.lit("panel"), F.regexp_extract("panel", r"(\d+)$", 1)))
+    folder = scratch_path(spark, "panels")
+    writers.write_panels(named, folder)
+    return readers.read_panels(spark, folder, [f"panel{i}{j}" for i in range(1, 5) for j in range(1, 6)])
+
+
+@query
+def unique_panels(spark, sf_dir):
+    """The panel id list, written and read as comma-separated text, without the repeats of a panel."""
+    number = F.col("p_partkey").cast("string")
+    letter = F.element_at(F.array(*map(F.lit, "abcdef")), (F.col("p_size") % 6 + 1).cast("int"))
+    ids = table(spark, sf_dir, "part").select(
+        "p_brand", F.concat(F.lit("panel"), number).alias("panel"), F.concat(F.lit("p"), number, letter).alias("newID")
+    )
+    path = scratch_path(spark, "ids")
+    writers.write_text_table(ids, path, separator=",")
+    return readers.read_unique_panels(spark, path)
+
+
+@query
+def sheet_folder(spark, sf_dir):
+    """Parts exported as sheets of two head lines each; the head lines of every file are skipped."""
+    cells = table(spark, sf_dir, "part").select(
+        "p_brand", F.col("p_partkey").alias("at"),
+        F.concat_ws(",", F.concat(F.lit("p"), "p_partkey"), F.col("p_size") / 50.0, F.lit("x"), F.col("p_retailprice")).alias("value"),
+    )
+    heads = cells.select("p_brand").distinct().select(
+        "p_brand", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("at"), F.concat(F.lit("head,of,"), "p_brand").alias("value")
+    )
+    lines = cells.withColumn("at", F.col("at").cast("long")).unionByName(heads)
+    path = scratch_path(spark, "sheets")
+    ordered = lines.repartition("p_brand").sortWithinPartitions("p_brand", "at")
+    ordered.select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    return readers.read_sheet(spark, path, schemas.T.StructType(schemas.ACCURACY_SHEET.fields[:3]), [0, 1, 3], skip_rows=2)
+
+
+@query
+def typed_scan(spark, sf_dir):
+    """Measured burdens written as text with a further column, read with their types."""
+    rows = variants(spark, sf_dir, kind=False).select(
+        _barcode(F.col("sample")).alias("sample"), F.col("chr").cast("string").alias("panel_id"), F.col("l_linestatus").alias("extra"),
+        F.col("l_returnflag").alias("product"), F.when(F.col("hot"), F.lit("other")).alias("group"), F.col("vaf").alias("wesTMB"),
+    )
+    path = scratch_path(spark, "typed")
+    writers.write_text_table(rows, path)
+    return rounded(readers.read_typed_table(spark, path, schemas.OBSERVATIONS), 6, "wesTMB")
+
+
+@query
+def overlap_policy(spark, sf_dir):
+    """Counts per panel of the join that fails when nothing overlaps, and of the silent one where nothing does."""
+    calls = variants(spark, sf_dir, sample=False, kind=False).select("chr", "start", "end")
+    away = calls.withColumns({c: F.col(c) - F.lit(1 << 40) for c in ("start", "end")})
+    sides = {"near": (calls, "error"), "away": (away, "silent")}
+    joined = [
+        overlap_or(df, intervals(spark, sf_dir), mode).select(F.lit(side).alias("side"), "panel") for side, (df, mode) in sides.items()
+    ]
+    return joined[0].unionByName(joined[1]).groupBy("side", "panel").agg(F.count("*").alias("n_rows"))
+
+
 @query
 def stored_scenarios(spark, sf_dir):
     """A stored list of unrelated scenarios, one for each nation."""
@@ -739,6 +818,35 @@ def step_attribution(spark, sf_dir):
     return rounded(shown, 6, "phi", "base")
 
 
+def _step_explained(spark, sf_dir) -> DataFrame:
+    rows, fitted = _step_model(spark, sf_dir, rounds=3, patience=2)
+    return attribution.attribute(fitted.model, rows.where("held"), ["hot"], "t_alt", ["l_orderkey"])
+
+
+@query
+def step_importance(spark, sf_dir):
+    """Mean absolute attribution of the same model."""
+    return rounded(attribution.mean_attribution(_step_explained(spark, sf_dir), ["hot"]), 6, "mean_abs_phi")
+
+
+@query
+def step_dependence(spark, sf_dir):
+    """Attribution against value, counted per point."""
+    points = rounded(attribution.dependence(_step_explained(spark, sf_dir), ["hot"], "hot", "hot"), 6, "phi")
+    return points.groupBy("value", "phi", "colour").agg(F.count("*").alias("n"))
+
+
+@query
+def step_score(spark, sf_dir):
+    """Refit with given parameters, and the error on the held-out rows: the spread within the two groups."""
+    rows = _step_rows(spark, sf_dir)
+    params = trees.TreeParams(eta=0.3, max_depth=1)
+    model = trees.fit_boosted(rows.where("NOT held"), ["hot"], "t_alt", params, rounds=2, validation="validation")
+    held = rows.where("held")
+    error = trees.held_out_rmse(model, held, ["hot"], "t_alt")
+    return held.agg(F.count("*").alias("n_rows"), F.round(F.lit(error), 6).alias("rmse"))
+
+
 @query
 def gaussian_model(spark, sf_dir):
     rows = variants(spark, sf_dir, sample=False, kind=False)
@@ -763,6 +871,52 @@ def publish_minimal(spark, sf_dir):
     return rounded(scalar.columns_first(stored.join(named, "sample"), ["type", "sample"]), 6, "wesTMB")
 
 
+def _published_rows(spark, sf_dir) -> DataFrame:
+    """Cleaned variants under the names of the published tables, before annotation."""
+    cleaned = qc.clean_variants(_studied(spark, sf_dir), RULES)
+    given = {
+        "Hugo_Symbol": F.col("label"), "Chromosome": F.col("chr").cast("string"), "Start_Position": F.col("start").cast("int"),
+        "End_Position": F.col("end").cast("int"), "Variant_Classification": F.col("type"), "Reference_Allele": F.col("l_returnflag"),
+        "Tumor_Seq_Allele2": F.col("l_linestatus"), "Tumor_Sample_Barcode": _barcode(F.col("sample")),
+        "Study_Abbreviation": F.col("study"), "t_depth": F.col("t_depth"), "t_alt_count": F.col("t_alt"), "VAF": F.col("vaf"),
+        "wesTMB": F.col("wesTMB"), "rate": burden_flag(F.col("wesTMB"), RULES),
+        "Consequence": F.when(F.col("hot"), F.lit("synonymous_variant")).otherwise(F.lit("missense_variant")),
+    }
+    annotated = {*schemas.ANNOTATION_FREQUENCIES, *schemas.ANNOTATION_RENAMES.values(), "cosmic96_coding"}
+    blank = [c for c in schemas.COMPLETE_COLUMNS if c not in annotated and c not in given and c != "hash"]
+    named = cleaned.select(*[v.alias(c) for c, v in given.items()], *[F.lit(None).cast("string").alias(c) for c in blank])
+    return named.withColumn("hash", scalar.row_digest(schemas.KEY_COLUMNS))
+
+
+@query
+def publish_tables(spark, sf_dir):
+    """Cleaned rows to the annotator's input, its output by verified keys, and the three tables as one published set.
+
+    The annotator is stood in for by a rule on the position; its output passes through text like the real one.
+    """
+    rows = _published_rows(spark, sf_dir)
+    writers.write_annotator_input(rows, given := scratch_path(spark, "annotator"))
+    keys = ["Chromosome", "Start_Position", "Reference_Allele", "Tumor_Seq_Allele2"]
+    start = F.col("Start_Position").cast("int")
+    known = F.when(start % 3 == 0, (start % 100 / 1000).cast("string")).otherwise(F.lit("."))
+    returned = readers.read_annotator_input(spark, given).select("hash", *keys).distinct().select(
+        "hash", *keys, *[(known if c == "AF" else F.lit(".")).alias(c) for c in schemas.ANNOTATION_FREQUENCIES],
+        (start % 7).cast("string").alias("cosmic96_coding"),
+    )
+    writers.write_text_table(returned, path := scratch_path(spark, "annotated"))
+    annotation = readers.read_annotation(spark, path, keys)
+    folder = scratch_path(spark, "published")
+    writers.publish_set(cleanse.published(cleanse.annotate(rows, annotation, keys)), folder)
+    shown = []
+    for name in ("complete", "concise", "minimal"):
+        stored = readers.read_publication(spark, folder, name)
+        extra = [F.col(c) if c in stored.columns else F.lit(None).cast(t).alias(c) for c, t in (("gnomad", "double"), ("cosmic96_coding", "string"))]
+        shown.append(stored.select(
+            F.lit(name).alias("table_name"), F.lit(len(stored.columns)).alias("n_columns"), *schemas.MINIMAL_COLUMNS, *extra
+        ))
+    return rounded(shown[0].unionByName(shown[1]).unionByName(shown[2]), 6, "VAF", "wesTMB", "gnomad")
+
+
 @query
 def results_by_panel(spark, sf_dir):
     """Sweep results written one folder per panel and read back with their report labels."""

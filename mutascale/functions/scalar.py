@@ -29,6 +29,14 @@ def row_key(columns: Iterable[str]) -> Column:
     return F.xxhash64(*parts)
 
 
+def row_digest(columns: Iterable[str]) -> Column:
+    """128-bit hash of several columns as hexadecimal text: the MD5 of the length and text of each value, with a mark for null."""
+    texts = [quoted(name).cast("string") for name in columns]
+    return F.md5(F.concat(*[
+        F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")) for text in texts
+    ]))
+
+
 def cast_columns(df: DataFrame, columns: Iterable[str], to: str = "int", on_error: str = "raise") -> DataFrame:
     """Cast several columns; ``on_error='null'`` turns unreadable text into null."""
     if on_error not in ("raise", "null"):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +54,16 @@ def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def left_lookup(rows: DataFrame, lookup: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Left equi-join with a lookup table; Spark broadcasts it only while it is below its own size threshold."""
     return rows.join(lookup.select(key, *columns), key, "left")
+
+
+def verified_lookup(rows: DataFrame, lookup: DataFrame, digest: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """Left lookup by a hash of the row that compares the keys as well: where different keys share a hash, each finds its own.
+
+    ``digest`` and ``keys`` are columns of both sides, the keys compared as text, null equal to null. All comparisons are
+    equalities of one join. ``lookup`` holds a key once.
+    """
+    own = {name: f"__lookup_{i}" for i, name in enumerate([digest, *keys])}
+    side = lookup.select(*[quoted(c).cast("string").alias(alias) for c, alias in own.items()], *[quoted(c) for c in columns])
+    same = [quoted(c).cast("string").eqNullSafe(F.col(alias)) for c, alias in own.items() if c != digest]
+    found = reduce(and_, same, quoted(digest).cast("string") == F.col(own[digest]))
+    return rows.join(side, found, "left").drop(*own.values())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -54,8 +55,37 @@ def hash_split(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: in
 
 
 def exact_split(df: DataFrame, keys: list[str], test_share: float = 0.2, seed: int = 41) -> DataFrame:
-    """Mark exactly ceil(share x rows) rows as test: those with the smallest hashes."""
-    drawn = df.withColumn("__draw", uniform_hash(F.lit(seed), *[F.col(k) for k in keys]))
-    placed = with_ordinal(drawn, ["__draw", *keys])
-    size = F.ceil(F.lit(test_share) * F.lit(float(placed.count())))
-    return placed.withColumn("is_test", F.col("ordinal") < size).drop("__draw", "ordinal")
+    """Mark exactly ceil(share x rows) rows as test: those with the smallest hashes, ties in the order of the keys.
+
+    The hash at the limit is selected by two counts, over its upper and lower 16 bits, so the table is neither sorted nor
+    written. Only the rows with this very hash are ranked. ``df`` is read several times and must give the same rows.
+    """
+    draw = uniform_hash(F.lit(seed), *[F.col(k) for k in keys])
+    upper = _histogram(df.select(F.shiftright(draw, 16).alias("bucket")))
+    total = sum(n for _, n in upper)
+    if not total:
+        return df.withColumn("is_test", F.lit(False))
+    high, left = _bucket_at(upper, min(math.ceil(test_share * total), total))
+    inside = df.select(draw.alias("draw")).where(F.shiftright("draw", 16) == high)
+    lower = _histogram(inside.select(F.col("draw").bitwiseAND(F.lit(0xFFFF)).alias("bucket")))
+    low, left = _bucket_at(lower, left)
+    limit = (high << 16) | low
+    if left in (0, dict(lower)[low]):  # the hash at the limit goes whole
+        return df.withColumn("is_test", draw < F.lit(limit + (left > 0)))
+    tied = with_ordinal(df.where(draw == limit), keys, "__place")
+    tied = tied.withColumn("is_test", F.col("__place") < left).drop("__place")
+    return df.where(draw != limit).withColumn("is_test", draw < limit).unionByName(tied)
+
+
+def _histogram(buckets: DataFrame) -> list[tuple[int, int]]:
+    """Rows per bucket in order; at most 65,536 rows by the width of the buckets."""
+    return sorted((r["bucket"], r["n"]) for r in buckets.groupBy("bucket").agg(F.count("*").alias("n")).collect())
+
+
+def _bucket_at(histogram: list[tuple[int, int]], size: int) -> tuple[int, int]:
+    """The bucket in which the first ``size`` rows end, and how many of its rows they take."""
+    for bucket, n in histogram:
+        if size <= n:
+            return bucket, size
+        size -= n
+    raise ValueError("more rows than there are")

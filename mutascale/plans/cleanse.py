@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import cast_columns, columns_first, quoted, row_key
 from mutascale.operators.burden import burden_flag, rank_by_burden
-from mutascale.operators.lookups import left_lookup
+from mutascale.operators.lookups import left_lookup, verified_lookup
 from mutascale.operators.qc import QcRules, clean_variants, drop_constant_columns, with_study, with_vaf
 from mutascale.session import materialize
 from mutascale.sources import schemas
@@ -53,12 +53,15 @@ def hash_collisions(df: DataFrame, keys: list[str]) -> DataFrame:
     return distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n_keys")).where(F.col("n_keys") > 1)
 
 
-def annotate(cleaned: DataFrame, annotation: DataFrame) -> DataFrame:
+def annotate(cleaned: DataFrame, annotation: DataFrame, verify: list[str] | None = None) -> DataFrame:
     """Join the annotator's output on the row hash and give its columns their published names.
 
-    A synonymous consequence overrides the variant class.
+    A synonymous consequence overrides the variant class. ``verify`` names key columns that the annotator returned
+    (``read_annotation`` with ``keys``); they are compared too, so rows that share a hash keep their own annotation.
     """
-    joined = cleaned.withColumn("hash", F.col("hash").cast("string")).join(annotation, "hash", "left")
+    verify = verify or []
+    added = [c for c in annotation.columns if c not in ("hash", *verify)]
+    joined = verified_lookup(cleaned.withColumn("hash", F.col("hash").cast("string")), annotation, "hash", verify, added)
     renamed = joined.withColumnsRenamed(schemas.ANNOTATION_RENAMES)
     synonymous = F.col("Consequence") == "synonymous_variant"
     return renamed.withColumn(

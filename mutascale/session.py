@@ -60,8 +60,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch table; only paths that ``scratch_path`` gave out are touched."""
     if path in _SCRATCH:
         _SCRATCH.discard(path)
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = file_system(spark, path)
+        fs.delete(target, True)
 
 
 def release_scratch(spark: SparkSession) -> None:
@@ -70,6 +70,18 @@ def release_scratch(spark: SparkSession) -> None:
         remove_path(spark, path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern, sorted."""
+    fs, target = file_system(spark, pattern)
+    return sorted(status.getPath().toString() for status in fs.globStatus(target) or [])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
     scratch_root(df.sparkSession)

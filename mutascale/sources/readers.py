@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mutascale.functions.scalar import decode_number, quoted
+from mutascale.session import files
 from mutascale.sources import schemas
+from mutascale.sources.writers import COMMITTED
 
 
 def read_text_table(
@@ -26,21 +28,30 @@ def read_typed_table(spark: SparkSession, path: str, schema: T.StructType, separ
 
 
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType, columns: list[int], skip_rows: int) -> DataFrame:
-    """Headerless comma-separated export of one sheet: pick columns by position, name them, skip leading lines.
+    """Headerless comma-separated exports of sheets: pick columns by position, name them, skip the leading lines of each file.
 
-    A sheet is a single small file. ``multiLine`` keeps it unsplit, so the row id is the line number.
+    A sheet is a small file; ``multiLine`` keeps it unsplit, so the ids of its rows are consecutive and a row's place is its
+    id less the smallest one of the file. The path may be a folder of such files.
     """
     layout = ", ".join(f"_c{i} string" for i in range(max(columns) + 1))
     raw = _existing(path, lambda: spark.read.schema(layout).option("multiLine", True).csv(path))
-    kept = raw.withColumn("__line", F.monotonically_increasing_id()).where(F.col("__line") >= skip_rows)
+    placed = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    line = F.col("__at") - F.min("__at").over(Window.partitionBy("__file"))
+    kept = placed.withColumn("__line", line).where(F.col("__line") >= skip_rows)
     return kept.select(*[
         quoted(f"_c{place}").cast(f.dataType).alias(f.name) for place, f in zip(columns, schema.fields, strict=True)
     ])
 
 
-def read_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """The annotator's output: row hash as text, frequencies as numbers (``.`` is missing)."""
-    text = read_text_table(spark, path, ["hash", *schemas.ANNOTATION_FREQUENCIES, "cosmic96_coding"])
+def read_annotator_input(spark: SparkSession, path: str) -> DataFrame:
+    """The headerless table that ``write_annotator_input`` wrote, every column as text."""
+    layout = ", ".join(f"`{c}` string" for c in schemas.ANNOTATOR_INPUT)
+    return _existing(path, lambda: spark.read.schema(layout).option("sep", "\t").csv(path))
+
+
+def read_annotation(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """The annotator's output: row hash and ``keys`` as text, frequencies as numbers (``.`` is missing)."""
+    text = read_text_table(spark, path, ["hash", *(keys or []), *schemas.ANNOTATION_FREQUENCIES, "cosmic96_coding"])
     return text.withColumns({c: decode_number(quoted(c)) for c in schemas.ANNOTATION_FREQUENCIES})
 
 
@@ -67,6 +78,14 @@ def read_panels(spark: SparkSession, folder: str, panels: list[str] | None = Non
     return named.drop("__file")
 
 
+def read_publication(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One table of the newest committed version of a published set."""
+    versions = files(spark, f"{folder.rstrip('/')}/set-*/{COMMITTED}")
+    if not versions:
+        raise FileNotFoundError(f"no published set in {folder}")
+    return read_parquet(spark, f"{versions[-1].rsplit('/', 1)[0]}/{table}")
+
+
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """Sweep results of all panels, as written by ``write_by_panel``."""
     return read_parquet(spark, folder)

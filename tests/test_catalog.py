@@ -1,12 +1,14 @@
-"""Every registered query against its SQL twin at the smallest scale."""
+"""Every query of the catalog against its SQL twin at the smallest scale."""
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from mutascale.catalog.oracle import oracle
+from mutascale.catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = oracle()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +17,8 @@ def duck():
 
 
 def test_names_agree():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

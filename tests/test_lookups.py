@@ -88,3 +88,16 @@ def test_small_scalars(spark):
     assert [tuple(r) for r in out] == [(12, "p12", None, 0.0, 0.0, False, 1), (3, "p3", 0.5, 0.5, None, True, 0)]
     signed = df.select(scalar.error_balance(F.lit(1.0), F.lit(0.5))).first()[0]
     assert signed == -1.0
+
+
+def test_verified_lookup_tells_colliding_keys_apart(spark):
+    rows = spark.createDataFrame([(1, "h", "a", None), (2, "h", "a", 1), (3, "h", "b", 1), (4, "g", "a", 1)], "id int, d string, x string, y int")
+    known = spark.createDataFrame([("h", "a", None, 10), ("h", "a", 1, 20), ("h", "c", 1, 30)], "d string, x string, y int, v int")
+    found = lookups.verified_lookup(rows, known, "d", ["x", "y"], ["v"])
+    assert found.columns == ["id", "d", "x", "y", "v"]
+    assert {r.id: r.v for r in found.collect()} == {1: 10, 2: 20, 3: None, 4: None}
+
+
+def test_row_digest_tells_null_empty_and_borders_apart(spark):
+    df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, ""), ("", None), (None, None), ("1:", "-"), ("-", "1:")], "x string, y string")
+    assert df.select(scalar.row_digest(["x", "y"]).alias("d")).distinct().count() == 7

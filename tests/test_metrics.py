@@ -107,3 +107,33 @@ def test_weighted_line_equals_repeated_rows(spark):
     lines = {r.g: (r.coef, r.intercept, r.weight) for r in metrics.weighted_line(df, "g", "y", "x", "n").collect()}
     assert lines["a"] == (pytest.approx(3.0), pytest.approx(1 - 3.0e6), 11)
     assert lines["b"] == (0.0, pytest.approx(6.0), 6)
+
+
+def test_correlations_of_many_features(spark):
+    rng = np.random.default_rng(2)
+    x = 1e6 + rng.normal(0, 1, (300, 40)) @ rng.normal(0, 1, (40, 40))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"f.{i}" for i in range(40)]
+    rows = [[None if np.isnan(v) else float(v) for v in row] for row in x]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    got = {(r.f1, r.f2): r.r for r in collinearity.correlation_matrix(df, names).collect()}
+    assert len(got) == 780
+    for i in range(40):
+        for j in range(i):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+
+
+def test_correlation_of_constants_and_no_rows(spark):
+    df = spark.createDataFrame([(0.1, 1.0), (0.1, 2.0), (0.1, 5.0), (0.1, None)], "a double, b double")
+    assert [tuple(r) for r in collinearity.correlation_matrix(df, ["a", "b"]).collect()] == [("b", "a", None)]
+    assert [tuple(r) for r in collinearity.correlation_matrix(df.limit(0), ["a", "b"]).collect()] in ([], [("b", "a", None)])
+
+
+def test_vif_drops_incomplete_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(3, 1, (80, 2))
+    whole = spark.createDataFrame(x.tolist(), "a double, b double")
+    gaps = whole.unionByName(spark.createDataFrame([(99.0, None), (None, -50.0)], "a double, b double"))
+    left, right = ({r.feature: r.vif for r in collinearity.variance_inflation(df, ["a", "b"]).collect()} for df in (whole, gaps))
+    assert left == pytest.approx(right)

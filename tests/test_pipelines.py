@@ -192,3 +192,41 @@ def test_scan_is_pruned(spark, plan):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(l_quantity,25.0)" in text and "l_extendedprice" not in text
+
+
+def test_published_set_is_seen_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    with pytest.raises(FileNotFoundError):
+        readers.read_publication(spark, folder, "minimal")
+
+    def rows(n):
+        return spark.range(n).select(*[F.col("id").cast("string").alias(c) for c in schemas.COMPLETE_COLUMNS])
+
+    writers.publish_set(rows(3), folder)
+    later = writers.publish_set(rows(5), folder)
+    for name, width in (("complete", 105), ("concise", 76), ("minimal", 11)):
+        stored = readers.read_publication(spark, folder, name)
+        assert stored.count() == 5 and len(stored.columns) == width
+    broken = tmp_path / "set" / "set-99999999999999999999-x"  # tables without the marker: a run that failed
+    writers.write_publications(rows(7), str(broken))
+    assert readers.read_publication(spark, folder, "complete").count() == 5
+    assert (tmp_path / "set" / later.rsplit("/", 1)[1] / writers.COMMITTED).exists()
+
+
+def test_panel_files_round_trip(spark, tmp_path):
+    panels = spark.range(300).select(
+        F.concat(F.lit("panel"), F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 9)).alias("panel"),
+        F.concat(F.lit("chr"), F.col("id") % 5).alias("chr"), F.col("id").cast("int").alias("istart"), (F.col("id") + 9).cast("int").alias("iend"),
+    )
+    writers.write_panels(panels, str(tmp_path / "beds"))
+    back = readers.read_panels(spark, str(tmp_path / "beds"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, panels.collect()))
+    assert not [p.name for p in (tmp_path / "beds").iterdir() if p.name.startswith("_")]
+
+
+def test_sheets_skip_the_head_of_every_file(spark, tmp_path):
+    for i in range(4):
+        write(tmp_path / "sheets" / f"s{i}.csv", "title\n\"head\ner\",x\n" + "".join(f"p{i}{k},0.9,x,0.8\n" for k in range(3)))
+    columns = T.StructType(schemas.ACCURACY_SHEET.fields[:3])
+    rows = readers.read_sheet(spark, str(tmp_path / "sheets"), columns, [0, 1, 3], skip_rows=2).collect()
+    assert sorted(r[0] for r in rows) == [f"p{i}{k}" for i in range(4) for k in range(3)]

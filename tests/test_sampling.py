@@ -42,3 +42,17 @@ def test_exact_split(spark):
     df = spark.range(0, 501)
     chosen = [r.id for r in sampling.exact_split(df, ["id"]).where("is_test").collect()]
     assert sorted(chosen) == sorted(sorted(range(501), key=lambda i: (draw(41, i), i))[:101])
+
+
+def test_exact_split_cuts_a_tie(spark, plan):
+    df = spark.range(0, 900, 1, 8).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"))
+    total = {7: 600, **{i: 1 for i in range(0, 900, 3)}}
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        marked = sampling.exact_split(df, ["k"], share)
+        rows = marked.collect()
+        chosen = [r.k for r in rows if r.is_test]
+        assert len(rows) == 900 and len(chosen) == math.ceil(share * 900)
+        order = sorted((k for k, n in total.items() for _ in range(n)), key=lambda k: (draw(41, k), k))
+        assert sorted(chosen) == sorted(order[: len(chosen)])
+    assert sampling.exact_split(df.limit(0), ["k"]).count() == 0
+    assert "Exchange" not in plan(sampling.exact_split(spark.range(501), ["id"]))
