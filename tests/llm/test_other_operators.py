@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -40,6 +41,31 @@ def test_url_rules(spark):
     assert both.match("x.a.b", "/") == ("block", "a.b/")
 
 
+def test_url_rules_by_join(spark):
+    rng = random.Random(4)
+    hosts = ["a.b", "b", "x.a.b", "c.b", "B", "", "q"]
+    paths = ["", "/", "/p", "/p/", "/pq/r", "/p/q", "/é/p"]
+    rules = sorted({(rng.choice(["allow", "block"]), rng.choice(hosts) + rng.choice(paths)) for _ in range(40)})
+    urls = [f"{rng.choice(['http', ''])}://{rng.choice(['y.', '', 'A.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'z', '?a/', '#'])}" for _ in range(400)]
+    urls += [None, "", "none", "x\n://a.b/p\nq"]
+    df = spark.createDataFrame([(i // 2, u, "x") for i, u in enumerate(urls)], "page_id long, url string, row string").repartition(5)
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    left, right = url_filter.judge_urls(df, rules), url_filter.judge_by_join(df, table)
+    key = lambda r: tuple(map(str, r))
+    assert left.columns == right.columns and sorted(left.collect(), key=key) == sorted(right.collect(), key=key)
+    assert url_filter.judge_by_join(df.limit(0), table).count() == 0
+    assert {r.verdict for r in url_filter.judge_by_join(df, table.limit(0), default="block").collect()} == {"block"}
+    with pytest.raises(ValueError, match="verdict"):
+        url_filter.judge_by_join(df, spark.createDataFrame([(None, "a/")], "verdict string, rule string"))
+
+
+def test_url_rules_of_one_host():
+    rules = url_filter.Rules([("block", f"a.b/{i:06d}") for i in range(200_000)])
+    start = time.perf_counter()
+    assert all(rules.match("x.a.b", f"/{i:06d}z") == ("block", f"a.b/{i:06d}") for i in range(0, 200_000, 100))
+    assert time.perf_counter() - start < 1  # 2,000 urls; one by one the rules took seconds
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 24)) + rng.normal(size=(12, 24))[rng.integers(0, 12, 3000)] * 2
