@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mutascale.llm.texts import stored
+from mutascale.llm.texts import splittable, stored
 
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 #: tool -> argument -> (type, required)
@@ -119,7 +119,7 @@ def link_calls(
     answers = results.filter(named).withColumn("place", F.row_number().over(first)).filter("place = 1").select("conv", "call", "content")
     counts = results.filter(named).groupBy("conv", "call").agg(F.count(F.lit(1)).alias("n_results"))
     answers = answers.join(counts, ["conv", "call"])
-    linked = holders.join(answers.hint("shuffle_hash"), ["conv", "call"], "left")
+    linked = holders.join(splittable(answers), ["conv", "call"], "left")
     linked = linked.join(depths(holders.select("conv", "call", "parent")), ["conv", "call"], "left").withColumn(
         "status", F.when(F.col("depth").isNull(), "circular").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     )
