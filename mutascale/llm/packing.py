@@ -56,7 +56,9 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
 
     def forget(self) -> None:
+        """Give back what an idle worker need not hold: the words, and the free blocks of Arrow's pool."""
         self.young, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
 
     def word(self, raw: bytes) -> bytes:
         ids = self.young.get(raw)
