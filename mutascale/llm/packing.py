@@ -44,8 +44,8 @@ class WordIds:
 
     The words of a batch are told apart by a 64-bit hash, and each distinct one is looked up once. A word of plain letters
     with common punctuation after it goes by its lower-case letters, which are far fewer; any other word, as one with a mark
-    that composes with a letter, is looked up whole. The last ``limit`` to ``2 * limit`` of these are kept
-    until the task ends.
+    that composes with a letter, is looked up whole. The last ``limit`` to ``2 * limit`` of these are kept,
+    and at most one and a half times ``limit`` from task to task.
     """
 
     def __init__(self, path: str, limit: int = 200_000):
@@ -55,9 +55,10 @@ class WordIds:
         self.young: dict[bytes, bytes] = {}  # ids as unsigned 32-bit integers: far smaller than a tuple of numbers
         self.old: dict[bytes, bytes] = {}
 
-    def forget(self) -> None:
-        """Give back what an idle worker need not hold: the words, and the free blocks of Arrow's pool."""
-        self.young, self.old = {}, {}
+    def rest(self) -> None:
+        """Between tasks: keep about one generation of words, and give back the free blocks of Arrow's pool."""
+        if 2 * len(self.young) >= self.limit:
+            self.old = {}
         pa.default_memory_pool().release_unused()
 
     def word(self, raw: bytes) -> bytes:
@@ -206,7 +207,7 @@ def _pack_task(path: str, window: int, open_windows: int, min_cut: int, end_id:
             done += 1
         if out:
             yield batch(out)
-        words.forget()  # the worker may idle for long
+        words.rest()
 
     return run
 
