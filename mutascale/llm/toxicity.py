@@ -36,6 +36,8 @@ CHUNK = re.compile(r"[^\W\d_]+(?:(?:[^\w\s]|[\d_]){1,2}[^\W\d_]+)*")
 QUOTES = "\"'“”„«»‹›‘’`"
 SPAN = 4
 FEATURES = 6
+#: Letters that a beginning may have.
+BEGINS = range(4, 10)
 
 
 class Matcher:
@@ -274,34 +276,42 @@ def _parts(text: str) -> set[str]:
     for word in set(TOKEN.findall(text.lower())):
         if 3 <= len(word) <= 40:
             out.add(word)
-            out.update(f"{word[:n]}*" for n in range(4, min(len(word), 10)))
+            out.update(f"{word[:n]}*" for n in BEGINS if n < len(word))
     return out
 
 
-def choose_terms(counts: list[tuple[str, int, int]], bad: int, good: int, precision: float, most: int) -> list[str]:
-    """Terms whose documents are toxic beyond chance: precise whole words, and the shortest precise beginnings."""
+def choose_terms(counts: list[tuple[str, int, int]], bad: int, good: int, precision: float) -> list[str]:
+    """All terms whose documents are toxic beyond chance: precise whole words, and the shortest precise beginnings."""
     rate = bad / (bad + good)
     strong = {}
     for item, b, g in counts:
         n = b + g
         z = (b - n * rate) / sqrt(n * rate * (1 - rate))
         if (b + 0.5) / (n + 1) >= precision and z >= 6:
-            strong[item] = (b, z)
-    begins: list[str] = []
+            strong[item] = b
+    words = [w for w in strong if not w.endswith("*")]
+    whole: Counter = Counter()  # per beginning, the documents of its most frequent word
+    for word in words:
+        for n in BEGINS:
+            whole[word[:n]] = max(whole[word[:n]], strong[word])
+    begins: set[str] = set()
+
+    def covered(word: str) -> bool:
+        return any(word[:n] in begins for n in BEGINS)
+
     for item in sorted((i for i in strong if i.endswith("*")), key=lambda i: (len(i), i)):
-        if any(item.startswith(b[:-1]) for b in begins):
-            continue
-        whole = max((strong[w][0] for w in strong if not w.endswith("*") and w.startswith(item[:-1])), default=0)
-        if strong[item][0] >= 1.3 * whole:  # else it is only the start of one word
-            begins.append(item)
-    words = [w for w in strong if not w.endswith("*") and not any(w.startswith(b[:-1]) for b in begins)]
-    return sorted(sorted(begins + words, key=lambda i: (-strong[i][1], i))[:most])
-
-
-def learn(
-    train: DataFrame, max_rows: int, precision: float = 0.8, max_terms: int = 2000, max_context: int = 2000
-) -> Model:
-    """Fit on ``text, label, doc_id`` rows; a hash sample of about ``max_rows`` of them is used, and it is the only data that is bounded."""
+        # a beginning that one word accounts for is only the start of that word
+        if not covered(item[:-1]) and strong[item] >= 1.3 * whole[item[:-1]]:
+            begins.add(item[:-1])
+    return sorted([f"{b}*" for b in begins] + [w for w in words if not covered(w)])
+
+
+def learn(train: DataFrame, max_rows: int, precision: float = 0.8) -> Model:
+    """Fit on ``text, label, doc_id`` rows; a hash sample of about ``max_rows`` of them is used, and it is all that is bounded.
+
+    Every item that passes its test enters the lexicon, and every word that stands near matches five times has a weight, so
+    both grow with the sample alone and not with the documents that are scored.
+    """
     seen = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     total = sum(seen.values())
     share = int(min(1.0, max_rows / total) * (1 << 30)) if total else 0
@@ -315,18 +325,18 @@ def learn(
     schema = "item string, bad long, good long"
     sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
     counts = sample.mapInArrow(_counted(_parts), schema).groupBy("item").agg(*sums)
-    # only items that can pass the test leave the executors, the strongest first
+    # only items that pass the test leave the executors
     n, rate = F.col("bad") + F.col("good"), bad / (bad + good)
     z = (F.col("bad") - n * rate) / F.sqrt(n * rate * (1 - rate))
-    counts = counts.filter((F.col("bad") + 0.5 >= precision * (n + 1)) & (z >= 6)).orderBy(z.desc(), "item").limit(20 * max_terms)
-    terms = choose_terms([tuple(r) for r in counts.collect()], bad, good, precision, max_terms)
+    counts = counts.filter((F.col("bad") + 0.5 >= precision * (n + 1)) & (z >= 6))
+    terms = choose_terms([tuple(r) for r in counts.collect()], bad, good, precision)
 
     def around(text: str) -> Iterator[str]:
         for _, _, _, near in matches(text, held(terms)):
             yield from near
 
     context = sample.mapInArrow(_counted(around), schema).groupBy("item").agg(*sums)
-    rows = context.filter("bad + good >= 5").orderBy(F.desc(F.col("bad") + F.col("good")), "item").limit(max_context).collect()
+    rows = context.filter("bad + good >= 5").collect()
     near_bad, near_good = sum(r["bad"] for r in rows) + 1, sum(r["good"] for r in rows) + 1
     base = np.log(near_bad / near_good)
     scores = {r["item"]: float(np.log((r["bad"] + 1) / (r["good"] + 1)) - base) for r in rows} if near_good > 20 else {}

@@ -241,6 +241,37 @@ def test_matcher_within_edits():
     assert found["moron"][0] == 0 and found["maron"][0] == 1 and found["disgstin"][0] == 2 and found["loweisch"][0] == 0
 
 
+def chosen_one_by_one(counts, bad, good, precision):
+    """The lexicon by comparing every item with every other."""
+    rate, strong = bad / (bad + good), {}
+    for item, b, g in counts:
+        n = b + g
+        if (b + 0.5) / (n + 1) >= precision and (b - n * rate) / (n * rate * (1 - rate)) ** 0.5 >= 6:
+            strong[item] = b
+    begins = []
+    for item in sorted((i for i in strong if i.endswith("*")), key=lambda i: (len(i), i)):
+        longest = max((b for w, b in strong.items() if not w.endswith("*") and w.startswith(item[:-1])), default=0)
+        if strong[item] >= 1.3 * longest and not any(item.startswith(b[:-1]) for b in begins):
+            begins.append(item)
+    return sorted(begins + [w for w in strong if not w.endswith("*") and not any(w.startswith(b[:-1]) for b in begins)])
+
+
+def test_lexicon_against_pairs_and_without_a_limit():
+    rng = random.Random(4)
+    for _ in range(20):
+        counts = {}
+        for _ in range(150):
+            word = "".join(rng.choice("ab") for _ in range(rng.randint(3, 11)))
+            b, g = rng.randint(1, 60), rng.choice([0, 0, 1, 30])
+            for item in {word, *(f"{word[:n]}*" for n in range(4, min(len(word), 10)))}:
+                old = counts.get(item, (0, 0))
+                counts[item] = (old[0] + b, old[1] + g)
+        rows = [(item, b, g) for item, (b, g) in counts.items()]
+        assert toxicity.choose_terms(rows, 900, 9000, 0.8) == chosen_one_by_one(rows, 900, 9000, 0.8)
+    many = [(f"w{i}", 40, 0) for i in range(6000)]
+    assert len(toxicity.choose_terms(many, 900, 9000, 0.8)) == 6000
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
