@@ -309,8 +309,8 @@ def choose_terms(counts: list[tuple[str, int, int]], bad: int, good: int, precis
 def learn(train: DataFrame, max_rows: int, precision: float = 0.8) -> Model:
     """Fit on ``text, label, doc_id`` rows; a hash sample of about ``max_rows`` of them is used, and it is all that is bounded.
 
-    Every item that passes its test enters the lexicon, and every word that stands near matches five times has a weight, so
-    both grow with the sample alone and not with the documents that are scored.
+    Every item that passes its test enters the lexicon, and every word that stands near matches five times, by three standard
+    deviations more or less near toxic ones, has a weight. Both grow with the sample alone, not with the documents scored.
     """
     seen = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     total = sum(seen.values())
@@ -336,9 +336,13 @@ def learn(train: DataFrame, max_rows: int, precision: float = 0.8) -> Model:
             yield from near
 
     context = sample.mapInArrow(_counted(around), schema).groupBy("item").agg(*sums)
-    rows = context.filter("bad + good >= 5").collect()
-    near_bad, near_good = sum(r["bad"] for r in rows) + 1, sum(r["good"] for r in rows) + 1
+    context = stored(context, "toxic-context")
+    near_bad, near_good = (1 + (x or 0) for x in context.agg(F.sum("bad"), F.sum("good")).first())
     base = np.log(near_bad / near_good)
+    # words that stand near toxic and other matches alike would only add noise
+    share = near_bad / (near_bad + near_good)
+    apart = F.abs(F.col("bad") - n * share) >= 3 * F.sqrt(n * share * (1 - share))
+    rows = context.filter((n >= 5) & apart).collect()
     scores = {r["item"]: float(np.log((r["bad"] + 1) / (r["good"] + 1)) - base) for r in rows} if near_good > 20 else {}
     model = Model(terms, scores, np.zeros(FEATURES))
 
