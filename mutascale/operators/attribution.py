@@ -113,6 +113,14 @@ def leaf_pair_table(leaf: Leaf) -> np.ndarray:
     return out
 
 
+def merged(leaves: list[Leaf]) -> list[list[Leaf]]:
+    """Leaves by the conditions on their paths: those of one group read the same patterns and share one table."""
+    groups: dict[tuple, list[Leaf]] = {}
+    for leaf in leaves:
+        groups.setdefault((*leaf.features, *leaf.low, *leaf.high), []).append(leaf)
+    return list(groups.values())
+
+
 def _pattern(leaf: Leaf, x: np.ndarray) -> np.ndarray:
     pattern = np.zeros(len(x), dtype=np.int64)
     for bit, (feature, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
@@ -135,11 +143,14 @@ def attribute(
     """
     leaves = read_leaves(model, df)
     base = sum(leaf.value * math.prod(leaf.share) for leaf in leaves)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(merged(leaves))
     width = len(features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [(leaf, leaf_table(leaf), leaf_pair_table(leaf) if interactions else None) for leaf in shared.value]
+        tables = [
+            (group[0], sum(map(leaf_table, group)), sum(map(leaf_pair_table, group)) if interactions else None)
+            for group in shared.value
+        ]
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
             phi = np.zeros((len(x), width))

@@ -91,6 +91,13 @@ def test_attributions_cover_every_row_and_add_up(rows, model):
     assert shown.columns == ["value", "phi", "colour"]
 
 
+def test_leaves_of_equal_conditions_share_a_table():
+    make = lambda value, high, share: attribution.Leaf(value, [0, 2], [-np.inf, 0.5], [high, np.inf], share)
+    leaves = [make(1.0, 0.3, [0.2, 0.6]), make(2.0, 0.4, [0.3, 0.6]), make(-4.0, 0.3, [0.25, 0.5])]
+    groups = attribution.merged(leaves)
+    assert [[leaf.value for leaf in group] for group in groups] == [[1.0, -4.0], [2.0]]
+
+
 def test_search_draws_and_ranks(rows):
     draws = trees.draw_params(50, 3)
     assert draws == trees.draw_params(50, 3) and draws != trees.draw_params(50, 4)
