@@ -6,10 +6,11 @@ panel are filtered and counted per sample, a line from panel burden to exome bur
 
 Nothing here runs once per scenario:
 
-1. ``sample_counts`` reduces the overlapped variants to cells and these to one counter per class group for each panel,
-   sample, cut-off and hotspot flag. The count under any class list is a sum of a few of these counters.
-2. ``vector_table`` merges samples with equal counters, ``count_table`` expands the rest to the class lists by
-   projection and aggregates at once per (panel, filter, count); only test samples are told apart by their burden.
+1. ``sample_cells`` reduces the overlapped variants of a panel and sample to a short list of cells and merges samples with
+   equal lists; only test samples are told apart by their burden.
+2. ``vector_table`` expands the lists to one counter per class group for each cut-off and hotspot flag, of which the count
+   under any class list is a sum, and merges equal ones. ``count_table`` expands these to the class lists by projection and
+   aggregates at once per (panel, filter, count).
 3. From there all fits and scores depend only on how many samples share a count, so the recall/precision pairs are
    expanded on a table that holds one row per (panel, filter, count) and no longer grows with the samples.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import strip_panel_suffix
+from mutascale.session import shuffle_width
 
 # The variant classes always counted and the optional ones, the accuracy scale, the VAF cut-offs.
 BASE_CLASSES = ["Frame_Shift_Del", "Frame_Shift_Ins", "In_Frame_Del", "In_Frame_Ins", "Missense_Mutation"]
@@ -144,66 +146,90 @@ def is_hot() -> Column:
     return ~F.coalesce(plain, F.lit(False))
 
 
-def sample_counts(overlaps: DataFrame, grid: Grid) -> DataFrame:
-    """Counters g0 (base classes), g1, ... (optional classes) per panel, sample and place in the grid's filters.
+def sample_cells(overlaps: DataFrame, grid: Grid, width: int) -> DataFrame:
+    """Samples of a panel with equal ``cells``, and for test samples the same burden y, become one row.
 
-    ``overlaps`` has panel, sample, is_test, type, vaf, hot, wesTMB, rate; the last two of a sample are constant. The
-    rows are first reduced to cells by class group, number of cut-offs reached and hotspot flag, of which a sample has
-    a few dozen at most; only the cells are expanded to the filters they pass.
+    ``overlaps`` has panel, sample, is_test, type, vaf, hot, wesTMB, rate; the last two of a sample are constant. A cell
+    counts the rows of one class group, number of cut-offs reached and hotspot flag; a sample has a few dozen at most.
+    Training samples are only ever summed, so they share y = null. The rows are dealt to ``width`` tasks once, by panel and
+    sample: the cells and the lists are made where they lie.
     """
     groups = [F.col("type").isin(BASE_CLASSES)]
     if grid.gene_content:
         groups += [F.col("type") == name for name in OPTIONAL_CLASSES.values()]
     group = F.coalesce(*[F.when(member, F.lit(i)) for i, member in enumerate(groups)])
-    cutoffs = sorted(grid.cutoff_values())
-    level = sum((F.when(F.col("vaf") >= c, F.lit(1)).otherwise(F.lit(0)) for c in cutoffs), F.lit(0))
+    level = sum((F.when(F.col("vaf") >= c, F.lit(1)).otherwise(F.lit(0)) for c in grid.cutoff_values()), F.lit(0))
     constants = [F.max("y").alias("y"), F.bool_or("rate").alias("rate")]
     cells = (
         overlaps.select(
             "panel", "sample", "is_test", F.col("wesTMB").alias("y"), "rate", "hot",
             group.alias("group"), level.alias("level"),
         )
-        .where(F.col("group").isNotNull() & (F.col("level") > 0))
+        .where(F.col("group").isNotNull() & (F.col("level") > 0) & F.col("hot").isNotNull())
+        .repartition(width, "panel", "sample")
         .groupBy("panel", "sample", "is_test", "group", "level", "hot")
         .agg(F.count(F.lit(1)).alias("m"), *constants)
     )
+    listed = F.array_sort(F.collect_list(F.struct("group", "level", "hot", "m")))
+    samples = cells.groupBy("panel", "sample", "is_test").agg(*constants, listed.alias("cells"))
+    test, train = F.col("is_test"), ~F.col("is_test")
+    train_y = F.when(train, F.col("y"))
+    return (
+        samples.select("panel", "cells", F.when(test, F.col("y")).alias("test_y"), "is_test", "y", "rate")
+        .repartition(width, "panel", "cells", "test_y")
+        .groupBy("panel", "cells", "test_y")
+        .agg(
+            F.count_if(train).alias("train"),
+            F.coalesce(F.sum(train_y), F.lit(0.0)).alias("train_y"),
+            F.min(train_y).alias("train_min"),
+            F.max(train_y).alias("train_max"),
+            F.count_if(test & F.col("rate")).alias("high"),
+            F.count_if(test & ~F.col("rate")).alias("low"),
+        )
+    )
+
+
+def _summed() -> list[Column]:
+    """What merged rows of samples add up to."""
+    return [
+        F.sum("train").alias("train"),
+        F.sum("train_y").alias("train_y"),
+        F.min("train_min").alias("train_min"),
+        F.max("train_max").alias("train_max"),
+        F.sum("high").alias("high"),
+        F.sum("low").alias("low"),
+    ]
+
+
+def vector_table(merged: DataFrame, grid: Grid, width: int) -> DataFrame:
+    """Counters g0 (base classes), g1, ... (optional classes) per panel and place ``at`` in the grid's filters.
+
+    Lists of cells with the same counters, and for test samples the same burden, become one row. From here on the work
+    follows the number of distinct count vectors, which grows far slower than the samples. Vectors of a base count lie
+    together, so that their expansion by ``count_table`` meets most of its equal keys in one task.
+    """
     # For each (level, hot) the places of the filters that let it pass.
-    kinds = grid.filter_kinds()
+    cutoffs, kinds = sorted(grid.cutoff_values()), grid.filter_kinds()
     places = F.array(*[
         F.array(*[F.lit(at) for at, (hotspot, cutoff) in enumerate(kinds)
                   if cutoff <= cutoffs[reached] and not (hotspot and hot)]).cast("array<int>")
         for reached in range(len(cutoffs)) for hot in (False, True)
     ])
-    passed = F.element_at(places, (F.col("level") - 1) * 2 + F.col("hot").cast("int") + 1)
+    passed = F.element_at(places, (F.col("cell.level") - 1) * 2 + F.col("cell.hot").cast("int") + 1)
     counters = [
-        F.sum(F.when(F.col("group") == i, F.col("m")).otherwise(F.lit(0))).alias(f"g{i}")
-        for i in range(len(groups))
+        F.sum(F.when(F.col("cell.group") == i, F.col("cell.m")).otherwise(F.lit(0))).alias(f"g{i}")
+        for i in range(len(OPTIONAL_CLASSES) + 1 if grid.gene_content else 1)
     ]
-    return (
-        cells.withColumn("at", F.explode(passed))
-        .groupBy("panel", "sample", "is_test", "at")
-        .agg(*constants, *counters)
-        .drop("sample")
-    )
-
-
-def vector_table(counts: DataFrame) -> DataFrame:
-    """Samples of a panel and filter with the same counters, and for test samples the same burden y, become one row.
-
-    Training samples are only ever summed, so they share y = null. From here on the work follows the number of
-    distinct count vectors, which grows far slower than the samples.
-    """
-    counters = [c for c in counts.columns if c.startswith("g")]
-    train = ~F.col("is_test")
-    train_y = F.when(train, F.col("y"))
-    return counts.groupBy("panel", "at", *counters, F.when(F.col("is_test"), F.col("y")).alias("test_y")).agg(
-        F.count_if(train).alias("train"),
-        F.coalesce(F.sum(train_y), F.lit(0.0)).alias("train_y"),
-        F.min(train_y).alias("train_min"),
-        F.max(train_y).alias("train_max"),
-        F.count_if(F.col("is_test") & F.col("rate")).alias("high"),
-        F.count_if(F.col("is_test") & ~F.col("rate")).alias("low"),
+    sums = [c for c in merged.columns if c not in ("panel", "cells", "test_y")]
+    counted = (
+        merged.withColumn("cell", F.explode("cells"))
+        .withColumn("at", F.explode(passed))
+        .groupBy("panel", "cells", "test_y", "at")
+        .agg(*counters, *[F.first(c).alias(c) for c in sums])
+        .drop("cells")
     )
+    names = [f"g{i}" for i in range(len(counters))]
+    return counted.repartition(width, "panel", "at", "g0").groupBy("panel", "at", *names, "test_y").agg(*_summed())
 
 
 def count_table(vectors: DataFrame, grid: Grid, filters: DataFrame | None = None) -> DataFrame:
@@ -227,14 +253,7 @@ def count_table(vectors: DataFrame, grid: Grid, filters: DataFrame | None = None
     return (
         expanded.where(F.col("n") > 0)
         .groupBy(*FILTER, "n", "y")
-        .agg(
-            F.sum("train").alias("train"),
-            F.sum("train_y").alias("train_y"),
-            F.min("train_min").alias("train_min"),
-            F.max("train_max").alias("train_max"),
-            F.sum("high").alias("high"),
-            F.sum("low").alias("low"),
-        )
+        .agg(*_summed())
     )
 
 
@@ -414,14 +433,15 @@ def score(fitted: DataFrame, grid: Grid, listed: DataFrame | None = None) -> Dat
 def sweep(overlaps: DataFrame, lengths: DataFrame, grid: Grid | None = None, expand: bool = False) -> DataFrame:
     """Score every panel under every scenario.
 
-    ``overlaps`` holds the variants inside each panel (see ``sample_counts`` for its columns); rows above the largest
+    ``overlaps`` holds the variants inside each panel (see ``sample_cells`` for its columns); rows above the largest
     admitted exome burden, or without one, are dropped. ``lengths`` has panel and panel_mb. With ``expand`` a repeated
     scenario appears as often as the grid repeats it.
     """
     grid = grid or Grid()
     admitted = overlaps.where(F.col("wesTMB") <= MAX_BURDEN)
-    counts = sample_counts(admitted, grid)
-    moments = per_count_moments(count_table(vector_table(counts), grid))
+    width = shuffle_width(overlaps)
+    vectors = vector_table(sample_cells(admitted, grid, width), grid, width)
+    moments = per_count_moments(count_table(vectors, grid))
     named = _named(score(with_fit(moments, lengths), grid))
     if expand:
         copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("multiplicity")))
@@ -463,7 +483,8 @@ def sweep_scenarios(overlaps: DataFrame, lengths: DataFrame, scenarios: DataFram
     places = F.array(*[F.struct(F.lit(h).alias("hotspot"), F.lit(v).alias("vaf_cutoff")) for h, v in kinds])
     at = F.array_position(places, F.struct("hotspot", "vaf_cutoff")) - 1
     listed = scenarios.select((at * MASKS + mask).alias("filter"), "recall", "precision").distinct()
-    counts = sample_counts(overlaps.where(F.col("wesTMB") <= MAX_BURDEN), grid)
-    table = count_table(vector_table(counts), grid, listed.select("filter").distinct())
+    width = shuffle_width(overlaps)
+    cells = sample_cells(overlaps.where(F.col("wesTMB") <= MAX_BURDEN), grid, width)
+    table = count_table(vector_table(cells, grid, width), grid, listed.select("filter").distinct())
     scored = score(with_fit(per_count_moments(table), lengths), grid, listed)
     return _named(scored).select(*RESULT_COLUMNS)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mutascale import session
 from mutascale.plans import sweep
 from mutascale.sources import readers, schemas
 
@@ -179,3 +180,19 @@ def test_plan_is_shared_by_all_scenarios(spark, plan):
     shuffle = "Exchange hashpartitioning"
     # Cells, counters, vectors, counts, burdens, moments, and both sides of the length join: none per scenario.
     assert text.count(shuffle) == single.count(shuffle) == 8
+
+
+def test_tasks_grow_with_the_input(spark, plan, tmp_path, monkeypatch):
+    """The rows are dealt to more tasks than the session sets where the files are larger, with the same scores."""
+    lengths = spark.createDataFrame(list(LENGTHS.items()), "panel string, panel_mb double")
+    rows = spark.createDataFrame(dataset(9), SCHEMA)
+    rows.coalesce(1).write.parquet(str(tmp_path / "overlaps"))
+    stored = spark.read.parquet(str(tmp_path / "overlaps"))
+    grid = sweep.Grid(cutoffs=[0.1, 0.02], scale=[1.0, 0.7])
+    expected = {tuple(r)[:4] + tuple(r)[4:12]: r.acc for r in sweep.sweep(rows, lengths, grid).collect()}
+    monkeypatch.setattr(session, "TASK_BYTES", 64)
+    width = session.shuffle_width(stored)
+    assert width > 8 == session.shuffle_width(rows)
+    wide = sweep.sweep(stored, lengths, grid)
+    assert plan(wide).count(f", {width}), REPARTITION_BY_NUM") == 3
+    assert {tuple(r)[:4] + tuple(r)[4:12]: r.acc for r in wide.collect()} == expected
