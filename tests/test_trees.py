@@ -160,3 +160,20 @@ def test_patient_fit_keeps_the_best_prefix(rows):
     assert trees.held_out_rmse(found.model, held, FEATURES, "y") ** 2 == pytest.approx(found.errors[found.best - 1])
     whole = trees.fit_patient(marked, FEATURES, "y", "check", params, rounds=4, patience=100)
     assert whole.errors == pytest.approx(found.errors[:4])  # stretches agree on their common prefix
+
+
+def test_equal_rows_cover_several_partitions(spark, monkeypatch):
+    """A content that most rows share is dealt to more than one task, and no row is lost."""
+    monkeypatch.setattr(trees, "PARTITION_ROWS", 500)
+    monkeypatch.setattr(trees, "LOT_ROWS", 100)
+    df = spark.createDataFrame([(0.0, 1.0)] * 4050 + [(1.0, float(i)) for i in range(30)], f"x double, {trees.LABEL} double")
+    ready, n = trees._balanced(df, ["x"], None)
+    sizes = [len(part) for part in ready.rdd.glom().collect()]
+    assert n == sum(sizes) == 4080 and max(sizes) < 2000
+    assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_no_rows_are_dealt(spark):
+    empty = spark.createDataFrame([], f"x double, {trees.LABEL} double")
+    ready, n = trees._balanced(empty, ["x"], None)
+    assert n == 0 and ready.count() == 0
