@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import quoted
@@ -36,8 +36,16 @@ def keep_keys(rows: DataFrame, profile: DataFrame, keys: list[str], condition: C
     return attach_by_key(rows, profile, keys, [], condition)
 
 
-def group_count(rows: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    """Number of rows of the key on every row; null for rows without a key."""
+def group_count(rows: DataFrame, keys: list[str], name: str = "n", width: int | None = None) -> DataFrame:
+    """Number of rows of the key on every row; null for rows without a key.
+
+    With ``width`` the rows are dealt to so many tasks once and counted where they lie, so that what is behind them is
+    computed once; for keys that hold a small share of the rows each, since a key is not split then.
+    """
+    if width is not None:
+        known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+        counted = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return rows.repartition(width, *keys).withColumn(name, F.when(known, counted))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     return attach_by_key(rows, counts, keys, [name])
 

@@ -101,3 +101,12 @@ def test_verified_lookup_tells_colliding_keys_apart(spark):
 def test_row_digest_tells_null_empty_and_borders_apart(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, ""), ("", None), (None, None), ("1:", "-"), ("-", "1:")], "x string, y string")
     assert df.select(scalar.row_digest(["x", "y"]).alias("d")).distinct().count() == 7
+
+
+def test_counts_in_dealt_tasks(spark, rows, plan):
+    """With a width the rows are computed and shuffled once, and the counts are those of the join."""
+    result = lookups.group_count(rows, ["k"], width=13)
+    expected = lookups.group_count(rows, ["k"])
+    assert result.count() == 3000 and result.exceptAll(expected).count() == 0 and expected.exceptAll(result).count() == 0
+    text = plan(lookups.group_count(rows, ["k"], width=13))
+    assert "Join" not in text and text.count("Range (") == 1 and "13), REPARTITION_BY_NUM" in text
