@@ -196,3 +196,16 @@ def test_tasks_grow_with_the_input(spark, plan, tmp_path, monkeypatch):
     wide = sweep.sweep(stored, lengths, grid)
     assert plan(wide).count(f", {width}), REPARTITION_BY_NUM") == 3
     assert {tuple(r)[:4] + tuple(r)[4:12]: r.acc for r in wide.collect()} == expected
+
+
+def test_unknown_flags_stay_where_the_filter_is_off(spark):
+    """A row without a hotspot flag is counted with the filter off and not with it on."""
+    rows = [(*r[:5], None if i % 3 == 0 else r[5], *r[6:]) for i, r in enumerate(dataset(10))]
+    lengths = spark.createDataFrame(list(LENGTHS.items()), "panel string, panel_mb double")
+    grid = sweep.Grid(somatic_accuracy=False, gene_content=False, cutoffs=[0.02])
+    found = {(r.panel_id, r.hotspot): r for r in sweep.sweep(spark.createDataFrame(rows, SCHEMA), lengths, grid).collect()}
+    for (panel, hotspot), r in found.items():
+        plain = [(*x[:5], True if x[5] is None else x[5], *x[6:]) for x in rows]
+        want = naive(plain, 1.0, 1.0, BASE, hotspot, 0.02, panel)
+        assert r.rmsle == pytest.approx(want["rmsle"], rel=1e-6) and r.whfh == want["whfh"] and r.wlfl == want["wlfl"]
+    assert {h for _, h in found} == {True, False}
