@@ -13,8 +13,11 @@ order share a shingle.
    components are those of all links, although a group of copies never gives all its pairs. Each row knows the ``BEFORE``
    shingles of this kind that stand before its own in the set; where two sets have one of them in common, they met there
    already and the pair is not listed again.
+   Where many classes of a shingle lie outside its largest component, they first meet one drawn member of it for each of
+   their shingles, in turns, so members of a large group of near copies that the first hub does not reach are linked by
+   a number of pairs in proportion to the rows; the pairwise join is for those that no turn has linked.
 4. A pair is checked once: a histogram of the hashes bounds the overlap of the suffixes (the suffix filter), then the sets
-   are intersected. Pairs that were checked as stars are left out of step 3.
+   are intersected. Pairs that were checked with a hub are left out of what follows.
 
 Components are found among the classes alone; copies take the component of their class in one join.
 
@@ -44,6 +47,10 @@ SLOT_BLOCK = 1 << 18
 FILTER_BITS = 1 << 24
 BINS = 64
 BEFORE = 8
+#: Shingles that would list more pairs than this for a row go through turns with single members of the largest component,
+#: as long as a turn leaves at most this share of the pairs.
+PAIRS_A_ROW = 16
+HUB_GAIN = 0.95
 
 
 def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
@@ -190,6 +197,41 @@ def _reaches(overlap: Column, percent: int, a: str, b: str) -> Column:
     return (100 + percent) * overlap.cast("long") >= percent * (F.col(a) + F.col(b)).cast("long")
 
 
+def _placed_to_reach(percent: int) -> Column:
+    """Positional filter of rows ``_a`` and ``_b`` of one shingle: what can be common before, at and after it is enough."""
+    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    bound = F.least("earlier_a", "earlier_b") + rest
+    return _reaches(F.least(bound, "n_a", "n_b"), percent, "n_a", "n_b")
+
+
+def _parts(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their component, and the shingles in several of them: largest one, classes, classes outside it."""
+    placed = rows.drop("hub").join(splittable(found.withColumnRenamed("id", "rep")), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("gram").agg(
+        F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k"),
+        F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("minor"),
+    )
+    return placed, largest.filter("k > 1").drop("k")
+
+
+def _hub_pairs(near: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each class outside a shingle's largest component with one member of it, another one for each shingle and turn.
+
+    Drawn is, from a half of the members that changes by turn, one with the fewest shingles of its own before this one: what
+    a copy has of its own comes from its edits, so these are near to most others.
+    """
+    columns = ["rep", "n", "pos", "earlier"]
+    half, own = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(2)), F.col("pos") - F.col("earlier")
+    drawn = F.struct(half, own, F.xxhash64("rep", "gram", F.lit(turn)), "rep", "pos")
+    hubs = near.filter("component = major").groupBy("gram").agg(F.min_by(F.struct(*columns), drawn).alias("h"))
+    hubs = hubs.select("gram", *(F.col(f"h.{c}").alias(f"{c}_b") for c in columns))
+    minor = near.filter("component <> major").select("gram", *(F.col(c).alias(f"{c}_a") for c in columns))
+    pairs = minor.join(splittable(hubs), "gram").filter(_placed_to_reach(percent))
+    return pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -227,14 +269,29 @@ def near_duplicates(
     first = _verified(stars, docs, classes, size, percent, "star-links")
     found = stored(components(first), "star-components")
 
-    # what is left: shingles whose classes lie in several components
-    placed = rows.drop("hub").join(splittable(found.withColumnRenamed("id", "rep")), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    sizes = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("gram").agg(
-        F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")
-    ).filter("k > 1")
-    mixed = placed.join(splittable(largest.select("gram", "major")), "gram")
+    # what is left: shingles whose classes lie in several components. Where they would give long lists of pairs, the smaller
+    # components meet single members of the largest first, as long as that brings them together
+    tried, linked, last = [stars], [first], None
+    while True:
+        placed, parts = _parts(rows, found)
+        parts = stored(parts, "parts")
+        pairs, taken = parts.agg(F.sum(F.col("c") * F.col("minor")), F.sum("c")).first()
+        if not pairs or pairs <= PAIRS_A_ROW * taken or (last and pairs > HUB_GAIN * last):
+            break
+        last = pairs
+        heavy = splittable(parts.filter(F.col("minor") > PAIRS_A_ROW).select("gram", "major"))
+        near = stored(placed.join(heavy, "gram"), "near")
+        met = _hub_pairs(near, len(tried), percent)
+        for old in tried:
+            met = met.join(old, ["a", "b"], "left_anti")
+        met = stored(met, "hub-pairs")
+        discard(near, parts)
+        tried.append(met)
+        linked.append(_verified(met, docs, classes, size, percent, "hub-links"))
+        joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked[-1])
+        known, found = found, stored(components(joined), "hub-components")
+        discard(known)
+    mixed = placed.join(splittable(parts.select("gram", "major")), "gram")
     # an id with several texts has one list of places for all of them, so it looks nothing up
     texts = members.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi")
     mixed = mixed.join(splittable(texts.select(F.col("doc_id").alias("rep"), F.lit(True).alias("several"))), "rep", "left")
@@ -245,24 +302,24 @@ def near_duplicates(
     columns = ["rep", "n", "pos", "earlier", "component", "before"]
     x = minor.select("gram", *(F.col(c).alias(f"{c}_a") for c in columns))
     y = mixed.select("gram", *(F.col(c).alias(f"{c}_b") for c in [*columns, "major"]))
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    bound = F.least("earlier_a", "earlier_b") + rest  # positional filter: what can be common before, at and after it
     pairs = x.join(y, "gram").filter(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("major_b")) | (F.col("rep_a") < F.col("rep_b")))
-        & _reaches(F.least(bound, "n_a", "n_b"), percent, "n_a", "n_b")
+        & _placed_to_reach(percent)
         & ~F.arrays_overlap("before_a", "before_b")
     )
     pairs = pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
-    more = _verified(pairs.join(stars, ["a", "b"], "left_anti"), docs, classes, size, percent, "links")
-    discard(rows, mixed, stars)
+    for old in tried:
+        pairs = pairs.join(old, ["a", "b"], "left_anti")
+    more = _verified(pairs, docs, classes, size, percent, "links")
+    discard(rows, mixed, parts, *tried)
 
     # an id with several texts links their classes
     several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b < hi").drop("hi")
     several = members.join(splittable(several), "doc_id").select(F.col("rep").alias("a"), "b")
     links = more.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))).unionByName(several)
     final = splittable(components(links).withColumnRenamed("id", "rep"))
-    discard(first, found, more)
+    discard(found, more, *linked)
     out = members.join(final, "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = digests.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")

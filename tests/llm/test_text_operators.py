@@ -140,6 +140,30 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert result == brute_components(pairs)
 
 
+def test_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Copies of two edits are linked only through those of one, and the smallest ids are of two."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    pairs = []
+    for doc in range(160):
+        copy = list(base)
+        for at in rng.sample(range(10, 110, 6), 1 if doc >= 110 else 2):
+            copy[at] = f"e{doc}x{at}"
+        pairs.append((doc, " ".join(copy)))
+    checked = []
+    verified = ngram_join._verified
+
+    def counted(found, *rest):
+        checked.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    result = Counter(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA)).collect())
+    assert result == brute_components(pairs)
+    assert len({r[2] for r in result}) == 1
+    assert sum(checked) < 25 * len(pairs), checked
+
+
 def test_prefix_length_is_safe():
     for n in range(1, 60):
         for other in range(n, 60):
