@@ -1,9 +1,11 @@
-"""Tail probabilities for the handful of test statistics a fit produces (driver side, scalars only)."""
+"""Tail probabilities for the test statistics a fit produces; scalars, and one for arrays of many coefficients."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def beta_share(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
@@ -43,6 +45,47 @@ def t_two_sided(value: float, df: float) -> float:
     return beta_share(df / (df + value * value), df / 2.0, 0.5)
 
 
+def t_two_sided_all(values: np.ndarray, df: float) -> np.ndarray:
+    """``t_two_sided`` of each value."""
+    squares = values * values
+    x = df / (df + squares)
+    a, b = df / 2.0, 0.5
+    out = np.empty(len(values))
+    other = x > (a + 1.0) / (a + b + 2.0)
+    out[~other] = _shares(x[~other], a, b)
+    out[other] = 1.0 - _shares(1.0 - x[other], b, a)
+    return out
+
+
+def _shares(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The continued fraction of ``beta_share`` for many x; those that have converged are left out of further steps."""
+    out = np.where(x >= 1.0, 1.0, np.where(x <= 0.0, 0.0, np.nan))
+    at = np.flatnonzero((x > 0.0) & (x < 1.0))
+    x = x[at]
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = np.ones(len(x)), 1.0 / np.maximum(1.0 - (a + b) * x / (a + 1.0), tiny)
+    total = d.copy()
+    for m in range(1, 10_000):
+        if not len(at):
+            break
+        change = np.ones(len(at))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            d = 1.0 + step * d
+            d = 1.0 / np.where(np.abs(d) > tiny, d, tiny)
+            c = 1.0 + step / c
+            c = np.where(np.abs(c) > tiny, c, tiny)
+            change *= c * d
+        total *= change
+        open_ = np.abs(change - 1.0) >= 1e-15
+        out[at[~open_]] = (front * total)[~open_]
+        at, x, c, d, total, front = (v[open_] for v in (at, x, c, d, total, front))
+    out[at] = front * total
+    return out
+
+
 def t_quantile(two_sided: float, df: float) -> float:
     """The t with P(|T| > t) equal to the given probability, by bisection."""
     low, high = 0.0, 1.0

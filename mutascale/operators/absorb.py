@@ -15,37 +15,42 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mutascale.functions.scalar import quoted
-from mutascale.functions.stats import t_quantile, t_two_sided
+from mutascale.functions.stats import t_quantile, t_two_sided, t_two_sided_all
 
 RANK_TOLERANCE = 1e-10
 #: Rows of partial sums that are no cross products.
 RANK, RAW, CENTRED, USED = -1, -2, -3, -4
 
+#: Entries of the matrices of cells that a task holds at once; many levels of few columns are worked on together.
+STACK = 1 << 18
+
 Term = tuple[str, ...]
 Parts = frozenset[Term]
 
 
-def pseudo_inverse(part: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, int]:
-    """Inverse on the independent columns, and their number. A column whose diagonal is lost in ``reference`` counts as none."""
-    inverse = np.zeros_like(part)
-    diagonal = np.diag(part)
-    real = np.flatnonzero(diagonal > reference)
-    if not len(real):
-        return inverse, 0
-    scale = np.sqrt(diagonal[real])
-    values, vectors = np.linalg.eigh(part[np.ix_(real, real)] / np.outer(scale, scale))
-    kept = values > RANK_TOLERANCE * values.max()
-    basis = vectors[:, kept]
-    inverse[np.ix_(real, real)] = (basis / values[kept]) @ basis.T / np.outer(scale, scale)
-    return inverse, int(kept.sum())
+def pseudo_inverse(part: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse on the independent columns, and their number, of one matrix or each of a stack.
+
+    A column whose diagonal is lost in ``reference`` counts as none.
+    """
+    diagonal = np.diagonal(part, axis1=-2, axis2=-1)
+    real = diagonal > reference
+    scale = np.sqrt(np.where(real, diagonal, 1.0))
+    both = real[..., :, None] & real[..., None, :]
+    scales = scale[..., :, None] * scale[..., None, :]
+    values, vectors = np.linalg.eigh(np.where(both, part / scales, 0.0))
+    kept = values > RANK_TOLERANCE * np.max(values, axis=-1, keepdims=True, initial=0.0)
+    basis = vectors * np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)[..., None, :]
+    inverse = np.where(both, basis @ np.swapaxes(vectors, -1, -2) / scales, 0.0)
+    return inverse, kept.sum(axis=-1)
 
 
 @dataclass(frozen=True)
@@ -72,45 +77,90 @@ class Layout:
     def local(self, parts: Parts) -> list[int]:
         return [c for p in sorted(parts) for c in self.columns(p)]
 
-    def moments(self, cells: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross products of a level's cells, about zero and about the level's means, and the means."""
-        size, k = self.width + 1, self.numbers
-        n = np.array([c["n"] for c in cells], float)
-        z = np.zeros((len(cells), size))
-        kinds = np.zeros((k + 1, len(cells), size))
-        for at, cell in enumerate(cells):
-            means = [1.0, *cell["means"][:-1], cell["means"][-1] - self.mean]
-            for entry in [*cell["entries"], {"column": self.last, "kind": k}]:
-                z[at, entry["column"]] = means[entry["kind"]]
-                kinds[entry["kind"], at, entry["column"]] = 1.0
-        within = np.zeros((size, size))
-        for a in range(1, k + 1):
-            for b in range(1, k + 1):
-                cov = np.array([c["covs"][(a - 1) * k + b - 1] for c in cells], float)
-                within += (kinds[a] * (n * cov)[:, None]).T @ kinds[b]
-        mean = n @ z / n.sum()
-        away = z - mean
-        return (z * n[:, None]).T @ z + within, (away * n[:, None]).T @ away + within, mean
-
-    def residual(self, raw: np.ndarray, centred: np.ndarray, parts: Parts) -> tuple[np.ndarray, int]:
-        """A level's cross products less what its own columns explain, and their number."""
-        base, rank = (centred, 1) if () in parts else (raw, 0)
+    def is_reference(self, cells: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
+        return np.array([level == self.reference for level in cells["level"].take(pa.array(first)).to_pylist()])
+
+    def stacks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Cells of whole levels and the first row of each, so many as ``STACK`` allows but one level at least."""
+        most = max(1, STACK // (self.width + 1) ** 2)
+        for batch in _levels(batches):
+            first = _first_rows(batch)
+            while len(first):
+                take = max(1, int(np.searchsorted(np.append(first[1:], batch.num_rows), most, side="right")))
+                end = first[take] if take < len(first) else batch.num_rows
+                yield batch.slice(0, end), first[:take]
+                batch, first = batch.slice(end), first[take:] - end
+
+    def moments(self, cells: pa.RecordBatch, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cross products of each level's cells, about zero and about the level's means."""
+        size, k, rows = self.width + 1, self.numbers, cells.num_rows
+        n = cells["n"].to_numpy(zero_copy_only=False).astype(float)
+        means = np.ones((rows, k + 1))
+        means[:, 1:] = cells["means"].flatten().to_numpy(zero_copy_only=False).reshape(rows, k)
+        means[:, k] -= self.mean
+        entries = cells["entries"].flatten()
+        at = np.repeat(np.arange(rows), pc.list_value_length(cells["entries"]).to_numpy(zero_copy_only=False))
+        column, kind = (pc.struct_field(entries, name).to_numpy(zero_copy_only=False) for name in ("column", "kind"))
+        kinds = np.zeros((rows, size), np.int64)
+        kinds[at, column], kinds[:, self.last] = kind, k
+        z = np.zeros((rows, size))
+        z[at, column], z[:, self.last] = means[at, kind], means[:, k]
+        covs = cells["covs"].flatten().to_numpy(zero_copy_only=False).reshape(rows, k, k) * n[:, None, None]
+        mean = np.add.reduceat(n[:, None] * z, first) / np.add.reduceat(n, first)[:, None]
+        away = z - np.repeat(mean, np.diff(np.append(first, rows)), axis=0)
+        if len(first) == 1:  # may have many cells
+            within = np.zeros((1, size, size))
+            for a in range(1, k + 1):
+                for b in range(1, k + 1):
+                    within[0] += ((kinds == a) * covs[:, a - 1, b - 1, None]).T @ (kinds == b).astype(float)
+            return (z * n[:, None]).T @ z + within, (away * n[:, None]).T @ away + within
+        table = np.zeros((rows, k + 1, k + 1))
+        table[:, 1:, 1:] = covs
+        within = table[np.arange(rows)[:, None, None], kinds[:, :, None], kinds[:, None, :]]
+        raw, centred = (np.add.reduceat(n[:, None, None] * x[:, :, None] * x[:, None, :] + within, first) for x in (z, away))
+        return raw, centred
+
+    def residual(self, raw: np.ndarray, centred: np.ndarray, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+        """Each level's cross products less what its own columns explain, and their number."""
+        base, rank = (centred.copy(), 1) if () in parts else (raw.copy(), 0)
         own = self.local(parts - {()})
         if own:
-            part = base[np.ix_(own, own)]
-            inverse, more = pseudo_inverse(part, 1e-24 * np.diag(raw)[own])
-            base, rank = base - base[:, own] @ inverse @ base[own, :], rank + more
-            base[own, :] = base[:, own] = 0.0
+            part = base[:, own][:, :, own]
+            inverse, more = pseudo_inverse(part, 1e-24 * np.diagonal(raw, axis1=1, axis2=2)[:, own])
+            base, rank = base - base[:, :, own] @ inverse @ base[:, own, :], rank + more
+            base[:, own, :] = 0.0
+            base[:, :, own] = 0.0
         if () in parts:
-            base[0, :] = base[:, 0] = 0.0
-        return base, rank
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[dict]]]:
-    """The cells of each level; the rows of a level come one after the other."""
-    rows = (row for batch in batches for row in batch.to_pylist())
-    for level, cells in groupby(rows, lambda r: r["level"]):
-        yield level, list(cells)
+            base[:, 0, :] = base[:, :, 0] = 0.0
+        return base, np.broadcast_to(rank, len(base))
+
+
+def _first_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The first row of each level; the rows of a level come one after the other."""
+    codes = pc.dictionary_encode(batch["level"]).indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.empty(0, np.int64)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that end with a level; the last level of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = _first_rows(batch)
+        if held and held[-1]["level"][0] == batch["level"][0]:
+            end = first[1] if len(first) > 1 else batch.num_rows
+            held.append(batch.slice(0, end))
+            batch, first = batch.slice(end), first[1:] - end
+            if not batch.num_rows:
+                continue
+        if held:
+            yield pa.concat_batches(held)
+        if first[-1]:
+            yield batch.slice(0, first[-1])
+        held = [batch.slice(first[-1])]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _sums(layout: Layout, variants: list[Parts]) -> Callable:
@@ -123,20 +173,24 @@ def _sums(layout: Layout, variants: list[Parts]) -> Callable:
         parts = sorted({p for v in variants for p in v})
         used = np.zeros(len(parts))
         seen = False
-        for level, cells in _levels(batches):
+        for cells, first in layout.stacks(batches):
             seen = True
-            raw, centred, _ = layout.moments(cells)
-            raws += np.diag(raw)
-            if level == layout.reference:
-                grams += raw
-                centres += np.diag(raw)
+            raw, centred = layout.moments(cells, first)
+            plain = np.diagonal(raw, axis1=1, axis2=2)
+            raws += plain.sum(axis=0)
+            own = ~layout.is_reference(cells, first)
+            for one in raw[~own]:
+                grams += one
+                centres += np.diag(one)
+            if not own.any():
                 continue
-            centres += np.diag(centred)
-            used += [sum(raw[c, c] > 0 for c in layout.columns(p)) for p in parts]
+            raw, centred, plain = raw[own], centred[own], plain[own]
+            centres += np.diagonal(centred, axis1=1, axis2=2).sum(axis=0)
+            used += [(plain[:, layout.columns(p)] > 0).sum() for p in parts]
             for at, variant in enumerate(variants):
-                own, rank = layout.residual(raw, centred.copy(), variant)
-                grams[at] += own
-                ranks[at] += rank
+                left, rank = layout.residual(raw, centred, variant)
+                grams[at] += left.sum(axis=0)
+                ranks[at] += rank.sum()
         if not seen:
             return
         v, i, j = np.nonzero(grams)
@@ -178,7 +232,7 @@ class AbsorbedFit:
         total = gram[last, last] + 2 * shift * gram[0, last] + shift * shift * gram[0, 0]
         inverse, rank = pseudo_inverse(gram[np.ix_(columns, columns)], self.reference[columns])
         beta = inverse @ toward
-        return columns, beta, inverse, max(float(total - beta @ toward), 0.0), rank + self.ranks[parts]
+        return columns, beta, inverse, max(float(total - beta @ toward), 0.0), int(rank) + self.ranks[parts]
 
     def rss(self, terms: list[Term], intercept: bool = True, shift: float = 0.0) -> tuple[float, int]:
         return self.solve(terms, intercept, shift)[3:]
@@ -208,20 +262,20 @@ class AbsorbedFit:
         ])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = []
-            for level, cells in _levels(batches):
-                if level == layout.reference:
-                    continue
-                raw, _, _ = layout.moments(cells)
-                part = raw[np.ix_(own, own)]
-                inner, _ = pseudo_inverse(part, 1e-24 * np.diag(part))
-                met = raw[np.ix_(own, columns)]
-                alpha = inner @ (raw[own, layout.last] - met @ beta)
-                factor = np.diag(inner + inner @ met @ inverse @ met.T @ inner)
-                real = [at for at, c in enumerate(own) if raw[c, c] > 0]
-                rows.append((level, [(own[a], alpha[a]) for a in real], [(own[a], factor[a]) for a in real]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            for cells, first in layout.stacks(batches):
+                raw, _ = layout.moments(cells, first)
+                part = raw[:, own][:, :, own]
+                plain = np.diagonal(part, axis1=1, axis2=2)
+                inner, _ = pseudo_inverse(part, 1e-24 * plain)
+                met = raw[:, own][:, :, columns]
+                alpha = (inner @ (raw[:, own, layout.last] - met @ beta)[:, :, None])[:, :, 0]
+                factor = np.diagonal(inner + inner @ met @ inverse @ np.swapaxes(met, 1, 2) @ inner, axis1=1, axis2=2)
+                real = (plain > 0) & ~layout.is_reference(cells, first)[:, None]
+                taken = np.flatnonzero(real.any(axis=1))
+                ends = pa.array(np.append(0, np.cumsum(real[taken].sum(axis=1))).astype(np.int32))
+                keys = pa.array(np.broadcast_to(np.array(own, np.int32), real.shape)[real], pa.int32())
+                maps = (pa.MapArray.from_arrays(ends, keys, pa.array(x[real])) for x in (alpha, factor))
+                yield pa.RecordBatch.from_arrays([cells["level"].take(pa.array(first[taken])), *maps], schema=schema)
 
         kind = self.listed.schema["level"].dataType.simpleString()
         return self.listed.mapInArrow(run, f"level {kind}, estimates map<int,double>, factors map<int,double>")
@@ -304,18 +358,29 @@ def absorbed_coefficients(result: AbsorbedFit, names: list[str], level: float, s
         for at, c in enumerate(columns) if plain[c] > 0
     ]
     out = model_rows = result.effects.sparkSession.createDataFrame(rows, schema)
-    kinds = [pa.int32(), pa.string(), *[pa.float64()] * 6, pa.bool_()]
     fields = model_rows.columns
     base = len(columns)
-    tag = lambda value, name: f"{layout.wide}[{value}]" + ("" if name == "Intercept" else f":{name}")
+    tails = ["" if name == "Intercept" else f":{name}" for name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                factors = dict(r["factors"])
-                out += [row(base + c, tag(r["level"], names[c]), e, factors[c]) for c, e in r["estimates"]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=fields)
+            ends = batch["estimates"].offsets.to_numpy()
+            if not ends[-1] > ends[0]:
+                continue
+            levels = [f"{layout.wide}[{value}]" for value in batch["level"].to_pylist()]
+            at = np.repeat(np.arange(len(levels)), np.diff(ends))
+            number, estimate = (x.to_numpy()[ends[0] : ends[-1]] for x in (batch["estimates"].keys, batch["estimates"].items))
+            first = batch["factors"].offsets[0].as_py()
+            factor = batch["factors"].items.to_numpy()[first : first + len(at)]
+            error = np.sqrt(np.maximum(sigma2 * factor, 0.0))
+            sure = error > 0
+            t, p = np.zeros(len(at)), np.zeros(len(at))
+            t[sure] = estimate[sure] / error[sure]
+            p[sure] = t_two_sided_all(t[sure], residual_df)
+            yield pa.RecordBatch.from_arrays([
+                pa.array((base + number).astype(np.int32)), pa.array([levels[i] + tails[c] for i, c in zip(at, number)], pa.string()),
+                pa.array(estimate), pa.array(error), pa.array(t, mask=~sure), pa.array(p, mask=~sure),
+                pa.array(estimate - reach * error), pa.array(estimate + reach * error), pa.array(np.full(len(at), aliased)),
+            ], names=fields)
 
     return out.unionByName(result.effects.mapInArrow(run, schema))

@@ -1,9 +1,10 @@
 """Absorbed factors against the dense fit and least squares."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from mutascale.operators import anova
+from mutascale.operators import absorb, anova
 from mutascale.operators.anova import LinearModel
 
 MODELS = [
@@ -70,3 +71,38 @@ def test_many_levels(spark):
     table = {r.factor: r for r in anova.anova_table(df, MODELS[0], 2).collect()}
     assert table["a"].df == 19_999 and table["x"].df == 1 and table["Residual"].df == 60_000 - 20_001
     assert anova.coefficient_table(df, MODELS[0]).count() == 20_001
+
+
+def test_levels_are_worked_on_together(monkeypatch):
+    """Cells of many levels in three batches, one level over two of them: few matrix steps, the sums of each level alone."""
+    rng = np.random.default_rng(4)
+    levels = np.sort(rng.integers(0, 1500, 3000)).tolist()
+    levels[900:1100] = [levels[900]] * 200
+    layout = absorb.Layout("a", levels[0], {("x",): range(1, 2), ("b",): range(2, 3)}, 2, 0.5, 3)
+    n, x, y = rng.integers(1, 9, 3000), rng.normal(size=3000) + 30, rng.normal(size=3000)
+    b = rng.integers(0, 2, 3000)
+    covs = [[0.3 * v, 0.1, 0.1, 0.2 * v] for v in rng.random(3000)]
+    entries = [[{"column": 0, "kind": 0}, {"column": 1, "kind": 1}] + [{"column": 2, "kind": 0}] * int(i) for i in b]
+    schema = pa.schema([("level", pa.int32()), ("n", pa.int64()), ("means", pa.list_(pa.float64())), ("covs", pa.list_(pa.float64())),
+                        ("entries", pa.list_(pa.struct([("column", pa.int32()), ("kind", pa.int32())])))])
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip([levels, n, list(zip(x, y)), covs, entries], schema.types)], schema=schema)
+    calls, moments = [], absorb.Layout.moments
+    monkeypatch.setattr(absorb.Layout, "moments", lambda self, *cells: calls.append(1) or moments(self, *cells))
+    variants = [frozenset(), frozenset({()}), frozenset({(), ("x",)})]
+    out = [r for batch in absorb._sums(layout, variants)(iter(table.to_batches(1000))) for r in batch.to_pylist()]
+    assert len(calls) < 10
+    found = {(r["variant"], r["i"], r["j"]): r["value"] for r in out}
+    expected = np.zeros((3, 4, 4))
+    for level in sorted(set(levels)):
+        gram = np.zeros((4, 4))
+        for at in np.flatnonzero(np.array(levels) == level):
+            z, w = np.array([1.0, x[at], b[at], y[at] - 0.5]), np.zeros((4, 4))
+            w[np.ix_([1, 3], [1, 3])] = np.array(covs[at]).reshape(2, 2)
+            gram += n[at] * (np.outer(z, z) + w)
+        for v, own in enumerate(([], [0], [0, 1])):
+            left = gram if level == levels[0] else gram - gram[:, own] @ np.linalg.pinv(gram[np.ix_(own, own)]) @ gram[own]
+            expected[v] += left
+    for v in range(3):
+        scale = np.abs(expected[v]).max()
+        got = np.array([[found.get((v, min(i, j), max(i, j)), 0.0) for j in range(4)] for i in range(4)])
+        assert np.allclose(got, expected[v], atol=1e-7 * scale)
