@@ -144,14 +144,45 @@ def id_filter(ids: DataFrame, name: str) -> bytes:
     return bytes(out)
 
 
+def _bit(bitmap: bytes, slots: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(bitmap, np.uint8)
+    return (bits[slots >> 3] >> (slots & 7) & 1).astype(bool)
+
+
+def _filter_slot(value: Column | str) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+
+
 def in_filter(bitmap: Broadcast, name: str) -> Column:
     @F.pandas_udf("boolean")
     def test(slots: pd.Series) -> pd.Series:
-        bits, at = np.frombuffer(bitmap.value, np.uint8), slots.to_numpy()
-        return pd.Series((bits[at >> 3] >> (at & 7) & 1).astype(bool))
+        return pd.Series(_bit(bitmap.value, slots.to_numpy()))
 
     # else Spark would repeat the test on whatever is joined by this column
-    return test.asNondeterministic()(F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)))
+    return test.asNondeterministic()(_filter_slot(name))
+
+
+def _held_grams(sets: DataFrame, ids: Broadcast, grams: Broadcast) -> DataFrame:
+    """``pos, gram, rep, n`` of the prefix shingles in one bitmap, of the documents in the other.
+
+    One step in Python for both: with a test after another, each task would hold two workers, which then stay.
+    """
+    schema = pa.schema([("pos", pa.int32()), ("gram", pa.int64()), ("rep", pa.int64()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_bit(ids.value, batch.column(3).to_numpy())))
+            found, slots = batch.column(2).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            sizes = batch.column(2).value_lengths().to_numpy()
+            held = np.flatnonzero(_bit(grams.value, slots))
+            row = np.repeat(np.arange(len(sizes)), sizes)[held]
+            pos = held - (np.cumsum(sizes) - sizes)[row]
+            ns = batch.column(1).to_numpy()
+            columns = (pos.astype(np.int32), found[held], batch.column(0).to_numpy()[row], ns[row])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    rows = sets.select("doc_id", "n", "prefix", _filter_slot("doc_id"), F.transform("prefix", _filter_slot))
+    return rows.mapInArrow(run, "pos int, gram long, rep long, n int")
 
 
 def _overlap(size: int, percent: int):
@@ -256,7 +287,7 @@ def near_duplicates(
     shared = grams.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = stored(shared.select("gram", "hub"), "shared-grams")
     held = spark.sparkContext.broadcast(id_filter(shared, "gram"))
-    rows = grams.filter(in_filter(held, "gram")).join(shared, "gram")
+    rows = _held_grams(sets, bitmap, held).join(shared, "gram")
     # how many prefix shingles that anyone shares stand before this one: no more can be common before it
     order = Window.partitionBy("rep").orderBy("pos")
     rows = stored(rows.withColumn("earlier", F.dense_rank().over(order) - 1), "shared")

@@ -140,6 +140,23 @@ def test_ngram_join_equals_brute_force(spark, seed):
     assert result == brute_components(pairs)
 
 
+def test_ngram_join_holds_one_python_worker_a_task(spark, plan, monkeypatch):
+    """Two steps in Python in one task hold a worker each, and both stay for the rest of the session."""
+    plans = {}
+    stored = ngram_join.stored
+
+    def noted(df, name):
+        plans.setdefault(name, plan(df))
+        return stored(df, name)
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    pairs = near_corpus(1)
+    result = Counter(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows(pairs), SCHEMA)).collect())
+    assert result == brute_components(pairs)
+    steps = [line.strip() for line in plans["shared"].splitlines() if re.search(r"ArrowEvalPython|MapInArrow", line)]
+    assert len(steps) == 1, steps
+
+
 def test_large_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
     """Copies of two edits are linked only through those of one, and the smallest ids are of two."""
     rng = random.Random(8)
