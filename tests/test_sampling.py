@@ -56,3 +56,10 @@ def test_exact_split_cuts_a_tie(spark, plan):
         assert sorted(chosen) == sorted(order[: len(chosen)])
     assert sampling.exact_split(df.limit(0), ["k"]).count() == 0
     assert "Exchange" not in plan(sampling.exact_split(spark.range(501), ["id"]))
+
+
+def test_hash_below_equals_the_number(spark):
+    df = spark.range(500).withColumn("k", F.when(F.col("id") % 3 > 0, F.col("id")))
+    for bound in (-1, 0, 1, int(0.2 * 2**32), 2**31 + 12345, 2**32 - 1, 2**32):
+        same = sampling.hash_below(bound, F.lit(41), F.col("k"), F.col("id")) == (sampling.uniform_hash(F.lit(41), F.col("k"), F.col("id")) < bound)
+        assert df.where(~same).count() == 0 and df.where(same).count() == 500
