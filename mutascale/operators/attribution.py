@@ -2,7 +2,8 @@
 
 The values are those of path-dependent tree explanation (Lundberg et al. 2018): an unknown feature sends a row down
 both branches by the share of training rows. A leaf only depends on which of the few conditions on its path a row
-meets, so per leaf the attribution of every such pattern is tabulated once and rows look theirs up.
+meets, so per leaf the attribution of every such pattern is tabulated once and rows look theirs up. Leaves with few
+thresholds among them share one table with a cell for every place between the thresholds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ from mutascale.operators.trees import as_model_input
 from mutascale.session import scratch_path
 
 
+GRID_CELLS = 4096
+GRID_BYTES = 64 << 20
+BATCH_VALUES = 4_000_000
+
+
 @dataclass
 class Leaf:
     """One leaf: its weighted value and, per feature on its path, the interval (low, high] and the cover share."""
@@ -121,12 +127,82 @@ def merged(leaves: list[Leaf]) -> list[list[Leaf]]:
     return list(groups.values())
 
 
-def _pattern(leaf: Leaf, x: np.ndarray) -> np.ndarray:
-    pattern = np.zeros(len(x), dtype=np.int64)
-    for bit, (feature, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
-        value = x[:, feature]
-        pattern |= ((value > low) & (value <= high)).astype(np.int64) << bit
-    return pattern
+@dataclass
+class Lookup:
+    """A table of attributions: its features, per feature the part of the row number by bin, and the values by row."""
+
+    features: list[int]
+    digits: list[np.ndarray]
+    phi: np.ndarray
+    pairs: np.ndarray | None
+
+    def rows(self, bins: dict[int, np.ndarray], n: int) -> np.ndarray:
+        """The row of the table that each input row reads."""
+        at = np.zeros(n, dtype=np.int64)
+        for feature, digit in zip(self.features, self.digits):
+            at += digit[bins[feature]]
+        return at
+
+
+def all_cuts(groups: list[list[Leaf]]) -> dict[int, np.ndarray]:
+    """The thresholds of every feature; a value lies in the bin that counts the thresholds below it."""
+    found: dict[int, set[float]] = {}
+    for leaf, *_ in groups:
+        for feature, *bounds in zip(leaf.features, leaf.low, leaf.high):
+            found.setdefault(feature, set()).update(b for b in bounds if math.isfinite(b))
+    return {feature: np.array(sorted(cuts)) for feature, cuts in found.items()}
+
+
+def blocks(groups: list[list[Leaf]], pairs: bool) -> list[list[list[Leaf]]]:
+    """Groups that share a table: neighbours, while the cells between their thresholds are few.
+
+    Beyond ``GRID_BYTES`` in all, every group is on its own and has a row per pattern of its conditions only.
+    """
+    out: list[list[list[Leaf]]] = []
+    cuts: dict[int, set[float]] = {}
+    size = spent = 0
+    for group in groups:
+        more = {f: cuts.get(f, set()) | set(c) for f, c in all_cuts([group]).items()}
+        grown = {**cuts, **more}
+        cells = math.prod(len(c) + 1 for c in grown.values())
+        if out and cells <= GRID_CELLS and spent < GRID_BYTES:
+            out[-1].append(group)
+            cuts, size = grown, cells * 8 * len(grown) * (1 + len(grown) * pairs)
+        else:
+            out.append([group])
+            cuts, spent, size = more, spent + size, 0
+    return out
+
+
+def _met(leaf: Leaf, cuts: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Per condition of a leaf, the bins that meet it."""
+    tops = [np.append(cuts[f], math.inf) for f in leaf.features]
+    return [(top > low) & (top <= high) for top, low, high in zip(tops, leaf.low, leaf.high)]
+
+
+def lookup(block: list[list[Leaf]], cuts: dict[int, np.ndarray], interactions: bool) -> Lookup:
+    """The table of a block: by the pattern of its conditions for one group, else by cell."""
+    tables = [(group[0], sum(map(leaf_table, group)), sum(map(leaf_pair_table, group)) if interactions else None) for group in block]
+    if len(tables) == 1:
+        leaf, phi, pairs = tables[0]
+        return Lookup(leaf.features, [met.astype(np.int64) << bit for bit, met in enumerate(_met(leaf, cuts))], phi, pairs)
+    own = all_cuts(block)
+    features, shape = sorted(own), [len(own[f]) + 1 for f in sorted(own)]
+    cells, place = np.indices(shape).reshape(len(shape), -1), {f: i for i, f in enumerate(features)}
+    phi = np.zeros((cells.shape[1], len(features)))
+    pairs = np.zeros((*phi.shape, len(features))) if interactions else None
+    for leaf, table, pair_table in tables:
+        columns = [place[f] for f in leaf.features]
+        pattern = np.zeros(cells.shape[1], dtype=np.int64)
+        for bit, (column, met) in enumerate(zip(columns, _met(leaf, own))):
+            pattern |= met[cells[column]].astype(np.int64) << bit
+        phi[:, columns] += table[pattern]
+        if interactions:
+            pairs[np.ix_(range(len(phi)), columns, columns)] += pair_table[pattern]
+    strides = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
+    # the bin among the cuts of the block, for every bin among those of the model
+    digits = [np.searchsorted(own[f], np.append(cuts[f], math.inf)) * stride for f, stride in zip(features, strides)]
+    return Lookup(features, digits, phi, pairs)
 
 
 def attribute(
@@ -143,32 +219,32 @@ def attribute(
     """
     leaves = read_leaves(model, df)
     base = sum(leaf.value * math.prod(leaf.share) for leaf in leaves)
-    shared = df.sparkSession.sparkContext.broadcast(merged(leaves))
-    width = len(features)
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = [
-            (group[0], sum(map(leaf_table, group)), sum(map(leaf_pair_table, group)) if interactions else None)
-            for group in shared.value
-        ]
-        for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            phi = np.zeros((len(x), width))
-            pairs = np.zeros((len(x), width, width)) if interactions else None
-            for leaf, table, pair_table in tables:
-                pattern = _pattern(leaf, x)
-                phi[:, leaf.features] += table[pattern]
+    groups = merged(leaves)
+    shared = df.sparkSession.sparkContext.broadcast((blocks(groups, interactions), all_cuts(groups)))
+    width, first = len(features), len(keys)
+    step = max(1, BATCH_VALUES // (width * width if interactions else width))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, cuts = shared.value
+        tables = [lookup(block, cuts, interactions) for block in parts]
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                n = batch.num_rows
+                bins = {f: np.searchsorted(c, batch.column(first + f).to_numpy()) for f, c in cuts.items()}
+                phi, pairs = np.zeros((n, width)), np.zeros((n, width * width)) if interactions else None
+                for table in tables:
+                    at, own = table.rows(bins, n), table.features
+                    _add(phi, own, table.phi[at])
+                    if interactions:
+                        _add(pairs, [f * width + g for f in own for g in own], table.pairs.reshape(len(table.pairs), -1)[at])
+                total = base + phi.sum(axis=1)
+                out = [_lists(phi), pa.array(np.full(n, base)), pa.array(total - batch.column(first + width).to_numpy())]
                 if interactions:
-                    at = np.ix_(range(len(x)), leaf.features, leaf.features)
-                    pairs[at] += pair_table[pattern]
-            out = batch[[*keys, *features, "prediction"]].copy()
-            out["phi"] = list(phi)
-            out["base"] = base
-            out["gap"] = base + phi.sum(axis=1) - batch["prediction"].to_numpy()
-            if interactions:
-                pairs[:, range(width), range(width)] = phi - pairs.sum(axis=2)
-                out["interactions"] = [list(matrix) for matrix in pairs]
-            yield out
+                    pairs = pairs.reshape(n, width, width)
+                    pairs[:, range(width), range(width)] = phi - pairs.sum(axis=2)
+                    out.append(_lists(pairs))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *out], schema.names)
 
     ready = as_model_input(df, features, target)
     scored = model.transform(ready).select(*keys, *[quoted(f) for f in features], "prediction")
@@ -179,7 +255,23 @@ def attribute(
     ])
     if interactions:
         schema.add("interactions", T.ArrayType(numbers))
-    return scored.mapInPandas(explain, schema)
+    return scored.mapInArrow(explain, schema)
+
+
+def _add(out: np.ndarray, columns: list[int], values: np.ndarray) -> None:
+    """Add to some columns, or to all in their order."""
+    if columns == list(range(out.shape[1])):
+        out += values
+    else:
+        out[:, columns] += values
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """A numpy array as an Arrow column of lists, nested for every axis after the first."""
+    out = pa.array(values.ravel())
+    for size, rows in [(values.shape[axis], math.prod(values.shape[:axis])) for axis in range(values.ndim - 1, 0, -1)]:
+        out = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * size), out)
+    return out
 
 
 def mean_attribution(attributions: DataFrame, features: list[str]) -> DataFrame:

@@ -177,3 +177,25 @@ def test_no_rows_are_dealt(spark):
     empty = spark.createDataFrame([], f"x double, {trees.LABEL} double")
     ready, n = trees._balanced(empty, ["x"], None)
     assert n == 0 and ready.count() == 0
+
+
+def test_cells_give_the_attributions_of_single_leaves(rows, model, monkeypatch):
+    """Shared tables and one table per leaf agree, with batches that are cut as well."""
+    shared = attribution.attribute(model, rows, FEATURES, "y", ["id"], interactions=True).orderBy("id").collect()
+    leaves = attribution.merged(attribution.read_leaves(model, rows))
+    assert len(attribution.blocks(leaves, True)) < len(leaves)
+    monkeypatch.setattr(attribution, "GRID_BYTES", 0)
+    monkeypatch.setattr(attribution, "BATCH_VALUES", 1000)
+    assert len(attribution.blocks(leaves, True)) == len(leaves)
+    alone = attribution.attribute(model, rows, FEATURES, "y", ["id"], interactions=True).orderBy("id").collect()
+    assert len(shared) == len(alone) == 1200
+    for a, b in zip(shared, alone):
+        assert a.phi == pytest.approx(b.phi, abs=1e-9) and a.base == b.base and abs(b.gap) < 1e-9
+        assert np.array(a.interactions) == pytest.approx(np.array(b.interactions), abs=1e-9)
+
+
+def test_attributions_of_a_model_without_splits(spark):
+    df = spark.createDataFrame([(float(i), 2.0) for i in range(20)], "x double, y double")
+    flat = trees.fit_boosted(df, ["x"], "y", rounds=1)
+    row = attribution.attribute(flat, df, ["x"], "y", [], interactions=True).first()
+    assert row.phi == [0.0] and row.base == row.prediction == 2.0 and row.interactions == [[0.0]]
